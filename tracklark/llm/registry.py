@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tracklark.llm import op05_quality, op06_line_dedup
+from tracklark.llm import op05_quality, op06_line_dedup, op08_bpe
 
-MODULES = [op05_quality, op06_line_dedup]
+MODULES = [op05_quality, op06_line_dedup, op08_bpe]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
