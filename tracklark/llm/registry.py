@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tracklark.llm import op05_quality, op06_line_dedup, op08_bpe
+from tracklark.llm import op04_token_counts, op05_quality, op06_line_dedup, op08_bpe, op10_packing
 
-MODULES = [op05_quality, op06_line_dedup, op08_bpe]
+MODULES = [op04_token_counts, op05_quality, op06_line_dedup, op08_bpe, op10_packing]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
