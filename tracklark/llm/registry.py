@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tracklark.llm import op02_forest, op03_license, op04_token_counts, op05_quality, op06_line_dedup, op08_bpe, op09_pii, op10_packing
+from tracklark.llm import op01_jaccard, op02_forest, op03_license, op04_token_counts, op05_quality, op06_line_dedup, op08_bpe, op09_pii, op10_packing
 
-MODULES = [op02_forest, op03_license, op04_token_counts, op05_quality, op06_line_dedup, op08_bpe, op09_pii, op10_packing]
+MODULES = [op01_jaccard, op02_forest, op03_license, op04_token_counts, op05_quality, op06_line_dedup, op08_bpe, op09_pii, op10_packing]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}

@@ -73,7 +73,7 @@ def shingles(texts: list[bytes], k: int) -> list[np.ndarray]:
         if b - a >= k:
             out.append(np.unique(full[a : b - k + 1]))
         elif b > a:
-            out.append(mix(np.array([(h[a:b] * ORDER[: b - a]).sum() + ORDER[40 + b - a]], np.uint64)))
+            out.append(mix((h[a:b] * ORDER[: b - a]).sum(keepdims=True) + ORDER[40 + b - a : 41 + b - a]))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
