@@ -113,9 +113,9 @@ def judged(rows: DataFrame, refs: DataFrame) -> DataFrame:
 
 def filter_quality(docs: DataFrame) -> DataFrame:
     """The rows of docs that are kept; the references are those of docs."""
-    refs = cut(references(features(docs.select("text", "lang"))))
-    rows = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("_row"), "text", "lang")
-    return judged(features(rows), refs).filter("kept").select("_row.*")
+    # Written once: a filter on the verdict would otherwise be pushed below the features and work them out again and again.
+    rows = cut(features(docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("_row"), "text", "lang")).drop("text", "lang"))
+    return judged(rows, references(rows)).filter("kept").select("_row.*")
 
 
 def op5_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
