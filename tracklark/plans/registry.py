@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-MODULES: list = []
+from tracklark.plans import queries
+
+MODULES = [queries]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
