@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: UTF-8 bytes that one step of a numpy or tokenizer loop takes at once.
@@ -44,6 +44,16 @@ def id_and_text(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
+def packed(docs: DataFrame, *names: str) -> DataFrame:
+    """The whole row as _row beside the named columns, so that columns added on the way can't clash with those of docs."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *names)
+
+
+def unpacked(df: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
+    """The columns of docs, in order, of rows made by packed(docs); those in new are replaced."""
+    return df.select(*(new[c].alias(c) if c in new else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
+
+
 def pieces_by_bytes(sizes: Iterable[int], limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges [a, b) of rows whose sizes sum to at most limit; a larger row stands alone."""
     a, total, b = 0, 0, 0

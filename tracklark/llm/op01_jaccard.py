@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklark.llm.common import STEP_BYTES, cut, documents, id_and_text, per_batch, pieces_by_bytes
+from tracklark.llm.common import STEP_BYTES, cut, documents, id_and_text, packed, per_batch, pieces_by_bytes, unpacked
 from tracklark.llm.components import components
 from tracklark.llm.textnum import U, mix, shingles
 
@@ -191,7 +191,7 @@ def similar_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     own = one.join(two, (F.col("g") == F.col("h")) & (F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv"))).select("u", "v")
     state = link(near(pairs.union(own)))
 
-    of_class = classes.join(state.select(F.col("doc_id").alias("rep"), "comp"), "rep")
+    of_class = classes.join(state.select(F.col("doc_id").alias("rep"), "comp").distinct(), "rep")
     out = all_.select("doc_id", *known).join(of_class.select(*known, "comp"), known, "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
 
@@ -199,7 +199,7 @@ def similar_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
 def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each component: that of the smallest doc_id. Rows without a doc_id stay."""
     gone = similar_components(docs, k, percent).filter("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return unpacked(packed(docs, "doc_id").join(gone, F.col("doc_id") == F.col("_gone"), "left_anti"), docs)
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,4 +207,19 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_ngram_jaccard_join": op1_ngram_jaccard_join}
-SQL: dict[str, str] = {}
+SQL = {
+    "op1_ngram_jaccard_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                             '[\x20\x09-\x0D]+'), lambda x: x <> '') AS a FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(a) >= 4 THEN list_transform(range(1, len(a) - 2), lambda i: array_to_string(a[i:i + 3], ' '))
+                                 WHEN len(a) > 0 THEN [array_to_string(a, ' ')] ELSE [] END) AS g FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach(id, x) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.id, e.b FROM reach JOIN e ON reach.x = e.a)
+SELECT id AS doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(x) AS component_id FROM reach LEFT JOIN n ON n.doc_id = id GROUP BY id
+""",
+}

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklark.llm.common import cut, documents
+from tracklark.llm.common import cut, documents, packed, unpacked
 
 # The most frequent words of each language, of at most three letters.
 COMMON_WORDS = {
@@ -114,8 +114,8 @@ def judged(rows: DataFrame, refs: DataFrame) -> DataFrame:
 def filter_quality(docs: DataFrame) -> DataFrame:
     """The rows of docs that are kept; the references are those of docs."""
     # Written once: a filter on the verdict would otherwise be pushed below the features and work them out again and again.
-    rows = cut(features(docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("_row"), "text", "lang")).drop("text", "lang"))
-    return judged(rows, references(rows)).filter("kept").select("_row.*")
+    rows = cut(features(packed(docs, "text", "lang")).drop("text", "lang"))
+    return unpacked(judged(rows, references(rows)).filter("kept"), docs)
 
 
 def op5_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,4 +124,41 @@ def op5_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op5_quality_divergence": op5_quality_divergence}
-SQL = {}
+
+
+def _sql() -> str:
+    classes = [f"length(regexp_replace(solid, '[^{v.replace(chr(39), chr(39) * 2)}]', '', 'g'))" for v in CLASSES.values()]
+    lower = "length(regexp_replace(solid, '[^a-z]', '', 'g'))"
+    lists = " ".join(f"WHEN '{k}' THEN {v}" for k, v in COMMON_WORDS.items())
+    return rf"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS text, CASE WHEN lang IN ({", ".join(f"'{k}'" for k in COMMON_WORDS)}) THEN lang ELSE 'other' END AS lang,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS a FROM documents
+), b AS (
+  SELECT *, len(a) AS n_words, array_to_string(a, '') AS solid, CASE lang {lists} END AS common,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM w
+), t AS (SELECT doc_id, a, unnest(range(1, n_words - 1)) AS i FROM b),
+d AS (SELECT doc_id, i FROM t QUALIFY count(*) OVER (PARTITION BY doc_id, a[i], a[i + 1], a[i + 2]) > 1),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM d, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
+f AS (
+  SELECT b.doc_id, lang, n_words, length(solid) AS word_chars, {classes[3]} AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+         coalesce(n_repeat_words, 0) AS n_repeat_words, length(text) AS n_chars,
+         [{", ".join(classes)}, length(text) - length(solid), {lower}, length(solid) - {lower} - {" - ".join(classes)}] AS chars,
+         CASE WHEN common IS NOT NULL THEN list_append(list_transform(common, lambda c: len(list_filter(a, lambda x: x = c))), len(list_filter(a, lambda x: NOT list_contains(common, x)))) END AS words
+  FROM b LEFT JOIN r ON r.doc_id = b.doc_id
+), g AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
+c AS (SELECT doc_id, lang, base_failed, 'c' AS part, unnest(chars) AS v, generate_subscripts(chars, 1) AS j, n_chars AS total FROM g
+      UNION ALL SELECT doc_id, lang, base_failed, 'w', unnest(words), generate_subscripts(words, 1), n_words FROM g WHERE words IS NOT NULL),
+m AS (SELECT lang, part, j, quantile_cont(floor(1000 * v / total + 0.5), 0.5) AS q FROM c WHERE NOT base_failed AND lang <> 'other' GROUP BY ALL
+      UNION ALL SELECT 'other', part, j, quantile_cont(floor(1000 * v / total + 0.5), 0.5) FROM c WHERE NOT base_failed AND part = 'c' GROUP BY ALL),
+q AS (SELECT lang, part, j, q / sum(q) OVER (PARTITION BY lang, part) AS q FROM m),
+x AS (SELECT doc_id, part, v / total AS p, q, (v / total + q) / 2 AS h FROM c JOIN q USING (lang, part, j) WHERE total > 0),
+y AS (SELECT doc_id, part, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(p / h) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / h) ELSE 0 END) / 2)) AS far FROM x GROUP BY ALL)
+SELECT g.doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+       n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+       NOT base_failed AND NOT (n_chars >= {LEAST_CHARS} AND coalesce(yc.far, 0) > {MOST_CHAR_DISTANCE}) AND NOT (n_words >= {LEAST_WORDS} AND coalesce(yw.far, 0) > {MOST_WORD_DISTANCE}) AS kept
+FROM g LEFT JOIN y yc ON yc.doc_id = g.doc_id AND yc.part = 'c' LEFT JOIN y yw ON yw.doc_id = g.doc_id AND yw.part = 'w'
+"""
+
+
+SQL = {"op5_quality_divergence": _sql()}

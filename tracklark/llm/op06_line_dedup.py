@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklark.llm.common import cut, documents, id_and_text, partitions, per_batch
+from tracklark.llm.common import cut, documents, id_and_text, packed, partitions, per_batch, unpacked
 
 WHITE = b" \t\n\x0b\x0c\r"
 DECISIONS = "kind int, h1 long, h2 long, doc_id long, slot long"
@@ -123,9 +123,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     def rewrite(text, keep):
         return text.combine(keep, kept_lines)
 
-    joined = with_bitmaps(docs, min_chars)
+    joined = with_bitmaps(packed(docs, "doc_id", "text"), min_chars)
     text = F.when(F.col("_keep").isNull(), F.col("text")).otherwise(rewrite(F.coalesce("text", F.lit("")), "_keep"))
-    return joined.withColumn("text", text).select(*docs.columns)
+    return unpacked(joined, docs, text=text)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
