@@ -60,7 +60,7 @@ def inside(points: DataFrame, id_: str, edges: DataFrame, polygon: str) -> DataF
     boxes = edges.groupBy(polygon).agg(F.min("ae").alias("_w"), F.max("ae").alias("_e"), F.min("an").alias("_s"), F.max("an").alias("_n"))
     near = points.join(boxes, F.col("e").between(F.col("_w"), F.col("_e")) & F.col("n").between(F.col("_s"), F.col("_n"))).select(id_, "e", "n", polygon)
     crossing = ((F.col("an") > F.col("n")) != (F.col("bn") > F.col("n"))) & (F.col("e") < (F.col("be") - F.col("ae")) * (F.col("n") - F.col("an")) / (F.col("bn") - F.col("an")) + F.col("ae"))
-    return near.join(edges, polygon).groupBy(id_, polygon).agg(F.count_if(crossing).alias("k")).filter("k % 2 = 1").drop("k")
+    return near.join(edges, polygon).groupBy(id_, polygon).agg(F.count_if(crossing).alias("_crossed")).filter("_crossed % 2 = 1").drop("_crossed")
 
 
 def self_crossings(segments: DataFrame, keys: list[str], cell: float) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tracklark.plans import queries
+from tracklark.plans import more_queries, queries
 
-MODULES = [queries]
+MODULES = [queries, more_queries]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
