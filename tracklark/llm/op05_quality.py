@@ -25,11 +25,13 @@ COMMON_WORDS = {
 }
 N_COMMON = 5
 # Character classes as regular expressions' sets, beside a-z and white space; what is in none is the class "rest".
-CLASSES = {"upper": "A-Z", "digit": "0-9", "mark": r".,;:!?'\"()-", "symbol": r"#*$%&|<>"}
+# Digits are in no class: a number or two in a short, clean text would weigh more than junk does.
+CLASSES = {"upper": "A-Z", "mark": r".,;:!?'\"()-", "symbol": r"#*$%&|<>"}
+DIGITS = "0-9"
 N_CLASSES = len(CLASSES) + 3
 WHITE = " \t\n\x0b\x0c\r"
 #: Largest Jensen-Shannon distances (base 2) to the references, and the lengths from which they are judged.
-MOST_CHAR_DISTANCE, LEAST_CHARS = 0.21, 200
+MOST_CHAR_DISTANCE, LEAST_CHARS = 0.165, 200
 MOST_WORD_DISTANCE, LEAST_WORDS = 0.18, 100
 
 
@@ -56,7 +58,7 @@ def features(docs: DataFrame) -> DataFrame:
         windows.alias("_h"),
     )
     with_place = F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    docs = docs.select(*(c for c in docs.columns if c not in ("_h", "_odd", "_short", "_common")), *(F.length(F.regexp_replace("_odd", f"[^{v}]+", "")).cast("long").alias(f"_{k}") for k, v in CLASSES.items()), F.length("_odd").alias("_n_odd"), *((F.size("_short") - F.size(F.array_remove("_short", F.get("_common", F.lit(i))))).cast("long").alias(f"_c{i}") for i in range(N_COMMON)), F.when(F.size(F.array_distinct("_h")) < F.size("_h"), with_place).alias("_dup"))
+    docs = docs.select(*(c for c in docs.columns if c not in ("_h", "_odd", "_short", "_common")), *(F.length(F.regexp_replace("_odd", f"[^{v}]+", "")).cast("long").alias(f"_{k}") for k, v in CLASSES.items()), F.length(F.regexp_replace("_odd", f"[{DIGITS}]+", "")).alias("_n_odd"), F.length("_odd").alias("_n_with_digits"), *((F.size("_short") - F.size(F.array_remove("_short", F.get("_common", F.lit(i))))).cast("long").alias(f"_c{i}") for i in range(N_COMMON)), F.when(F.size(F.array_distinct("_h")) < F.size("_h"), with_place).alias("_dup"))
     again = F.filter("_dup", lambda x, i: (F.get("_dup", i - 1)["h"] == x["h"]) | (F.get("_dup", i + 1)["h"] == x["h"]))
     # A window covers three words, or those up to the next window's start.
     places = F.sort_array(F.transform(again, lambda x: x["i"]))
@@ -65,10 +67,10 @@ def features(docs: DataFrame) -> DataFrame:
     found = [F.col(f"_c{i}") for i in range(N_COMMON)]
     repeat = F.coalesce(covered, F.lit(0).cast("long"))
     out = docs.select(
-        *(c for c in docs.columns if c not in ("_dup", "_n", "_n_odd", *(f"_{k}" for k in CLASSES), *(f"_c{i}" for i in range(N_COMMON)))),
+        *(c for c in docs.columns if c not in ("_dup", "_n", "_n_odd", "_n_with_digits", *(f"_{k}" for k in CLASSES), *(f"_c{i}" for i in range(N_COMMON)))),
         F.col("_symbol").alias("n_symbols"),
         repeat.alias("n_repeat_words"),
-        F.array(*named, F.col("_n") - F.col("word_chars"), F.col("word_chars") - F.col("_n_odd"), F.col("_n_odd") - sum(named, F.lit(0))).alias("_chars"),
+        F.array(*named, F.col("_n") - F.col("word_chars"), F.col("word_chars") - F.col("_n_with_digits"), F.col("_n_odd") - sum(named, F.lit(0))).alias("_chars"),
         F.when(F.col("_lang") != "other", F.array(*found, F.col("n_words") - sum(found, F.lit(0)))).alias("_words"),
     )
     return out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
@@ -129,6 +131,7 @@ QUERIES = {"op5_quality_divergence": op5_quality_divergence}
 def _sql() -> str:
     classes = [f"length(regexp_replace(solid, '[^{v.replace(chr(39), chr(39) * 2)}]', '', 'g'))" for v in CLASSES.values()]
     lower = "length(regexp_replace(solid, '[^a-z]', '', 'g'))"
+    digits = f"length(regexp_replace(solid, '[^{DIGITS}]', '', 'g'))"
     lists = " ".join(f"WHEN '{k}' THEN {v}" for k, v in COMMON_WORDS.items())
     return rf"""
 WITH w AS (
@@ -141,12 +144,12 @@ WITH w AS (
 d AS (SELECT doc_id, i FROM t QUALIFY count(*) OVER (PARTITION BY doc_id, a[i], a[i + 1], a[i + 2]) > 1),
 r AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM d, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
 f AS (
-  SELECT b.doc_id, lang, n_words, length(solid) AS word_chars, {classes[3]} AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
-         coalesce(n_repeat_words, 0) AS n_repeat_words, length(text) AS n_chars,
-         [{", ".join(classes)}, length(text) - length(solid), {lower}, length(solid) - {lower} - {" - ".join(classes)}] AS chars,
+  SELECT b.doc_id, lang, n_words, length(solid) AS word_chars, {classes[2]} AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+         coalesce(n_repeat_words, 0) AS n_repeat_words, 
+         [{", ".join(classes)}, length(text) - length(solid), {lower}, length(solid) - {lower} - {" - ".join(classes)} - {digits}] AS chars,
          CASE WHEN common IS NOT NULL THEN list_append(list_transform(common, lambda c: len(list_filter(a, lambda x: x = c))), len(list_filter(a, lambda x: NOT list_contains(common, x)))) END AS words
   FROM b LEFT JOIN r ON r.doc_id = b.doc_id
-), g AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
+), g AS (SELECT *, list_sum(chars) AS n_chars, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
 c AS (SELECT doc_id, lang, base_failed, 'c' AS part, unnest(chars) AS v, generate_subscripts(chars, 1) AS j, n_chars AS total FROM g
       UNION ALL SELECT doc_id, lang, base_failed, 'w', unnest(words), generate_subscripts(words, 1), n_words FROM g WHERE words IS NOT NULL),
 m AS (SELECT lang, part, j, quantile_cont(floor(1000 * v / total + 0.5), 0.5) AS q FROM c WHERE NOT base_failed AND lang <> 'other' GROUP BY ALL
