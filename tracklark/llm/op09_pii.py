@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklark.llm.common import cut, documents, id_and_text, per_batch
+from tracklark.llm.common import cut, documents, id_and_text, packed, per_batch, unpacked
 
 KINDS = ("email", "ip", "card", "phone")
 # The patterns of the base kinds; runs are taken whole, so that long ones cost no more than their length.
@@ -120,18 +120,20 @@ def disclosing(docs: DataFrame, mentions: DataFrame) -> DataFrame:
     """entity, term: the terms that disclose an entity. mentions: entity, text_hash, context, terms."""
     pairs = mentions.select("entity", "text_hash", "context", F.explode(F.split("terms", " ")).alias("term")).filter("term != ''")
     support = pairs.groupBy("entity", "term").agg(F.countDistinct("context").alias("n_contexts"), F.countDistinct("text_hash").alias("n_both"))
-    likely = cut(support.filter((F.col("n_contexts") >= LEAST_CONTEXTS) & (F.col("n_both") >= LEAST_CONTEXTS)))
+    support = support.filter((F.col("n_contexts") >= LEAST_CONTEXTS) & (F.col("n_both") >= LEAST_CONTEXTS))
+    with_entity = mentions.groupBy("entity").agg(F.countDistinct("text_hash").alias("n_entity"))
+    n = float(docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).distinct().count() + 1)
+    disclosed = lambda n_term: F.log(F.lit(n) * F.col("n_both") / (F.col(n_term) * F.col("n_entity"))) / F.log(F.lit(n) / F.col("n_entity"))
+    # The texts whose contexts hold a term are a lower bound of those that hold it, so what falls short by it is out for certain.
+    at_least = pairs.groupBy("term").agg(F.countDistinct("text_hash").alias("n_least"))
+    likely = cut(support.join(with_entity, "entity").join(at_least, "term").filter(disclosed("n_least") >= DISCLOSURE).drop("n_least"))
     if likely.isEmpty():
         return likely.select("entity", "term")
-    # Document counts of these terms over the whole corpus, by distinct text.
+    # Counts of these terms over the whole corpus, by distinct text.
     terms = small(likely.select("term").distinct())
     words = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.explode(F.array_distinct(F.split(F.coalesce("text", F.lit("")), r"[^\p{L}\p{N}]+"))).alias("term"))
     with_term = words.join(terms, "term").groupBy("term").agg(F.countDistinct("text_hash").alias("n_term"))
-    with_entity = mentions.groupBy("entity").agg(F.countDistinct("text_hash").alias("n_entity"))
-    n = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).distinct().count() + 1
-    both = likely.join(with_term, "term").join(with_entity, "entity")
-    share = F.log(F.lit(float(n)) * F.col("n_both") / (F.col("n_term") * F.col("n_entity"))) / F.log(F.lit(float(n)) / F.col("n_entity"))
-    return both.filter(share >= DISCLOSURE).select("entity", "term")
+    return likely.join(with_term, "term").filter(disclosed("n_term") >= DISCLOSURE).select("entity", "term")
 
 
 def term_spans(text: str, terms: list[str], base: str) -> list[tuple[str, int, int]]:
@@ -162,13 +164,13 @@ def sanitise(docs: DataFrame) -> DataFrame:
     def rewrite(text, terms):
         return text.combine(terms, lambda t, x: sanitised(t, list(x) if x is not None else []))
 
-    joined = docs.withColumns({"_text": F.coalesce("text", F.lit("")), "_hash": F.xxhash64(F.coalesce("text", F.lit("")))})
+    joined = packed(docs, "doc_id", "text").withColumns({"_text": F.coalesce("text", F.lit("")), "_hash": F.xxhash64(F.coalesce("text", F.lit("")))})
     if lists is None:
         joined = joined.withColumn("disclosing_", F.lit(None).cast("array<string>"))
     else:
         lists = small(lists.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_of"), F.col("disclosing").alias("disclosing_")))
         joined = joined.join(lists, (F.col("doc_id") == F.col("_id")) & (F.col("_hash") == F.col("_of")), "left")
-    return joined.withColumn("text", F.when(F.col("text").isNotNull(), rewrite("_text", "disclosing_"))).select(*docs.columns)
+    return unpacked(joined, docs, text=F.when(F.col("text").isNotNull(), rewrite("_text", "disclosing_")))
 
 
 def sanitised(text: str, terms: list[str]) -> str:
