@@ -125,11 +125,22 @@ def test_op6_key_over_partitions():
 
 @pytest.mark.parametrize("most", [4096, 2])
 def test_op7(docs, texts, spark, through_queries, monkeypatch, most):
-    monkeypatch.setattr(op07_repeats.repeats, "__defaults__", (100, 24, most))
+    monkeypatch.setattr(op07_repeats.repeats, "__defaults__", (100, 24, most, False))
     got = by_id(op07_repeats.op7_suffix_repeats(spark, ""))
     assert {i: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for i, r in got.items()} == brute.without_repeats(texts)
 
 
+def test_op7_groups(docs, texts):
+    """Every group is one string at all its places, and its later places are removed."""
+    groups = {}
+    for r in op07_repeats.repeats(docs, groups=True).collect():
+        groups.setdefault(r["group_id"], []).append(r)
+    assert groups
+    for rows in groups.values():
+        found = {(texts[r["doc_id"]] or "").encode()[r["start"] : r["end"]] for r in rows}
+        assert len(found) == 1 and len(found.pop()) >= 100 and sum(r["first"] for r in rows) >= 1
+
+
 def test_op7_groups_hold_all_occurrences():
     after, before = [b"abcX", b"abcY", b"abcY", b"abdZ"], [b"pq", b"pr", b"zz", b"pq"]
     got = {(left, right, tuple(sorted(n))) for left, right, n in op07_repeats.maximal_repeats(after, before, 3, 2)}
@@ -219,7 +230,7 @@ RUNS = {
     "op4": lambda d: op04_token_counts.token_counts(d, WORD),
     "op5": lambda d: op05_quality.filter_quality(d),
     "op6": lambda d: op06_line_dedup.dedup_lines(d),
-    "op7": lambda d: op07_repeats.repeats(d)[1],
+    "op7": lambda d: op07_repeats.repeats(d),
     "op8": lambda d: op08_bpe.digests(d, TIK),
     "op9": lambda d: op09_pii.sanitise(d),
     "op10": lambda d: op10_packing.pack(d, TIK, JSON),

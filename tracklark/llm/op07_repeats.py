@@ -29,13 +29,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklark.llm.common import STEP_BYTES, cut, documents, id_and_text, partitions, per_batch
+from tracklark.llm.common import STEP_BYTES, arrow_types, cut, documents, id_and_text, partitions, per_batch
 from tracklark.llm.textnum import BYTE_VALUES, U, prefix_sums, range_hashes
 
 #: Bytes of a repeat and of a seed; contexts of one seed that are scanned together.
 LEAST, SEED, MOST = 100, 24, 4096
 ANCHORS = "seed long, context long, doc_id long, place long"
 SPANS = "doc_id long, start long, end long"
+GROUPS = "group_id long, doc_id long, start long, end long, first boolean"
 
 
 def anchors(data: np.ndarray, bounds: np.ndarray, least: int = LEAST, seed: int = SEED) -> tuple[np.ndarray, ...]:
@@ -202,35 +203,55 @@ def contexts(docs: DataFrame, rows: DataFrame, least: int) -> DataFrame:
     return texts.join(wanted, "doc_id").mapInArrow(run, "seed long, doc_id long, anchor long, before binary, after binary")
 
 
-def scanned(rows: DataFrame, least: int, seed: int) -> DataFrame:
-    """Groups of maximal repeats of contexts: group_id, doc_id, start, end, first (is it the first occurrence?)."""
+def of_seed(rows: list[tuple], least: int, seed: int) -> Iterator[tuple[int, int, list[tuple]]]:
+    """left, right and the contexts (in order of document and place) of each maximal repeat among one seed's contexts."""
+    rows = sorted(set(rows), key=lambda r: (r[1], r[2]))
+    for left, right, nodes in maximal_repeats([r[4] for r in rows], [r[3] for r in rows], least, seed):
+        yield left, right, [rows[k] for k in sorted(nodes)]
 
-    def of_seed(rows_: list[tuple]) -> Iterator[tuple]:
-        rows_ = sorted(set(rows_), key=lambda r: (r[1], r[2]))
-        for left, right, nodes in maximal_repeats([r[4] for r in rows_], [r[3] for r in rows_], least, seed):
-            nodes = sorted(nodes)
-            name = xxhash.xxh64_intdigest(rows_[nodes[0]][3][:left][::-1] + rows_[nodes[0]][4][:right]) >> 1
-            for k in nodes:
-                yield name, rows_[k][1], rows_[k][2] - left, rows_[k][2] + right, k == nodes[0]
+
+def group_rows(rows: list[tuple], least: int, seed: int) -> Iterator[tuple]:
+    """A row for each occurrence of each maximal repeat."""
+    for left, right, found in of_seed(rows, least, seed):
+        name = xxhash.xxh64_intdigest(found[0][3][:left][::-1] + found[0][4][:right]) >> 1
+        for k, (_, doc, q, _, _) in enumerate(found):
+            yield name, doc, q - left, q + right, k == 0
+
+
+def covered_rows(rows: list[tuple], least: int, seed: int) -> Iterator[tuple]:
+    """For each context the union of the repeats of which it is not the first occurrence: all hold the seed, so it is one span."""
+    reach: dict[tuple[int, int], list[int]] = {}
+    for left, right, found in of_seed(rows, least, seed):
+        for _, doc, q, _, _ in found[1:]:
+            x = reach.setdefault((doc, q), [0, 0])
+            x[0], x[1] = max(x[0], left), max(x[1], right)
+    for (doc, q), (left, right) in reach.items():
+        yield doc, q - left, q + right
+
+
+def scanned(rows: DataFrame, least: int, seed: int, groups: bool) -> DataFrame:
+    """The interval trees of all seeds: the groups of maximal repeats (GROUPS), or only the SPANS that stood before."""
+    schema, each = (GROUPS, group_rows) if groups else (SPANS, covered_rows)
+    names, kinds = [x.split()[0] for x in schema.split(", ")], arrow_types(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["group_id", "doc_id", "start", "end", "first"]
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+        def out(found: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*found, strict=True)) or [()] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
         held: list[tuple] = []
         for batch in batches:
-            out: list[tuple] = []
+            found: list[tuple] = []
             for r in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if held and held[-1][0] != r[0]:
-                    out += of_seed(held)
+                    found += each(held, least, seed)
                     held = []
                 held.append(r)
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
-        columns = list(zip(*of_seed(held), strict=True)) or [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+            yield out(found)
+        yield out(list(each(held, least, seed)))
 
     dealt = rows.repartition(partitions(rows.sparkSession), "seed").sortWithinPartitions("seed")
-    return dealt.mapInArrow(run, "group_id long, doc_id long, start long, end long, first boolean")
+    return dealt.mapInArrow(run, schema)
 
 
 def window_firsts(rows: DataFrame, least: int) -> DataFrame:
@@ -255,8 +276,8 @@ def window_firsts(rows: DataFrame, least: int) -> DataFrame:
     return late.select("doc_id", "start", (F.col("start") + least).alias("end"))
 
 
-def repeats(docs: DataFrame, least: int = LEAST, seed: int = SEED, most: int = MOST) -> tuple[DataFrame, DataFrame]:
-    """The maximal repeat groups of differing contexts (group_id, doc_id, start, end, first), and SPANS of all that stood before."""
+def repeats(docs: DataFrame, least: int = LEAST, seed: int = SEED, most: int = MOST, groups: bool = False) -> DataFrame:
+    """SPANS of all bytes that stood before; with groups, the maximal repeats of differing contexts with all occurrences (GROUPS)."""
     n = partitions(docs.sparkSession)
     ranged = all_anchors(docs, least, seed).repartitionByRange(n, "seed", "context", "doc_id").sortWithinPartitions("seed", "context", "doc_id", "place")
     made = cut(ranged.mapInArrow(stream, f"again boolean, {ANCHORS}"))
@@ -267,16 +288,18 @@ def repeats(docs: DataFrame, least: int = LEAST, seed: int = SEED, most: int = M
     counts = kept.groupBy("seed").agg(F.count(F.lit(1)).alias("n"))
     rows = cut(contexts(docs, kept.join(counts.filter("n > 1").select("seed"), "seed").select("seed", "doc_id", "place"), least))
     hot = cut(counts.filter(F.col("n") > most).select("seed"))
-    groups = cut(scanned(rows.join(hot, "seed", "left_anti"), least, seed))
-    spans = whole.union(groups.filter("not first").select("doc_id", "start", "end"))
+    found = scanned(rows.join(hot, "seed", "left_anti"), least, seed, groups)
+    if groups:
+        return found
+    spans = whole.union(found)
     if not hot.isEmpty():
         spans = spans.union(window_firsts(rows.join(hot, "seed", "left_semi"), least))
-    return groups, spans
+    return spans
 
 
 def op7_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    _, spans = repeats(docs)
+    spans = repeats(docs)
     per_doc = spans.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.shiftleft("start", 32).bitwiseOR(F.col("end"))).alias("spans"))
     joined = id_and_text(docs).join(per_doc, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", "spans")
 
