@@ -31,6 +31,16 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables made by cut, once everything that is read from them has been written elsewhere."""
+    for df in tables:
+        if df is not None:
+            for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+                if "/tracklark-" in folder:
+                    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+                    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

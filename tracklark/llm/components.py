@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracklark.llm.common import cut
+from tracklark.llm.common import cut, discard
 
 
 def smallest(pairs: DataFrame) -> DataFrame:
@@ -33,7 +33,8 @@ def components(edges: DataFrame) -> DataFrame:
     mark = None
     while True:
         # Edges lead from an id to a smaller one; once every id has one target that has none itself, the stars are done.
-        now = cut(small_star(large_star(now)))
+        before, now = now, cut(small_star(large_star(now)))
+        discard(before)
         sums = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if sums == mark:
             return now.select(F.col("u").alias("id"), F.col("v").alias("component"))

@@ -26,10 +26,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklark.llm.common import STEP_BYTES, cut, documents, id_and_text, packed, per_batch, pieces_by_bytes, unpacked
+from tracklark.llm.common import STEP_BYTES, cut, discard, documents, id_and_text, packed, per_batch, pieces_by_bytes, unpacked
 from tracklark.llm.components import components
 from tracklark.llm.textnum import U, mix, shingles
 
@@ -71,11 +72,11 @@ def sketch(s: np.ndarray) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n, sig1 and sig2 (of the set), prefix (rarest first), sketch."""
+    """doc_id, n, sig1 and sig2 (of the set), prefix (rarest first) and its hash h, sketch."""
     levels = docs.sparkSession.sparkContext.broadcast(level_table(docs, k, percent))
 
     def run(ids: list, texts: list) -> dict:
-        out: dict[str, list] = {c: [] for c in ("doc_id", "n", "sig1", "sig2", "prefix", "sketch")}
+        out: dict[str, list] = {c: [] for c in ("doc_id", "n", "sig1", "sig2", "h", "prefix", "sketch")}
         table = levels.value
         for i, s in zip(ids, shingles([t.encode() for t in texts], k), strict=True):
             order = np.argsort(table[(s & U(LEVEL_BUCKETS - 1)).astype(np.int64)], kind="stable")
@@ -83,11 +84,13 @@ def profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
             out["n"].append(len(s))
             out["sig1"].append(int(mix(s).sum(dtype=np.uint64).astype(np.int64)))
             out["sig2"].append(int(mix(s ^ U(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)))
-            out["prefix"].append(s[order[: prefix_size(len(s), percent)]].astype(np.int64))
+            prefix = s[order[: prefix_size(len(s), percent)]].astype(np.int64)
+            out["h"].append(int.from_bytes(xxhash.xxh3_64_digest(prefix.tobytes()), "little", signed=True))
+            out["prefix"].append(prefix)
             out["sketch"].append(sketch(s))
         return out
 
-    return per_batch(id_and_text(docs).filter("doc_id is not null"), "doc_id long, n long, sig1 long, sig2 long, prefix array<long>, sketch array<long>", run)
+    return per_batch(id_and_text(docs).filter("doc_id is not null"), "doc_id long, n long, sig1 long, sig2 long, h long, prefix array<long>, sketch array<long>", run)
 
 
 def close(a: str, b: str, percent: int, positions: bool) -> Column:
@@ -104,11 +107,11 @@ def close(a: str, b: str, percent: int, positions: bool) -> Column:
 
 
 def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (u, v) of documents whose sets are similar enough. Only texts of documents in pairs move."""
+    """A table of the pairs (u, v) of documents whose sets are similar enough. Only texts of documents in pairs move."""
     ids = pairs.select(F.col("u").alias("_id")).union(pairs.select(F.col("v").alias("_id"))).distinct()
     ids = cut(ids)
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = id_and_text(docs).join(ids, F.col("doc_id") == F.col("_id")).select("doc_id", "text")
+    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    texts = id_and_text(docs).join(few, F.col("doc_id") == F.col("_id")).select("doc_id", "text")
     joined = pairs.join(texts.toDF("u", "text_u"), "u").join(texts.toDF("v", "text_v"), "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +126,9 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
             at = pa.array(keep)
             yield pa.RecordBatch.from_arrays([batch.column("u").filter(at), batch.column("v").filter(at)], names=["u", "v"])
 
-    return joined.select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long")
+    out = cut(joined.select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long"))
+    discard(ids)
+    return out
 
 
 def similar_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
@@ -132,23 +137,25 @@ def similar_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     known = ["n", "sig1", "sig2"]
     classes = all_.filter("n > 0").groupBy(*known).agg(F.min("doc_id").alias("rep"))
     sketches = [F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(SKETCH_WORDS)]
-    reps = all_.join(classes, [*known]).filter("doc_id = rep").dropDuplicates(["doc_id", *known]).select("doc_id", "n", "prefix", F.xxhash64("prefix").alias("h"), *sketches)
+    # The prefixes stay behind until only those of the groups' leaders are wanted.
+    reps = all_.select("doc_id", *known, "h", *sketches).join(classes, known).filter("doc_id = rep").drop("rep").dropDuplicates(["doc_id", *known])
     groups = reps.groupBy("n", "h").agg(F.min("doc_id").alias("gid"))
     members = cut(reps.join(groups, ["n", "h"]).drop("h"))
     sk = ["n", *(f"s{i}" for i in range(SKETCH_WORDS))]
-    leaders = members.filter("doc_id = gid")
-    postings = leaders.select("gid", F.posexplode("prefix").alias("pos", "token"))
+    leaders = members.filter("doc_id = gid").select("doc_id", *known, "gid")
+    postings = all_.select("doc_id", *known, "prefix").join(leaders, ["doc_id", *known]).select("gid", F.posexplode("prefix").alias("pos", "token"))
     shared = postings.groupBy("token").agg(F.min("gid").alias("lo"), F.max("gid").alias("hi")).filter("lo < hi").select("token")
     postings = cut(postings.join(shared, "token").select("token", "gid", "pos"))
-    members = members.drop("prefix")
     state = members.select("doc_id", "gid", F.col("doc_id").alias("comp"))
     edges = None
 
     def link(pairs: DataFrame) -> DataFrame:
         nonlocal edges
-        new = cut(verified(docs, cut(pairs.distinct()), k, percent))
+        pairs = cut(pairs.distinct())
+        new = verified(docs, pairs, k, percent)
         edges = new if edges is None else edges.union(new)
         tops = components(edges)
+        discard(pairs)
         return cut(members.select("doc_id", "gid").join(tops, members.doc_id == tops.id, "left").select("doc_id", "gid", F.coalesce("component", "doc_id").alias("comp")))
 
     info = members.select("doc_id", *sk)
@@ -191,6 +198,7 @@ def similar_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     own = one.join(two, (F.col("g") == F.col("h")) & (F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv"))).select("u", "v")
     state = link(near(pairs.union(own)))
 
+    discard(members, postings)
     of_class = classes.join(state.select(F.col("doc_id").alias("rep"), "comp").distinct(), "rep")
     out = all_.select("doc_id", *known).join(of_class.select(*known, "comp"), known, "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
