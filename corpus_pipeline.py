@@ -38,7 +38,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_copies", near_copies), ("pii", pii), ("packing", packing)]
-#: Similarity components, corpus statistics of terms and token ids are beyond SQL; tests hold run() against a brute-force version.
+#: Corpus statistics of terms and token ids are beyond SQL. Tests hold each stage's operator against a plain version; run() as a whole has none yet.
 ORACLE_SQL = None
 
 
