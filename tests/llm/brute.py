@@ -52,6 +52,21 @@ def kept_lines(texts, least=10):
     return out
 
 
+def covered(words, template, width):
+    """Most template words aligned in a window of at most width words, first end and last start of such a window."""
+    best = (0, 0, 0)
+    for e in range(1, len(words) + 1):
+        row = [0] * (len(template) + 1)  # of words[s:e] and the template from each of its words on
+        for s in range(e - 1, max(-1, e - 1 - width), -1):
+            new = row[:]
+            for j in reversed(range(len(template))):
+                new[j] = row[j + 1] + 1 if words[s] == template[j] else max(row[j], new[j + 1])
+            row = new
+            if row[0] > best[0]:
+                best = (row[0], s, e)
+    return best
+
+
 def without_repeats(texts, least=100):
     """doc_id -> (bytes, removed, runs, hash)"""
     seen, out = set(), {}

@@ -73,6 +73,41 @@ def test_op3_alignment():
     assert hits[0][0] == "MIT-grant"
 
 
+def test_op3_two_copies_amid_prose():
+    """Every word of the notice stands at least twice, and others of its words lie before, between and after the copies."""
+    parsed = {k: op03_license.TOKEN.findall(v.lower()) for k, v in op03_license.TEMPLATES.items()}
+    t = parsed["Apache-2.0-header"]
+    prose = "this is not the file of the law that you may use at will in any other way except when you obtain a license".split()
+    for apart in (0, 3, 60):
+        text = prose * 3 + t + (prose * 3)[:apart] + t + prose[::-1] * 3
+        assert ("Apache-2.0-header", 1.0, len(prose) * 3, len(prose) * 3 + len(t)) in op03_license.scan(" ".join(text), parsed, 0.9)
+    # One copy in a long text in which each of its words stands elsewhere too, out of order.
+    text = prose * 40 + sorted(t) + prose * 40 + t + prose * 40 + sorted(t)
+    assert op03_license.scan(" ".join(text), parsed, 0.9)[0][1:2] == (1.0,)
+
+
+def test_op3_against_every_window():
+    rng = random.Random(8)
+    templates = {"short": "a b a c d".split(), "long": "e a b f a g h c b a".split(), "same": "a a b a".split()}
+    hits = 0
+    for _ in range(300):
+        text = [rng.choice("aabbcdefghxyz") for _ in range(rng.randrange(60))]
+        for _ in range(rng.randrange(4)):
+            copy = [w for w in templates[rng.choice(sorted(templates))] if rng.random() < 0.9]
+            at = rng.randrange(len(text) + 1)
+            text[at:at] = copy
+        for least in (0.7, 0.9):
+            want = {}
+            for name, t in templates.items():
+                n, s, e = brute.covered(text, t, op03_license.STRETCH * len(t))
+                if n and n >= least * len(t):
+                    want[name] = (n / len(t), s, e)
+            got = {name: (c, s, e) for name, c, s, e in op03_license.scan(" ".join(text), templates, least)}
+            assert got == want, text
+            hits += len(want)
+    assert hits > 300
+
+
 def test_op4(docs, texts):
     from tokenizers import Tokenizer
 

@@ -1,15 +1,16 @@
 """License scans by patience alignment of a text's words with each template's.
 
 Words that occur once in both are anchors; the longest increasing subsequence of their places is kept, and the gaps between kept
-anchors are aligned in the same way, until a gap has no common unique word; then equal words at the gap's ends are matched.
+anchors are aligned in the same way, until a gap has no common unique word; such a gap is aligned by its longest common subsequence.
 Coverage is the share of a template's words that are aligned inside the best window of the text, which is at most stretch
-times as long as the template.
+times as long as the template. Every such window is judged: where anchors align less than the words of a window allow, its longest
+common subsequence decides, so repeated or moved words cost no coverage.
 
-A template is only aligned if enough of its words occur in the text at all, which bounds the coverage from above, so nothing
-that could reach the threshold is skipped.
+A window is only aligned if enough of the template's words occur in it, as often as in the template, which bounds the coverage
+from above, so nothing that could reach the threshold is skipped.
 
-Defined results: a null or empty text has no licence; equal coverage goes to the longer template, then to the first by name; repeated rows are
-scanned alike; an empty table gives an empty table; columns beside doc_id and text do not matter.
+Defined results: a null or empty text has no licence; equal coverage goes to the longer template, then to the first by name; of equal
+windows the one that ends first, and begins last, gives the place; repeated rows are scanned alike; an empty table gives an empty table; columns beside doc_id and text do not matter.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +39,8 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
 }
 TOKEN = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
+#: Words of a window for each word of the template.
+STRETCH = 3
 
 
 def increasing(places: list[int]) -> list[int]:
@@ -56,6 +60,26 @@ def increasing(places: list[int]) -> list[int]:
     return out[::-1]
 
 
+def subsequence(a: list[str], a0: int, a1: int, b: list[str], b0: int, b1: int) -> list[tuple[int, int]]:
+    """Matched places of a longest common subsequence of a[a0:a1] and b[b0:b1]."""
+    both = set(a[a0:a1]) & set(b[b0:b1])
+    x, y = [i for i in range(a0, a1) if a[i] in both], [j for j in range(b0, b1) if b[j] in both]
+    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i in reversed(range(len(x))):
+        for j in reversed(range(len(y))):
+            best[i][j] = best[i + 1][j + 1] + 1 if a[x[i]] == b[y[j]] else max(best[i + 1][j], best[i][j + 1])
+    out, i, j = [], 0, 0
+    while i < len(x) and j < len(y):
+        if a[x[i]] == b[y[j]]:
+            out.append((x[i], y[j]))
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
 def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     """Matched places (i in a, j in b), increasing in both."""
     out, gaps = [], [(0, len(a), 0, len(b))]
@@ -73,6 +97,7 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
         anchors = [(of_a[b[j]], j) for j in range(b0, b1) if in_b[b[j]] == 1 and b[j] in of_a]
         kept = [anchors[k] for k in increasing([i for i, _ in anchors])]
         if not kept:
+            out += subsequence(a, a0, a1, b, b0, b1)
             continue
         out += kept
         for (i, j), (k, m) in zip([(a0 - 1, b0 - 1), *kept], [*kept, (a1, b1)], strict=True):
@@ -81,16 +106,51 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def windows(places: dict[str, list[int]], template: list[str], width: int) -> list[tuple[int, int]]:
-    """Stretches of the text in which the template's words lie less than width apart."""
-    at = sorted(p for w in set(template) for p in places.get(w, ()))
-    out: list[list[int]] = []
-    for p in at:
-        if out and p - out[-1][1] < width:
-            out[-1][1] = p
-        else:
-            out.append([p, p])
-    return [(a, b + 1) for a, b in out]
+def common_lengths(words: list[str], template: list[str]) -> Iterator[int]:
+    """Length of the longest common subsequence of the template and the words up to each one (bits stand for template words)."""
+    masks: dict[str, int] = defaultdict(int)
+    for j, w in enumerate(template):
+        masks[w] |= 1 << j
+    full = open_ = (1 << len(template)) - 1
+    for w in words:
+        hit = open_ & masks[w]
+        open_ = ((open_ + hit) | (open_ - hit)) & full
+        yield len(template) - open_.bit_count()
+
+
+def windows(at: list[int], words: list[str], template: list[str], width: int) -> Iterator[tuple[int, int, int]]:
+    """Of the template's words in a text (their places and themselves): range of those in the width words from each one on, and
+    how many of the template's words they can match at most."""
+    wanted, seen = Counter(template), Counter()
+    bound = b = 0
+    for a, start in enumerate(at):
+        while b < len(at) and at[b] < start + width:
+            seen[words[b]] += 1
+            bound += seen[words[b]] <= wanted[words[b]]
+            b += 1
+        yield a, b, bound
+        bound -= seen[words[a]] <= wanted[words[a]]
+        seen[words[a]] -= 1
+
+
+def best_window(at: list[int], words: list[str], template: list[str], least: float) -> tuple[int, int, int]:
+    """Aligned words, first and last of them (end exclusive) in the best window; zeros if none has this coverage."""
+    best, found = 0, (0, 0)
+    for a, b, bound in windows(at, words, template, STRETCH * len(template)):
+        if bound > best and bound >= least * len(template):
+            n = len(align(words[a:b], template))
+            if n < bound:
+                *_, n = common_lengths(words[a:b], template)
+            if n > best and n >= least * len(template):
+                best, found = n, (a, b)
+                if best == len(template):
+                    break
+    if not best:
+        return 0, 0, 0
+    a, b = found
+    b = a + 1 + next(k for k, n in enumerate(common_lengths(words[a:b], template)) if n == best)
+    a = b - 1 - next(k for k, n in enumerate(common_lengths(words[a:b][::-1], template[::-1])) if n == best)
+    return best, at[a], at[b - 1] + 1
 
 
 def scan(text: str, templates: dict[str, list[str]], least: float) -> list[tuple[str, float, int, int]]:
@@ -100,21 +160,17 @@ def scan(text: str, templates: dict[str, list[str]], least: float) -> list[tuple
     likely = {k: t for k, t in templates.items() if sum(w in present for w in t) >= least * len(t)}
     if not likely:
         return []
-    wanted = {w for t in likely.values() for w in t}
     places: dict[str, list[int]] = defaultdict(list)
+    wanted = {w for t in likely.values() for w in t}
     for i, w in enumerate(words):
         if w in wanted:
             places[w].append(i)
     found = []
     for name, t in likely.items():
-        best = (0.0, 0, 0)
-        for a, b in windows(places, t, len(t)):
-            if b - a >= least * len(t):
-                pairs = align(words[a:b], t)
-                if pairs:
-                    best = max(best, (len(pairs) / len(t), -(a + pairs[0][0]), a + pairs[-1][0] + 1))
-        if best[0] >= least:
-            found.append((name, best[0], -best[1], best[2]))
+        at = sorted(p for w in set(t) for p in places.get(w, ()))
+        n, start, end = best_window(at, [words[p] for p in at], t, least)
+        if n:
+            found.append((name, n / len(t), start, end))
     return sorted(found, key=lambda x: (-x[1], -len(templates[x[0]]), x[0]))
 
 
