@@ -1,6 +1,7 @@
 """Plain versions of the operators, for small inputs."""
 
 import hashlib
+import math
 import re
 from collections import defaultdict
 
@@ -109,3 +110,28 @@ def pii(text):
     out += [("ip", *m.span()) for m in IP.finditer(t) if all(int(p) <= 255 for p in m[0].split("."))]
     out += [("card", *m.span()) for m in CARD.finditer(t) if 13 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
     return out + [("phone", *m.span()) for m in PHONE.finditer(t) if 9 <= len(digits(m[0])) <= 15]
+
+
+def disclosing(texts, context, least=3, threshold=0.8):
+    """(entity, term): terms by whole texts; context(text, start, end) is what must differ."""
+    texts = {t or "" for t in texts}
+    n = len(texts) + 1
+    words_of = {t: set(re.findall(r"[^\W_]{4,}", t)) for t in texts}
+    holders, contexts, outside = defaultdict(set), defaultdict(set), {}
+    for t in texts:
+        spans = pii(t)
+        outside[t] = {m[0] for m in re.finditer(r"[^\W_]{4,}", t) if not any(m.start() < b and a < m.end() for _, a, b in spans)}
+        for k, a, b in spans:
+            entity = f"{k}:{t[a:b].lower()}"
+            holders[entity].add(t)
+            contexts[entity, t].add(repr(context(t, a, b)))
+    out = set()
+    for e, of_e in holders.items():
+        for term in set().union(*(outside[t] for t in of_e)):
+            both = {t for t in of_e if term in words_of[t]}
+            n_term = sum(term in w for w in words_of.values())
+            seen = set().union(*(contexts[e, t] for t in both))
+            pmi, ic = math.log(n * len(both) / (n_term * len(of_e))), math.log(n / len(of_e))
+            if len(both) >= least and len(seen) >= least and pmi / ic >= threshold:
+                out.add((e, term))
+    return out

@@ -225,6 +225,29 @@ def test_op9_discloses(spark):
     assert all(out[i] == t for i, t, _ in plain)
 
 
+def test_op9_counts_whole_texts(spark):
+    """Terms far from the mention, always or mostly; against a plain version on whole texts."""
+    rng = random.Random(5)
+    filler = ["".join(rng.choice("abdeinorst") for _ in range(rng.randrange(4, 8))) for _ in range(150)]
+    say = lambda n: " ".join(rng.choice(filler) for _ in range(n))
+    texts = [f"{say(8)} mail jane.roe@ex.org {say(30)} {'' if i > 1 else 'x'} Zanzibar {say(5)}" for i in range(8)]
+    texts += [f"{say(8)} call +49 170 555 1234 {'Timbuktu' if i < 2 else ''} {say(40)} Timbuktu {say(3)}" for i in range(10)]
+    texts += [f"same words here now and then one@ex.org ends with this Samarkand text right here {say(20)} Kathmandu" for _ in range(6)]  # one context
+    texts += [f"{say(8)} two@ex.org {say(30)} Ulaanbaatar" for _ in range(2)]
+    texts += [f"{say(9)} old.name@rare.example {say(9)} {'rare' if i == 0 else ''}" for i in range(4)]
+    texts += [say(40) for _ in range(300)] + [None, "", texts[0]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = op09_pii.found(docs)
+    zipped = [(e, r["text_hash"], c) for r in rows.collect() for e, c in zip(r["entities"], r["contexts"], strict=True)]
+    mentions = spark.createDataFrame(zipped, "entity string, text_hash long, context long")
+    got = {(r["entity"], r["term"]) for r in op09_pii.disclosing(docs, mentions).collect()}
+    assert got == brute.disclosing(texts, op09_pii.context)
+    terms = {t for _, t in got}
+    assert {"Zanzibar", "Timbuktu", "rare"} <= terms and not {"Kathmandu", "Ulaanbaatar", "Samarkand"} & terms
+    out = {r["doc_id"]: r["text"] for r in op09_pii.sanitise(docs).collect()}
+    assert not any("Zanzibar" in out[i] for i in range(8)) and not any("Timbuktu" in out[i] for i in range(8, 18))
+
+
 def test_op10(docs, texts):
     from tokenizers import Tokenizer
 

@@ -1,10 +1,11 @@
 """PII: base patterns, and information-theoretic sanitisation of the terms that give a protected entity away.
 
-Protected entities are the values that the base patterns find. In each distinct context of a mention (the words around it; equal
-contexts count once, so copies are no evidence) co-occurring terms are gathered over the whole corpus. For a term t and an
-entity e, PMI(t; e) = log(p(t, e) / (p(t) p(e))) is the information that t discloses of e, and IC(e) = -log p(e) all there is;
-t is a disclosing term of e if PMI / IC reaches the disclosure threshold in at least least_contexts contexts. p counts documents
-by distinct text. In documents that mention e, its disclosing terms become spans of kind "term". sanitise() puts a general
+Protected entities are the values that the base patterns find. Co-occurring terms are the words of four or more letters or digits
+anywhere in the texts that mention an entity. For a term t and an entity e, PMI(t; e) = log(p(t, e) / (p(t) p(e))) is the
+information that t discloses of e, and IC(e) = -log p(e) all there is; t is a disclosing term of e if PMI / IC reaches the
+disclosure threshold and t stands in at least least_contexts texts that mention e in as many distinct contexts (the words around
+the mention; equal contexts count once, so copies are no evidence). p counts documents by distinct text, whole texts everywhere.
+In documents that mention e, its disclosing terms become spans of kind "term". sanitise() puts a general
 label in place of base spans and removes terms.
 
 Defined results: a null or empty text has no spans; spans count code points, end exclusive; repeated rows and copies get equal
@@ -93,10 +94,10 @@ def text_hash(text: str) -> int:
 
 
 def found(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, base, and for each mention its entity, the context's hash and terms (arrays of equal length)."""
+    """doc_id, text_hash, base, and for each mention its entity and the context's hash (arrays of equal length)."""
 
     def run(ids: list, texts: list) -> dict:
-        out: dict[str, list] = {k: [] for k in ("doc_id", "text_hash", "base", "entities", "contexts", "terms")}
+        out: dict[str, list] = {k: [] for k in ("doc_id", "text_hash", "base", "entities", "contexts")}
         for i, text in zip(ids, texts, strict=True):
             spans = base_spans(text)
             around = [context(text, a, b) for _, a, b in spans]
@@ -105,10 +106,9 @@ def found(docs: DataFrame) -> DataFrame:
             out["base"].append(written(spans))
             out["entities"].append([f"{k}:{text[a:b].lower()}" for k, a, b in spans])
             out["contexts"].append([text_hash(repr(c)) for c in around])
-            out["terms"].append([" ".join(sorted({*c[0], *c[1]})) for c in around])
         return out
 
-    return per_batch(id_and_text(docs), "doc_id long, text_hash long, base string, entities array<string>, contexts array<long>, terms array<string>", run)
+    return per_batch(id_and_text(docs), "doc_id long, text_hash long, base string, entities array<string>, contexts array<long>", run)
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -116,24 +116,49 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def words_of(texts: DataFrame) -> DataFrame:
+    """text_hash, term, outside: the distinct words of each text, and if they stand outside its base spans. texts: text_hash, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                terms = sorted(set(WORD.findall(text)))
+                free = {text[a:b] for _, a, b in term_spans(text, terms, written(base_spans(text)))}
+                yield pa.RecordBatch.from_arrays([pa.array([h] * len(terms), pa.int64()), pa.array(terms, pa.string()), pa.array([t in free for t in terms], pa.bool_())], names=["text_hash", "term", "outside"])
+
+    return texts.mapInArrow(run, "text_hash long, term string, outside boolean")
+
+
 def disclosing(docs: DataFrame, mentions: DataFrame) -> DataFrame:
-    """entity, term: the terms that disclose an entity. mentions: entity, text_hash, context, terms."""
-    pairs = mentions.select("entity", "text_hash", "context", F.explode(F.split("terms", " ")).alias("term")).filter("term != ''")
-    support = pairs.groupBy("entity", "term").agg(F.countDistinct("context").alias("n_contexts"), F.countDistinct("text_hash").alias("n_both"))
-    support = support.filter((F.col("n_contexts") >= LEAST_CONTEXTS) & (F.col("n_both") >= LEAST_CONTEXTS))
-    with_entity = mentions.groupBy("entity").agg(F.countDistinct("text_hash").alias("n_entity"))
-    n = float(docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).distinct().count() + 1)
+    """entity, term: the terms that disclose an entity. mentions: entity, text_hash, context."""
+    texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
+    with_entity = mentions.groupBy("entity").agg(F.countDistinct("text_hash").alias("n_entity"), F.countDistinct("context").alias("n_contexts"))
+    # An entity in fewer texts or contexts has no term with enough of them.
+    with_entity = cut(with_entity.filter((F.col("n_entity") >= LEAST_CONTEXTS) & (F.col("n_contexts") >= LEAST_CONTEXTS)).drop("n_contexts"))
+    if with_entity.isEmpty():
+        return with_entity.select("entity", F.lit("").alias("term"))
+    known = cut(mentions.select("entity", "text_hash", "context").distinct().join(small(with_entity.select("entity")), "entity"))
+    holders = small(known.select("text_hash").distinct())
+    terms_of = cut(words_of(texts.join(holders, "text_hash", "left_semi").dropDuplicates(["text_hash"])))
+    # The texts with entities that hold a term are a lower bound of those that hold it, so what falls short by it is out for certain.
+    at_least = terms_of.groupBy("term").agg(F.count(F.lit(1)).alias("n_least")).filter(F.col("n_least") >= LEAST_CONTEXTS)
+    copies = cut(texts.groupBy("text_hash").agg(F.count(F.lit(1)).alias("n_copies")))
+    n = float(copies.count() + 1)
     disclosed = lambda n_term: F.log(F.lit(n) * F.col("n_both") / (F.col(n_term) * F.col("n_entity"))) / F.log(F.lit(n) / F.col("n_entity"))
-    # The texts whose contexts hold a term are a lower bound of those that hold it, so what falls short by it is out for certain.
-    at_least = pairs.groupBy("term").agg(F.countDistinct("text_hash").alias("n_least"))
+    support = terms_of.join(small(known.select("entity", "text_hash").distinct()), "text_hash").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.max("outside").alias("outside"))
+    support = support.filter((F.col("n_both") >= LEAST_CONTEXTS) & F.col("outside")).drop("outside")
     likely = cut(support.join(with_entity, "entity").join(at_least, "term").filter(disclosed("n_least") >= DISCLOSURE).drop("n_least"))
     if likely.isEmpty():
         return likely.select("entity", "term")
-    # Counts of these terms over the whole corpus, by distinct text.
+    # Counts of these terms over the whole corpus, by distinct text: each copy of a text counts its share, so nothing is kept by text.
+    copies = copies.filter("n_copies > 1")
     terms = small(likely.select("term").distinct())
-    words = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.explode(F.array_distinct(F.split(F.coalesce("text", F.lit("")), r"[^\p{L}\p{N}]+"))).alias("term"))
-    with_term = words.join(terms, "term").groupBy("term").agg(F.countDistinct("text_hash").alias("n_term"))
-    return likely.join(with_term, "term").filter(disclosed("n_term") >= DISCLOSURE).select("entity", "term")
+    words = texts.join(F.broadcast(copies) if copies.count() <= 1_000_000 else copies, "text_hash", "left").select("n_copies", F.explode(F.array_distinct(F.split("text", r"[^\p{L}\p{N}]+"))).alias("term"))
+    with_term = words.join(terms, "term").groupBy("term").agg(F.round(F.sum(1 / F.coalesce("n_copies", F.lit(1)))).alias("n_term"))
+    out = cut(likely.join(with_term, "term").filter(disclosed("n_term") >= DISCLOSURE).select("entity", "term"))
+    # Contexts of the entity in the texts that hold the term.
+    in_contexts = terms_of.select("text_hash", "term").join(small(out.select("term").distinct()), "term").join(known, "text_hash").join(small(out), ["entity", "term"])
+    return in_contexts.groupBy("entity", "term").agg(F.countDistinct("context").alias("n_contexts")).filter(F.col("n_contexts") >= LEAST_CONTEXTS).select("entity", "term")
 
 
 def term_spans(text: str, terms: list[str], base: str) -> list[tuple[str, int, int]]:
@@ -147,8 +172,8 @@ def term_spans(text: str, terms: list[str], base: str) -> list[tuple[str, int, i
 def term_lists(docs: DataFrame, rows: DataFrame) -> DataFrame | None:
     """doc_id, text_hash, disclosing (array): the disclosing terms of the entities that a document mentions; None if there are none.
     rows: found(docs)."""
-    zipped = rows.filter(F.size("entities") > 0).select("doc_id", "text_hash", F.explode(F.arrays_zip("entities", "contexts", "terms")).alias("m"))
-    mentions = zipped.select("doc_id", "text_hash", F.col("m.entities").alias("entity"), F.col("m.contexts").alias("context"), F.col("m.terms").alias("terms"))
+    zipped = rows.filter(F.size("entities") > 0).select("doc_id", "text_hash", F.explode(F.arrays_zip("entities", "contexts")).alias("m"))
+    mentions = zipped.select("doc_id", "text_hash", F.col("m.entities").alias("entity"), F.col("m.contexts").alias("context"))
     known = cut(disclosing(docs, mentions))
     if known.isEmpty():
         return None
