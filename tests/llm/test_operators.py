@@ -135,6 +135,20 @@ def test_op5_verdict(spark):
     assert kept == set(range(20))
 
 
+def test_op5_numbers(spark):
+    """Numbers count for the length and have a limit; a few in short, clean texts do no harm."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abdeinorst") for _ in range(rng.randrange(4, 9)))
+    say = lambda n: [rng.choice(["the", "of", "and", "to", "in"]) if rng.random() < 0.15 else word() for _ in range(n)]
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    good = [(i, " ".join(say(200)) + ".", "en") for i in range(20)] + [(20, " ".join(say(55) + ["1984", "31.12.2024", "17"]) + ".", "en")]
+    numbers = [" ".join(number(20) for _ in range(60)), " ".join(number(10_000) for _ in range(99)), " ".join(number(7) for _ in range(180))]
+    dumps = [(100 + i, t, lang) for i, (t, lang) in enumerate((t, lang) for t in numbers for lang in ("en", None))]
+    dumps.append((110, " ".join(say(150) + [number(20_000)] + say(50)) + ".", "en"))
+    docs = spark.createDataFrame(good + dumps, "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in op05_quality.filter_quality(docs).collect()} == set(range(21))
+
+
 def test_op6(docs, texts, spark, through_queries):
     want = brute.kept_lines(texts)
     got = by_id(op06_line_dedup.op6_line_dedup(spark, ""))

@@ -1,5 +1,6 @@
 """Quality rules by distribution divergence, in DataFrame functions only: the character classes and common words of a document
-are compared with its language's references by the Jensen-Shannon distance; texts under a minimum length are not judged.
+are compared with its language's references by the Jensen-Shannon distance; texts under a minimum length, of
+all characters, are not judged. Digits are in no class but have a largest share of their own.
 
 The reference of a language is the median, over its documents that pass the base rules, of each class's share in thousandths
 (the exact median of at most 1,001 distinct values, so bounded state and no pull by a junk source with under half the rows).
@@ -25,7 +26,8 @@ COMMON_WORDS = {
 }
 N_COMMON = 5
 # Character classes as regular expressions' sets, beside a-z and white space; what is in none is the class "rest".
-# Digits are in no class: a number or two in a short, clean text would weigh more than junk does.
+# Digits are in no class: a number or two in a short, clean text would weigh more than junk does. They count for a text's length, and
+# have a limit of their own.
 CLASSES = {"upper": "A-Z", "mark": r".,;:!?'\"()-", "symbol": r"#*$%&|<>"}
 DIGITS = "0-9"
 N_CLASSES = len(CLASSES) + 3
@@ -33,6 +35,8 @@ WHITE = " \t\n\x0b\x0c\r"
 #: Largest Jensen-Shannon distances (base 2) to the references, and the lengths from which they are judged.
 MOST_CHAR_DISTANCE, LEAST_CHARS = 0.165, 200
 MOST_WORD_DISTANCE, LEAST_WORDS = 0.18, 100
+#: Largest share of digits in all characters but white space, in per cent, for texts from LEAST_CHARS on.
+MOST_DIGITS = 30
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -70,6 +74,8 @@ def features(docs: DataFrame) -> DataFrame:
         *(c for c in docs.columns if c not in ("_dup", "_n", "_n_odd", "_n_with_digits", *(f"_{k}" for k in CLASSES), *(f"_c{i}" for i in range(N_COMMON)))),
         F.col("_symbol").alias("n_symbols"),
         repeat.alias("n_repeat_words"),
+        F.col("_n").alias("_size"),
+        (F.col("_n_with_digits") - F.col("_n_odd")).cast("long").alias("_digits"),
         F.array(*named, F.col("_n") - F.col("word_chars"), F.col("word_chars") - F.col("_n_with_digits"), F.col("_n_odd") - sum(named, F.lit(0))).alias("_chars"),
         F.when(F.col("_lang") != "other", F.array(*found, F.col("n_words") - sum(found, F.lit(0)))).alias("_words"),
     )
@@ -107,10 +113,11 @@ def judged(rows: DataFrame, refs: DataFrame) -> DataFrame:
     """Rows of features() with char_distance, word_distance and kept in place of the histograms."""
     rows = rows.join(F.broadcast(refs), "_lang", "left")  # refs: at most five rows
     rows = rows.withColumns({"char_distance": js_distance(F.col("_chars"), F.col("_ref_chars")), "word_distance": js_distance(F.col("_words"), F.col("_ref_words"))})
-    n_chars = F.aggregate("_chars", F.lit(0).cast("long"), lambda a, x: a + x)
-    odd_chars = (n_chars >= LEAST_CHARS) & (F.coalesce("char_distance", F.lit(0.0)) > MOST_CHAR_DISTANCE)
+    long_enough = F.col("_size") >= LEAST_CHARS
+    odd_chars = long_enough & (F.coalesce("char_distance", F.lit(0.0)) > MOST_CHAR_DISTANCE)
+    odd_digits = long_enough & (100 * F.col("_digits") > MOST_DIGITS * F.col("word_chars"))
     odd_words = (F.col("n_words") >= LEAST_WORDS) & (F.coalesce("word_distance", F.lit(0.0)) > MOST_WORD_DISTANCE)
-    return rows.withColumn("kept", ~F.col("base_failed") & ~odd_chars & ~odd_words).drop("_lang", "_chars", "_words", "_ref_chars", "_ref_words")
+    return rows.withColumn("kept", ~F.col("base_failed") & ~odd_chars & ~odd_digits & ~odd_words).drop("_lang", "_size", "_digits", "_chars", "_words", "_ref_chars", "_ref_words")
 
 
 def filter_quality(docs: DataFrame) -> DataFrame:
