@@ -277,7 +277,8 @@ def window_firsts(rows: DataFrame, least: int) -> DataFrame:
 
 
 def repeats(docs: DataFrame, least: int = LEAST, seed: int = SEED, most: int = MOST, groups: bool = False) -> DataFrame:
-    """SPANS of all bytes that stood before; with groups, the maximal repeats of differing contexts with all occurrences (GROUPS)."""
+    """SPANS of all bytes that stood before; with groups, the maximal repeats among the first of each context,
+    without seeds of more than most contexts and cut at the contexts' ends (GROUPS): not all groups, nor all their occurrences."""
     n = partitions(docs.sparkSession)
     ranged = all_anchors(docs, least, seed).repartitionByRange(n, "seed", "context", "doc_id").sortWithinPartitions("seed", "context", "doc_id", "place")
     made = cut(ranged.mapInArrow(stream, f"again boolean, {ANCHORS}"))
