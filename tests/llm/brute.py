@@ -135,3 +135,15 @@ def disclosing(texts, context, least=3, threshold=0.8):
             if len(both) >= least and len(seen) >= least and pmi / ic >= threshold:
                 out.add((e, term))
     return out
+
+
+def shortest_pack_first(histogram, room):
+    """Fill of each pack after placing pieces one by one, longest first, each on the pack filled least if it has room."""
+    packs = []
+    for n in sorted((n for n, c in histogram.items() for _ in range(c)), reverse=True):
+        at = min(range(len(packs)), key=packs.__getitem__, default=None)
+        if at is None or packs[at] + n > room:
+            packs.append(n)
+        else:
+            packs[at] += n
+    return packs

@@ -286,13 +286,56 @@ def test_op10(docs, texts):
             assert at <= room
 
 
-def test_op10_patterns_hold_the_histogram():
+def test_op10_patterns_are_those_of_placing_one_by_one():
     rng = np.random.default_rng(1)
-    for _ in range(30):
-        histogram = {int(n): int(c) for n, c in zip(rng.integers(1, 65, 20), rng.integers(1, 40, 20), strict=True)}
+    for turn in range(60):
+        few = rng.integers(1, 65, 1 + turn % 25)
+        histogram = {int(n): int(c) for n, c in zip(few, rng.integers(1, 60, len(few)), strict=True)}
         made = op10_packing.patterns(histogram, 64)
-        total = {n: sum(x.count(n) * c for x, c in made) for n in histogram}
-        assert total == histogram and all(sum(x) <= 64 and c > 0 for x, c in made)
+        assert {n: sum(x.count(n) * c for x, c in made) for n in histogram} == histogram
+        assert sorted(sum(x) for x, c in made for _ in range(c)) == sorted(brute.shortest_pack_first(histogram, 64))
+
+
+def thue_morse(n):
+    s = "a"
+    while len(s) < n:
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s, s.translate(str.maketrans("ab", "ba"))
+
+
+def test_texts_that_collide_in_rolling_hashes_stay_apart(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    x, y = thue_morse(2048)
+    texts = {1: x, 2: y, 3: x, 4: f"{x} {y}", 5: y + x}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = by_id(op01_jaccard.similar_components(docs))
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == brute.similar(texts, 4, 85)
+    plain = Tokenizer.from_file(JSON)
+    for i, ids in zip(texts, op10_packing.Ids(TIK, JSON).of_texts(list(texts.values())), strict=True):
+        assert ids.tolist() == plain.encode(texts[i], add_special_tokens=False).ids
+    monkeypatch.setattr(op07_repeats, "documents", lambda spark, folder: docs)
+    got = by_id(op07_repeats.op7_suffix_repeats(spark, ""))
+    assert {i: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for i, r in got.items()} == brute.without_repeats(texts)
+
+
+def test_pieces_that_share_a_hash_are_told_apart():
+    from tracklark.llm import pieces
+
+    data = b"abcdefghijk abcdefghijK" + b"x" * 99 + b"y" + b"x" * 100
+    offsets = np.array([0, 11, 12, 23, 123, 223])
+    assert pieces.differ(data, offsets, np.array([0, 1, 0, 3, 3])).tolist() == [2, 4]
+    assert pieces.differ(data, offsets, np.arange(5)).tolist() == []
+
+
+def test_character_classes_are_the_tokenizers():
+    from tracklark.llm import pieces
+
+    table = pieces.classes()
+    for kind, pattern in ((pieces.LETTER, r"\p{L}"), (pieces.NUMBER, r"\p{N}"), (pieces.WHITE, r"\s")):
+        mine = set(np.flatnonzero((table == kind) | (kind == pieces.WHITE) & (table == pieces.SPACE)).tolist())
+        points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+        assert mine == set(pieces.matching(pattern, points))
 
 
 RUNS = {

@@ -1,9 +1,10 @@
 """Packing: shortest-pack-first over the histogram of piece lengths. Lengths are placed longest first, each on the open pattern
-with the least room that still takes it, and only the patterns' counts are updated; documents then join the patterns by
-the rank of their piece among those of its length.
+that is filled least, and only the patterns' counts are updated; a new sequence begins when even that one has no room. Documents
+then join the patterns by the rank of their piece among those of its length.
 
 A document's ids are cut into full sequences and a rest; only the rests are packed. The histogram has at most `room` entries and
-the patterns a few thousand slots, whatever the number of documents, so both fit the driver.
+the patterns a few thousand slots, whatever the number of documents, so both fit the driver. Ranks are counted within shares of
+a length, as many as its count asks for; the driver gets one row for each, one for about SHARE_ROWS pieces.
 
 Defined results: a null or empty text is the closing id alone; rows that repeat a doc_id are packed each on its own; a special
 string in a text is its special id, as the tokenizer's default has it; an empty table gives an empty table; columns beside doc_id
@@ -13,8 +14,10 @@ and text do not matter. Sequence ids are dense from 0 and the same in every run
 from __future__ import annotations
 
 import heapq
+import json
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +29,11 @@ from pyspark.sql import functions as F
 
 from tracklark.llm.bpe import load_ranks, splitter
 from tracklark.llm.common import cut, documents, id_and_text, per_batch
-from tracklark.llm.pieces import named, split
+from tracklark.llm.pieces import differ, named, split
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-#: Ranks are counted within this many shares of each length, so that no length's rows meet in one task.
-SHARES = 256
+#: Pieces of one length that are ranked together.
+SHARE_ROWS = 1 << 18
 _encoders: dict[tuple, "Ids"] = {}
 
 
@@ -41,14 +44,16 @@ class Ids:
         self.pattern, self.most, self.json_path, self.tokenizer = splitter(public_tokenizers.PATTERN), most, json_path, None
         encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_ranks(ranks_path), special_tokens={})
         self.encode = encoding._core_bpe.encode_single_piece
+        with open(json_path, encoding="utf-8") as f:
+            self.special = [x["content"] for x in json.load(f)["added_tokens"]]
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[int, int] = {}
+        self.place: dict[bytes, int] = {}
         self.ids, self.begin = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def slow(self, text: str) -> np.ndarray:
-        """For texts with a special string: the tokenizer itself."""
+        """For texts with a special string, and those with a piece that shares its hash with another one: the tokenizer itself."""
         if self.tokenizer is None:
             from tokenizers import Tokenizer
 
@@ -56,19 +61,21 @@ class Ids:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def of_texts(self, texts: list[str]) -> list[np.ndarray]:
-        special = {i: self.slow(t) for i, t in enumerate(texts) if "<|endoftext|>" in t}
+        special = {i: self.slow(t) for i, t in enumerate(texts) if any(x in t for x in self.special)}
         data, offsets, first = split([("" if i in special else t) for i, t in enumerate(texts)], self.pattern)
-        distinct, at, which = np.unique(named(data, offsets), return_index=True, return_inverse=True)
-        if len(self.place) + len(distinct) > self.most:
+        _, at, which = np.unique(named(data, offsets), return_index=True, return_inverse=True)
+        for i in np.unique(np.searchsorted(first, differ(data, offsets, at[which]), "right") - 1).tolist():
+            special[i] = self.slow(texts[i])
+        if len(self.place) + len(at) > self.most:
             self.clear()
-        keys, place, more = distinct.tolist(), self.place, []
-        for k, i in zip(keys, at.tolist(), strict=True):
+        keys, place, more = [data[offsets[i] : offsets[i + 1]] for i in at.tolist()], self.place, []
+        for k in keys:
             if k not in place:
                 place[k] = len(place)
-                more.append(self.encode(data[offsets[i] : offsets[i + 1]]))
+                more.append(self.encode(k))
         if more:
             self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum([len(x) for x in more])])
-            self.ids = np.concatenate([self.ids, *(np.array(x, np.uint32) for x in (sum(more[i : i + 1000], []) for i in range(0, len(more), 1000)))])
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(more), np.uint32)])
         rows = np.fromiter(map(place.__getitem__, keys), np.int64, len(keys))[which] if keys else np.zeros(0, np.int64)
         count = self.begin[rows + 1] - self.begin[rows]
         ends = np.concatenate([[0], np.cumsum(count)])
@@ -96,46 +103,40 @@ def pieces(docs: DataFrame, ranks_path: str, json_path: str, room: int, closing:
 
 
 def patterns(histogram: dict[int, int], room: int) -> list[tuple[list[int], int]]:
-    """(lengths, count): how often which lengths share a sequence. Longest lengths first; a pattern with just enough room is
-    preferred; the part of its count that takes the length becomes a pattern of its own."""
-    open_: dict[int, list[list]] = {}  # room left -> patterns [lengths, count]
-    left: list[int] = []
+    """(lengths, count): how often which lengths share a sequence. The packs are those of placing pieces one by one, longest first,
+    each on the pack filled least; a pack that is alone in having room takes as many of the length as it can."""
+    open_: dict[int, list[tuple[list[int], int]]] = {}  # room left -> patterns
+    most_room: list[int] = []  # negated
     done: list[tuple[list[int], int]] = []
 
     def add(lengths: list[int], count: int) -> None:
         free = room - sum(lengths)
-        if free == 0:
+        if not free:
             done.append((lengths, count))
             return
         if free not in open_:
             open_[free] = []
-            heapq.heappush(left, free)
-        open_[free].append([lengths, count])
+            heapq.heappush(most_room, -free)
+        open_[free].append((lengths, count))
 
     for n in sorted(histogram, reverse=True):
-        need, made = histogram[n], []
-        while need:
-            free = min((x for x in left if x >= n), default=None)
-            if free is None:
-                break
+        need = histogram[n]
+        while need and most_room and -most_room[0] >= n:
+            free = -most_room[0]
             lengths, count = open_[free].pop()
             if not open_[free]:
                 del open_[free]
-                left.remove(free)
-                heapq.heapify(left)
+                heapq.heappop(most_room)
             take = min(need, count)
             if count > take:
                 add(lengths, count - take)
-            made.append(([*lengths, n], take))
+            add([*lengths, n], take)
             need -= take
-        while need:
-            # What no pattern takes fills new sequences with as many of this length as fit.
-            each = min(room // n, need)
-            made.append(([n] * each, need // each))
-            need %= each
-        for lengths, count in made:
-            add(lengths, count)
-    return done + [(x, c) for some in open_.values() for x, c in some]
+        each = room // n
+        for size, count in ((each, need // each), (need % each, 1)):
+            if size and count:
+                add([n] * size, count)
+    return done + [x for some in open_.values() for x in some]
 
 
 def slots(histogram: dict[int, int], room: int) -> dict[int, tuple[np.ndarray, ...]]:
@@ -155,15 +156,15 @@ def slots(histogram: dict[int, int], room: int) -> dict[int, tuple[np.ndarray, .
 
 def pack(docs: DataFrame, ranks_path: str, json_path: str, room: int = 1024, closing: int = 0) -> DataFrame:
     """PIECES with sequence_id and offset."""
-    share = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SHARES)).cast("int")
-    rows = cut(pieces(docs, ranks_path, json_path, room, closing).withColumn("share", share))
-    by_share = rows.groupBy("length", "share").count()
-    counted = by_share.collect()  # at most room * SHARES rows
-    histogram: dict[int, int] = {}
+    rows = cut(pieces(docs, ranks_path, json_path, room, closing))
+    histogram = {r["length"]: r["count"] for r in rows.groupBy("length").count().collect()}  # at most room rows
+    shares = docs.sparkSession.createDataFrame([(n, -(-c // SHARE_ROWS)) for n, c in histogram.items()], "length long, shares long")
+    rows = rows.join(F.broadcast(shares), "length").withColumn("share", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("shares"))).drop("shares")
     before: dict[tuple[int, int], int] = {}
-    for r in sorted(counted, key=lambda r: (r["length"], r["share"])):
-        before[r["length"], r["share"]] = histogram.get(r["length"], 0)
-        histogram[r["length"]] = histogram.get(r["length"], 0) + r["count"]
+    seen = dict.fromkeys(histogram, 0)
+    for r in rows.groupBy("length", "share").count().orderBy("length", "share").collect():  # one for about SHARE_ROWS pieces
+        before[r["length"], r["share"]] = seen[r["length"]]
+        seen[r["length"]] += r["count"]
     plan = docs.sparkSession.sparkContext.broadcast((slots(histogram, room), before))
     ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy("length", "share").orderBy("doc_id", "start", "ids_crc32")) - 1)
 

@@ -1,4 +1,5 @@
-"""Splits whole texts into the pieces of the byte-level pattern by numpy, and names each piece by a 64-bit hash.
+"""Splits whole texts into the pieces of the byte-level pattern by numpy, and names each piece by a 64-bit hash; differ()
+tells which pieces are not the ones that they share a name with.
 
 The pattern's rules, as tests on neighbouring characters: a piece is a run of letters, of numbers, of other marks or of white
 space; one plain space before a run belongs to it; the last character of a white-space run before something else stands apart.
@@ -12,21 +13,34 @@ import unicodedata
 
 import numpy as np
 
-from tracklark.llm.bpe import splitter
-from tracklark.llm.textnum import BYTE_VALUES, prefix_sums, range_hashes
+from tracklark.llm.textnum import MASKS, content_hashes
 
 LETTER, NUMBER, SPACE, WHITE, MARK = range(5)
 _classes: list[np.ndarray] = []
 
 
+def matching(pattern: str, points: list[int]) -> list[int]:
+    """Of these code points those that the tokenizers' own engine takes for this class."""
+    from tokenizers import Regex, pre_tokenizers
+
+    text = "\0".join(map(chr, points))  # the mark keeps matches apart
+    return [points[a // 2] for _, (a, b) in pre_tokenizers.Split(Regex(pattern), "isolated").pre_tokenize_str(text) if b - a == 1 and a % 2 == 0]
+
+
 def classes() -> np.ndarray:
-    """The class of each code point."""
+    """The class of each code point. What this Python does not know yet, the tokenizers' own engine is asked for; planes 4 to 13
+    hold no characters."""
     if not _classes:
-        pattern = splitter(r"\s")
-        white = {c for c in range(0x3001) if pattern.match(chr(c))}
-        kinds = {"L": LETTER, "N": NUMBER}
-        table = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], MARK) for c in range(sys.maxunicode + 1)), np.uint8, sys.maxunicode + 1)
-        table[list(white)] = WHITE
+        table = np.full(sys.maxunicode + 1, MARK, np.uint8)
+        new = []
+        for c in (*range(0xD800), *range(0xE000, 0x40000), *range(0xE0000, 0xE1000)):
+            kind = unicodedata.category(chr(c))
+            if kind[0] in "LN":
+                table[c] = LETTER if kind[0] == "L" else NUMBER
+            elif kind == "Cn":
+                new.append(c)
+        for kind, pattern, points in ((LETTER, r"\p{L}", new), (NUMBER, r"\p{N}", new), (WHITE, r"\s", list(range(0x3001)))):
+            table[matching(pattern, points)] = kind
         table[0x20] = SPACE
         _classes.append(table)
     return _classes[0]
@@ -71,5 +85,23 @@ def split(texts: list[str], pattern) -> tuple[bytes, np.ndarray, np.ndarray]:
 
 def named(data: bytes, offsets: np.ndarray) -> np.ndarray:
     """A hash for each piece."""
-    s = prefix_sums(np.frombuffer(data, np.uint8), BYTE_VALUES)
-    return range_hashes(s, offsets[:-1], offsets[1:])
+    return content_hashes(data, offsets[:-1], offsets[1:])[0]
+
+
+def differ(data: bytes, offsets: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """The pieces whose bytes are not those of the piece in other."""
+    eight = np.ndarray((len(data) + 1,), "<u8", data + bytes(8), strides=(1,))
+    a, b, n = offsets[:-1], offsets[other], np.diff(offsets)
+    wrong = n != offsets[other + 1] - b
+    live = np.flatnonzero(~wrong)
+    step = 0
+    while len(live):
+        mask = MASKS[np.minimum(n[live] - step, 8)]
+        unlike = (eight[a[live] + step] ^ eight[b[live] + step]) & mask != 0
+        wrong[live[unlike]] = True
+        step += 8
+        live = live[~unlike & (n[live] > step)]
+        if step == 64:  # the few long ones
+            wrong[[i for i in live if data[a[i] : a[i] + n[i]] != data[b[i] : b[i] + n[i]]]] = True
+            break
+    return np.flatnonzero(wrong)
