@@ -14,6 +14,9 @@ copies costs about m comparisons.
 The parity sketch of a set has at bit b the parity of the shingles that hash to b; the sketches of two sets differ in at most as
 many bits as the sets differ in shingles, so a pair beyond the allowed difference is out for certain.
 
+Shingles have two 64-bit hashes that are independent of each other: equal sets are those whose sums of both agree, and a pair is
+verified by both, so it does not depend on one hash alone.
+
 Defined results: words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased; fewer than k words are one shingle; a text without words (null,
 empty) has no shingles and no links; a doc_id that repeats with another text takes part with each; rows without a doc_id are left
 out; an empty table gives an empty table; columns beside doc_id and text do not matter.
@@ -30,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklark.llm.common import STEP_BYTES, cut, discard, documents, id_and_text, packed, per_batch, pieces_by_bytes, unpacked
+from tracklark.llm.common import STEP_BYTES, cut, discard, documents, id_and_text, packed, partitions, per_batch, pieces_by_bytes, unpacked
 from tracklark.llm.components import components
 from tracklark.llm.textnum import U, mix, shingles
 
@@ -41,6 +44,8 @@ COMMON = 8
 SKETCH_WORDS = 8
 #: Ids up to which endpoints are broadcast against documents (16 bytes each).
 BROADCAST_IDS = 1_000_000
+#: Tasks that the partners of one centre are spread over.
+SALTS = 16
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -53,7 +58,7 @@ def level_table(docs: DataFrame, k: int, percent: int) -> np.ndarray:
 
     def run(ids: list, texts: list) -> dict:
         sets = shingles([t.encode() for t in texts], k)
-        some = np.concatenate([s[: prefix_size(len(s), percent)] for s in sets])
+        some = np.concatenate([s[: prefix_size(len(s), percent)] for s in map(np.unique, (a for a, _ in sets))])
         token, count = np.unique(some, return_counts=True)
         return {"token": token.astype(np.int64), "n": count}
 
@@ -78,12 +83,13 @@ def profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
     def run(ids: list, texts: list) -> dict:
         out: dict[str, list] = {c: [] for c in ("doc_id", "n", "sig1", "sig2", "h", "prefix", "sketch")}
         table = levels.value
-        for i, s in zip(ids, shingles([t.encode() for t in texts], k), strict=True):
+        for i, (all_, more) in zip(ids, shingles([t.encode() for t in texts], k), strict=True):
+            s, at = np.unique(all_, return_index=True)
             order = np.argsort(table[(s & U(LEVEL_BUCKETS - 1)).astype(np.int64)], kind="stable")
             out["doc_id"].append(i)
             out["n"].append(len(s))
             out["sig1"].append(int(mix(s).sum(dtype=np.uint64).astype(np.int64)))
-            out["sig2"].append(int(mix(s ^ U(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)))
+            out["sig2"].append(int(mix(more[at]).sum(dtype=np.uint64).astype(np.int64)))
             prefix = s[order[: prefix_size(len(s), percent)]].astype(np.int64)
             out["h"].append(int.from_bytes(xxhash.xxh3_64_digest(prefix.tobytes()), "little", signed=True))
             out["prefix"].append(prefix)
@@ -106,27 +112,45 @@ def close(a: str, b: str, percent: int, positions: bool) -> Column:
     return fits
 
 
+def salted(pairs: DataFrame) -> DataFrame:
+    """pairs with a salt by v, so that a centre with very many partners is spread over SALTS tasks."""
+    return pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+
+
+def similar(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray], percent: int) -> bool:
+    """Are two sets, by both hashes of their shingles, similar enough? A collision in one hash does not count."""
+    both = min(len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(x, y, strict=True))
+    return both > 0 and 100 * both >= percent * (max(map(len, x)) + max(map(len, y)) - both)
+
+
 def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """A table of the pairs (u, v) of documents whose sets are similar enough. Only texts of documents in pairs move."""
-    ids = pairs.select(F.col("u").alias("_id")).union(pairs.select(F.col("v").alias("_id"))).distinct()
-    ids = cut(ids)
+    """A table of the pairs (u, v) of documents whose sets are similar enough. Only texts of documents in pairs move; the text of
+    u goes once to each of its salts and is followed there by those of its partners."""
+    ids = cut(pairs.select(F.col("u").alias("_id")).union(pairs.select(F.col("v").alias("_id"))).distinct())
     few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = id_and_text(docs).join(few, F.col("doc_id") == F.col("_id")).select("doc_id", "text")
-    joined = pairs.join(texts.toDF("u", "text_u"), "u").join(texts.toDF("v", "text_v"), "v")
+    dealt = salted(pairs)
+    heads = dealt.select("u", "salt").distinct().join(texts.withColumnRenamed("doc_id", "u"), "u").select("u", "salt", F.lit(None).cast("long").alias("v"), "text")
+    others = dealt.join(texts.withColumnRenamed("doc_id", "v"), "v").select("u", "salt", "v", "text")
+    rows = heads.union(others).repartition(partitions(docs.sparkSession), "u", "salt").sortWithinPartitions("u", "salt", F.col("v").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, centre = None, []
         for batch in batches:
-            a, b = batch.column("text_u").to_pylist(), batch.column("text_v").to_pylist()
-            keep = []
-            for i, j in pieces_by_bytes([len(x) + len(y) for x, y in zip(a, b, strict=True)], STEP_BYTES):
-                sets = shingles([t.encode() for t in a[i:j] + b[i:j]], k)
-                for x, y in zip(sets[: j - i], sets[j - i :], strict=True):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-            at = pa.array(keep)
-            yield pa.RecordBatch.from_arrays([batch.column("u").filter(at), batch.column("v").filter(at)], names=["u", "v"])
-
-    out = cut(joined.select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long"))
+            found: list[tuple[int, int]] = []
+            u, salt, v, text = (batch.column(c).to_pylist() for c in ("u", "salt", "v", "text"))
+            for i, j in pieces_by_bytes([len(t) for t in text], STEP_BYTES):
+                for n, both in enumerate(shingles([t.encode() for t in text[i:j]], k), i):
+                    if head != (u[n], salt[n]):
+                        head, centre = (u[n], salt[n]), []
+                    own = tuple(map(np.unique, both))
+                    if v[n] is None:
+                        centre.append(own)
+                    elif any(similar(x, own, percent) for x in centre):
+                        found.append((u[n], v[n]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in (0, 1)], names=["u", "v"])
+
+    out = cut(rows.mapInArrow(run, "u long, v long"))
     discard(ids)
     return out
 
@@ -163,7 +187,9 @@ def similar_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
 
     def near(pairs: DataFrame) -> DataFrame:
         """Pairs (u, v) of documents that pass the size and sketch filters."""
-        both = pairs.join(as_(info, "a_", ["doc_id", *sk]), F.col("u") == F.col("a_doc_id")).join(as_(info, "b_", ["doc_id", *sk]), F.col("v") == F.col("b_doc_id"))
+        dealt = salted(pairs)
+        heads = dealt.select("u", "salt").distinct().join(as_(info, "a_", ["doc_id", *sk]), F.col("u") == F.col("a_doc_id"))
+        both = dealt.join(heads, ["u", "salt"]).join(as_(info, "b_", ["doc_id", *sk]), F.col("v") == F.col("b_doc_id"))
         return both.filter(close("a_", "b_", percent, False)).select("u", "v")
 
     for turn in (0, 1):
