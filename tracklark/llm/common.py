@@ -15,24 +15,46 @@ STEP_BYTES = 1 << 21
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets a temporary one (tests,
+    benchmarks); on a cluster that is an error, as a machine's own folder is none that others see."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
         folder = spark.sparkContext.getCheckpointDir()
     return folder
 
 
+#: For each running written(): the tables that cut has made in it.
+_made: list[list[DataFrame]] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again, so that a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/tracklark-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if _made:
+        _made[-1].append(out)
+    return out
+
+
+def written(make: Callable[[], DataFrame]) -> DataFrame:
+    """cut(make()), without the tables that make has cut on the way."""
+    _made.append([])
+    try:
+        out = cut(make())
+    finally:
+        used = _made.pop()
+    discard(*(df for df in used if df is not out))
+    return out
 
 
 def discard(*tables: DataFrame | None) -> None:
-    """Deletes tables made by cut, once everything that is read from them has been written elsewhere."""
+    """Deletes tables made by cut, once everything that is read from them has been written elsewhere. This and the publication go
+    through the JVM's file system, so they need a classic session, not Spark Connect."""
     for df in tables:
         if df is not None:
             for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:

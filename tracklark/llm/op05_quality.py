@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklark.llm.common import cut, discard, documents, packed, unpacked
+from tracklark.llm.common import cut, documents, packed, unpacked
 
 # The most frequent words of each language, of at most three letters.
 COMMON_WORDS = {
@@ -121,13 +121,9 @@ def judged(rows: DataFrame, refs: DataFrame) -> DataFrame:
 
 
 def filter_quality(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are kept; the references are those of docs."""
-    measured = cut(features(docs.select("text", "lang")).drop("text", "lang"))
-    refs = cut(references(measured))
-    discard(measured)
-    # The id keeps the filter on the verdict from being pushed below the features, which would work them out again for each use.
-    rows = features(packed(docs, "text", "lang")).drop("text", "lang").withColumn("_id", F.monotonically_increasing_id())
-    return unpacked(judged(rows, refs).filter("kept and _id >= 0"), docs)
+    """The rows of docs that are kept; the references are those of docs. Features are worked out once, in a table beside the rows."""
+    measured = cut(features(packed(docs, "text", "lang")).drop("text", "lang"))
+    return unpacked(judged(measured, references(measured)).filter("kept"), docs)
 
 
 def op5_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
