@@ -4,6 +4,9 @@ import hashlib
 import math
 import re
 from collections import defaultdict
+from functools import cache
+
+import numpy as np
 
 WHITE = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -112,6 +115,7 @@ def pii(text):
     return out + [("phone", *m.span()) for m in PHONE.finditer(t) if 9 <= len(digits(m[0])) <= 15]
 
 
+@cache
 def disclosing(texts, context, least=3, threshold=0.8):
     """(entity, term): terms by whole texts; context(text, start, end) is what must differ."""
     texts = {t or "" for t in texts}
@@ -120,6 +124,7 @@ def disclosing(texts, context, least=3, threshold=0.8):
     holders, contexts, outside = defaultdict(set), defaultdict(set), {}
     for t in texts:
         spans = pii(t)
+        spans += keys(t, spans)
         outside[t] = {m[0] for m in re.finditer(r"[^\W_]{4,}", t) if not any(m.start() < b and a < m.end() for _, a, b in spans)}
         for k, a, b in spans:
             entity = f"{k}:{t[a:b].lower()}"
@@ -147,3 +152,81 @@ def shortest_pack_first(histogram, room):
         else:
             packs[at] += n
     return packs
+
+
+COMMON = {
+    "en": ["the", "of", "and", "to", "in"],
+    "de": ["der", "die", "und", "in", "den"],
+    "fr": ["de", "la", "le", "et", "les"],
+    "es": ["de", "la", "que", "el", "en"],
+}
+
+
+def distance(p, q):
+    p, q = [x / sum(p) for x in p], [x / sum(q) for x in q]
+    m = [(x + y) / 2 for x, y in zip(p, q, strict=True)]
+    part = lambda a: sum(x * math.log2(x / y) for x, y in zip(a, m, strict=True) if x > 0)
+    return math.sqrt(max(0, part(p) + part(q)) / 2)
+
+
+def quality(docs, chars=0.165, word=0.18):
+    """Ids of the documents (id -> text, lang) that are kept."""
+    rows = {}
+    for i, (text, lang) in docs.items():
+        n, n_chars, _, _, again = quality_base(text)
+        w, t = words(text), text or ""
+        solid = "".join(w)
+        digits = sum(c in "0123456789" for c in solid)
+        odd = [sum("A" <= c <= "Z" for c in solid), sum(c in ".,;:!?'\"()-" for c in solid), sum(c in "#*$%&|<>" for c in solid)]
+        lower = sum("a" <= c <= "z" for c in solid)
+        classes = [*odd, len(t) - n_chars, lower, n_chars - digits - lower - sum(odd)]
+        lang = lang if lang in COMMON else "other"
+        found = [w.count(c) for c in COMMON.get(lang, ())]
+        rows[i] = (lang, n, len(t), n_chars, digits, classes, [*found, n - sum(found)] if found else None, n < 50 or 100 * again > 50 * n)
+
+    def reference(some, k, of):
+        shares = [[math.floor(1000 * r[k][j] / of(r) + 0.5) for r in some] for j in range(len(some[0][k]))]
+        return [float(np.median(x)) for x in shares]
+
+    good = [r for r in rows.values() if not r[7]]
+    kept = set()
+    for i, (lang, n, size, n_chars, digits, classes, found, failed) in rows.items():
+        if failed:
+            continue
+        own = [r for r in good if r[0] == lang] if lang != "other" else good
+        far = distance(classes, reference(own, 5, lambda r: sum(r[5])))
+        far_words = distance(found, reference(own, 6, lambda r: r[1])) if found else 0
+        if not (size >= 200 and (far > chars or 100 * digits > 30 * n_chars)) and not (n >= 100 and far_words > word):
+            kept.add(i)
+    return kept
+
+
+KINDS = ("email", "ip", "card", "phone")
+
+
+def keys(text, base):
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9]+", text):
+        s = m[0]
+        bits = -sum(math.log2(s.count(c) / len(s)) for c in s)
+        turns = sum(a.isdigit() != b.isdigit() for a, b in zip(s, s[1:], strict=False))
+        if len(s) >= 20 and bits >= 64 and turns >= 4 and not any(m.start() < b and a < m.end() for _, a, b in base):
+            out.append(("key", *m.span()))
+    return out
+
+
+def sanitised(text, texts):
+    """The text without its spans, given all texts of the corpus."""
+    from tracklark.llm.op09_pii import context
+
+    base = pii(text)
+    spans = base + keys(text, base)
+    own = {f"{k}:{text[a:b].lower()}" for k, a, b in spans}
+    gone = {t for e, t in disclosing(tuple(texts), context) if e in own}
+    spans += [("term", *m.span()) for m in re.finditer(r"[^\W_]{4,}", text) if m[0] in gone and not any(m.start() < b and a < m.end() for _, a, b in spans)]
+    out, at = [], 0
+    for k, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
+        if a >= at:
+            out += [text[at:a], "" if k == "term" else f"[{k.upper()}]"]
+        at = max(at, b)
+    return "".join(out) + text[at:]

@@ -59,6 +59,26 @@ def test_op2(spark):
     assert op02_forest.nearest(table.limit(0), table.vec_id % 50 == 0).count() == 0
 
 
+def test_op2_recall_at_the_real_share(spark):
+    """Vectors without structure, several shards and blocks, copies and scaled copies among them."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((3000, 64)).astype("float32")
+    x[1000:1040] = x[50]
+    x[2000] = 3 * x[100]  # the same direction: equal cosines
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = op02_forest.nearest(table, table.vec_id % 50 == 0).collect()
+    d = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    hits = 0
+    for q in range(0, 3000, 50):
+        s = np.round(d @ d[q], 12)
+        s[q] = -9
+        want = sorted(range(3000), key=lambda i: (-s[i], i))[:5]
+        mine = [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])]
+        assert len(mine) == 5
+        hits += len(set(want) & set(mine))
+    assert hits >= 0.9 * 5 * 60
+
+
 def test_op3(docs):
     got = by_id(op03_license.license_scan(docs))
     assert got[62]["license"] == "MIT" and got[62]["coverage"] == 1.0 and (got[62]["start_word"], got[62]["end_word"]) == (0, 5)
@@ -239,6 +259,22 @@ def test_op9_discloses(spark):
     assert all(out[i] == t for i, t, _ in plain)
 
 
+def test_op9_query_gives_keys_and_terms(spark, monkeypatch):
+    texts = {i: f"soon write jane.roe@ex.org and ask Zanzibar {x} desk, the Zanzibar" for i, x in enumerate(["alpha", "betas", "gamma", "delta"])}
+    texts |= {100 + i: f"plain text {i} about a desk and nothing else, write soon" for i in range(60)}
+    texts |= {200: "Key 24be64439e3e49cf46b2d7c90f3602a3d0b907ff, not 12345678901234567890123 nor abcdefghijklmnopqrstuvwxyz", 201: None, 202: "0" * 30 + "a1" * 15}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    monkeypatch.setattr(op09_pii, "documents", lambda spark, folder: docs)
+    got = by_id(op09_pii.op9_disclosure_pii(spark, ""))
+    for i, t in texts.items():
+        t = t or ""
+        spans = brute.pii(t)
+        more = brute.keys(t, spans) + [("term", k, k + 8) for k in range(len(t)) if t[k : k + 8] == "Zanzibar"]
+        assert got[i]["spans"] == op09_pii.written(spans + more), i
+        assert got[i]["base_sha256"] == hashlib.sha256(op09_pii.written(spans).encode()).hexdigest()
+    assert got[200]["spans"] == "key:4:44" and got[0]["spans"].count("term") == 2
+
+
 def test_op9_counts_whole_texts(spark):
     """Terms far from the mention, always or mostly; against a plain version on whole texts."""
     rng = random.Random(5)
@@ -255,7 +291,7 @@ def test_op9_counts_whole_texts(spark):
     zipped = [(e, r["text_hash"], c) for r in rows.collect() for e, c in zip(r["entities"], r["contexts"], strict=True)]
     mentions = spark.createDataFrame(zipped, "entity string, text_hash long, context long")
     got = {(r["entity"], r["term"]) for r in op09_pii.disclosing(docs, mentions).collect()}
-    assert got == brute.disclosing(texts, op09_pii.context)
+    assert got == brute.disclosing(tuple(texts), op09_pii.context)
     terms = {t for _, t in got}
     assert {"Zanzibar", "Timbuktu", "rare"} <= terms and not {"Kathmandu", "Ulaanbaatar", "Samarkand"} & terms
     out = {r["doc_id"]: r["text"] for r in op09_pii.sanitise(docs).collect()}

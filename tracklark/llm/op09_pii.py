@@ -1,12 +1,13 @@
 """PII: base patterns, and information-theoretic sanitisation of the terms that give a protected entity away.
 
-Protected entities are the values that the base patterns find. Co-occurring terms are the words of four or more letters or digits
+Protected entities are the values that the base patterns find, and keys: strings of letters and digits that hold at least KEY_BITS of
+information by the entropy of their own characters (spans of kind "key"). Co-occurring terms are the words of four or more letters or digits
 anywhere in the texts that mention an entity. For a term t and an entity e, PMI(t; e) = log(p(t, e) / (p(t) p(e))) is the
 information that t discloses of e, and IC(e) = -log p(e) all there is; t is a disclosing term of e if PMI / IC reaches the
 disclosure threshold and t stands in at least least_contexts texts that mention e in as many distinct contexts (the words around
 the mention; equal contexts count once, so copies are no evidence). p counts documents by distinct text, whole texts everywhere.
 In documents that mention e, its disclosing terms become spans of kind "term". sanitise() puts a general
-label in place of base spans and removes terms.
+label in place of base spans and keys and removes terms.
 
 Defined results: a null or empty text has no spans; spans count code points, end exclusive; repeated rows and copies get equal
 spans; an empty table gives an empty table; further columns pass through sanitise unchanged.
@@ -14,8 +15,12 @@ spans; an empty table gives an empty table; further columns pass through sanitis
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -32,11 +37,13 @@ IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 WORD = re.compile(r"[^\W_]{4,}")
-LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": ""}
+LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "key": "[KEY]", "term": ""}
+#: Strings that may be keys have so many characters, go from letters to digits or back so often, and hold so many bits.
+KEY_RUN, KEY_TURNS, KEY_BITS = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9]{20,}+"), 4, 64
 #: Words on each side of a mention that make its context, least distinct contexts and texts, and the disclosure threshold.
 CONTEXT_WORDS, LEAST_CONTEXTS, DISCLOSURE = 6, 3, 0.8
-#: Rows up to which a table of terms is broadcast; beyond, it is joined by shuffles.
-BROADCAST_ROWS = 100_000
+#: Rows and bytes (as JSON) up to which a table of terms is broadcast; beyond, it is joined by shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 8_000_000
 
 
 def luhn(digits: str) -> bool:
@@ -75,16 +82,39 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def key_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Keys outside the base spans."""
+    out = []
+    for m in KEY_RUN.finditer(text):
+        run = m.group()
+        turns = sum(a.isdigit() != b.isdigit() for a, b in zip(run, run[1:], strict=False))
+        bits = sum(n * math.log2(len(run) / n) for n in Counter(run).values())
+        if turns >= KEY_TURNS and bits >= KEY_BITS and not any(m.start() < b and a < m.end() for _, a, b in base):
+            out.append(("key", *m.span()))
+    return out
+
+
+def all_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
+    """Base spans, keys."""
+    base = base_spans(text)
+    return base, key_spans(text, base)
+
+
 def written(spans: list[tuple[str, int, int]]) -> str:
-    """kind:start:end by kind as listed (terms last), then start, comma-joined."""
-    order = {k: i for i, k in enumerate((*KINDS, "term"))}
+    """kind:start:end by kind as listed (keys and terms last), then start, comma-joined."""
+    order = {k: i for i, k in enumerate((*KINDS, "key", "term"))}
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (order[s[0]], s[1])))
 
 
 def context(text: str, start: int, end: int) -> tuple[list[str], list[str]]:
-    """The words of at least four letters or digits beside a mention, nearest first; the rest of the text isn't touched."""
-    left = [m.group() for m in WORD.finditer(text, max(0, start - 200), start)][::-1][:CONTEXT_WORDS]
-    return left, [m.group() for m in WORD.finditer(text, end, min(len(text), end + 200))][:CONTEXT_WORDS]
+    """The whole words of at least four letters or digits beside a mention, within about 200 characters, nearest first."""
+    low, high = max(0, start - 200), min(len(text), end + 200)
+    while 0 < low < start and text[low - 1].isalnum():
+        low += 1
+    while end < high < len(text) and text[high].isalnum():
+        high -= 1
+    left = [m.group() for m in WORD.finditer(text, low, start)][::-1][:CONTEXT_WORDS]
+    return left, [m.group() for m in WORD.finditer(text, end, high)][:CONTEXT_WORDS]
 
 
 def text_hash(text: str) -> int:
@@ -94,26 +124,29 @@ def text_hash(text: str) -> int:
 
 
 def found(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, base, and for each mention its entity and the context's hash (arrays of equal length)."""
+    """doc_id, text_hash, base and keys (spans), and for each mention its entity and the context's hash (arrays of equal length)."""
 
     def run(ids: list, texts: list) -> dict:
-        out: dict[str, list] = {k: [] for k in ("doc_id", "text_hash", "base", "entities", "contexts")}
+        out: dict[str, list] = {k: [] for k in ("doc_id", "text_hash", "base", "keys", "entities", "contexts")}
         for i, text in zip(ids, texts, strict=True):
-            spans = base_spans(text)
+            base, keys = all_spans(text)
+            spans = base + keys
             around = [context(text, a, b) for _, a, b in spans]
             out["doc_id"].append(i)
             out["text_hash"].append(text_hash(text))
-            out["base"].append(written(spans))
+            out["base"].append(written(base))
+            out["keys"].append(written(keys))
             out["entities"].append([f"{k}:{text[a:b].lower()}" for k, a, b in spans])
             out["contexts"].append([text_hash(repr(c)) for c in around])
         return out
 
-    return per_batch(id_and_text(docs), "doc_id long, text_hash long, base string, entities array<string>, contexts array<long>", run)
+    return per_batch(id_and_text(docs), "doc_id long, text_hash long, base string, keys string, entities array<string>, contexts array<long>", run)
 
 
 def small(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint if it has at most BROADCAST_ROWS rows."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """df with a broadcast hint if it has at most BROADCAST_ROWS rows and BROADCAST_BYTES bytes."""
+    some = df.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))).alias("size")).first()
+    return F.broadcast(df) if some["n"] <= BROADCAST_ROWS and (some["size"] or 0) <= BROADCAST_BYTES else df
 
 
 def words_of(texts: DataFrame) -> DataFrame:
@@ -123,7 +156,7 @@ def words_of(texts: DataFrame) -> DataFrame:
         for batch in batches:
             for h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 terms = sorted(set(WORD.findall(text)))
-                free = {text[a:b] for _, a, b in term_spans(text, terms, written(base_spans(text)))}
+                free = {text[a:b] for _, a, b in term_spans(text, terms)}
                 yield pa.RecordBatch.from_arrays([pa.array([h] * len(terms), pa.int64()), pa.array(terms, pa.string()), pa.array([t in free for t in terms], pa.bool_())], names=["text_hash", "term", "outside"])
 
     return texts.mapInArrow(run, "text_hash long, term string, outside boolean")
@@ -161,12 +194,18 @@ def disclosing(docs: DataFrame, mentions: DataFrame) -> DataFrame:
     return in_contexts.groupBy("entity", "term").agg(F.countDistinct("context").alias("n_contexts")).filter(F.col("n_contexts") >= LEAST_CONTEXTS).select("entity", "term")
 
 
-def term_spans(text: str, terms: list[str], base: str) -> list[tuple[str, int, int]]:
-    """Spans of the terms as whole words, outside the base spans."""
-    taken = [(int(a), int(b)) for _, a, b in (x.split(":") for x in base.split(",") if x)]
+def term_spans(text: str, terms: list[str]) -> list[tuple[str, int, int]]:
+    """Spans of the terms as whole words, outside base spans and keys."""
+    base, keys = all_spans(text)
+    taken = sorted((a, b) for _, a, b in base + keys)
+    reach = list(accumulate((b for _, b in taken), max))
     wanted = set(terms)
-    spans = [m.span() for m in WORD.finditer(text) if m.group() in wanted]
-    return [("term", a, b) for a, b in spans if not any(a < d and c < b for c, d in taken)]
+
+    def free(a: int, b: int) -> bool:
+        k = bisect_left(taken, (b,)) - 1  # the last one that begins before b
+        return k < 0 or reach[k] <= a
+
+    return [("term", *m.span()) for m in WORD.finditer(text) if m.group() in wanted and free(*m.span())]
 
 
 def term_lists(docs: DataFrame, rows: DataFrame) -> DataFrame | None:
@@ -199,8 +238,8 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
 
 def sanitised(text: str, terms: list[str]) -> str:
-    base = base_spans(text)
-    spans = sorted(base + term_spans(text, terms, written(base)), key=lambda s: (s[1], -s[2]))
+    base, keys = all_spans(text)
+    spans = sorted(base + keys + (term_spans(text, terms) if terms else []), key=lambda s: (s[1], -s[2]))
     out, at = [], 0
     for kind, a, b in spans:
         if a >= at:  # spans of two kinds may overlap: the first one stands
@@ -214,21 +253,21 @@ def op9_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cut(found(docs))
     lists = term_lists(docs, rows)
     if lists is None:
-        return digests(rows.select("doc_id", "base", F.lit("").alias("more")))
+        return digests(rows.select("doc_id", "base", "keys", F.lit("").alias("terms")))
     texts = id_and_text(docs).withColumn("text_hash", F.xxhash64("text")).join(small(lists), ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            more = [written(term_spans(t, x, written(base_spans(t)))) for t, x in zip(b.column("text").to_pylist(), b.column("disclosing").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(more, pa.string())], names=["doc_id", "text_hash", "more"])
+            terms = [written(term_spans(t, x)) for t, x in zip(b.column("text").to_pylist(), b.column("disclosing").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(terms, pa.string())], names=["doc_id", "text_hash", "terms"])
 
-    added = texts.select("doc_id", "text_hash", "text", "disclosing").mapInArrow(run, "doc_id long, text_hash long, more string")
-    return digests(rows.join(added, ["doc_id", "text_hash"], "left").select("doc_id", "base", F.coalesce("more", F.lit("")).alias("more")))
+    added = texts.select("doc_id", "text_hash", "text", "disclosing").mapInArrow(run, "doc_id long, text_hash long, terms string")
+    return digests(rows.join(added, ["doc_id", "text_hash"], "left").select("doc_id", "base", "keys", F.coalesce("terms", F.lit("")).alias("terms")))
 
 
 def digests(rows: DataFrame) -> DataFrame:
     count = lambda k: F.size(F.filter(F.split("base", ","), lambda x: x.startswith(k + ":"))).cast("long").alias(f"n_{k}")
-    spans = F.array_join(F.filter(F.array("base", "more"), lambda x: x != ""), ",")
+    spans = F.array_join(F.filter(F.array("base", "keys", "terms"), lambda x: x != ""), ",")
     return rows.select("doc_id", *map(count, KINDS), F.sha2("base", 256).alias("base_sha256"), spans.alias("spans"))
 
 
