@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracklark.llm.common import cut
+from tracklark.llm.common import discard, written
 from tracklark.llm.op01_jaccard import drop_near_copies
 from tracklark.llm.op05_quality import filter_quality
 from tracklark.llm.op06_line_dedup import dedup_lines
@@ -38,12 +38,14 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_copies", near_copies), ("pii", pii), ("packing", packing)]
-#: Corpus statistics of terms and token ids are beyond SQL. Tests hold each stage's operator against a plain version; run() as a whole has none yet.
+#: Corpus statistics of terms and token ids are beyond SQL; tests/llm/test_pipeline.py holds run() against plain versions of the stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir))
+        docs = written(lambda f=stage, d=docs: f(spark, d, sf_dir))
+        discard(before)
+        before = docs
     return docs
