@@ -230,3 +230,26 @@ def sanitised(text, texts):
             out += [text[at:a], "" if k == "term" else f"[{k.upper()}]"]
         at = max(at, b)
     return "".join(out) + text[at:]
+
+
+def maximal_repeats(texts, least=100):
+    """All strings of at least this many bytes that stand at several places and whose places do not all go on alike to either side."""
+    data = {i: (t or "").encode() for i, t in texts.items()}
+    at = defaultdict(set)
+    for i, t in data.items():
+        for k in range(len(t) - least + 1):
+            at[t[k : k + least]].add((i, k))
+    out, now, n = set(), {w: p for w, p in at.items() if len(p) > 1}, least
+    while now:
+        longer = defaultdict(set)
+        for w, places in now.items():
+            before = {data[i][k - 1] if k else None for i, k in places}
+            after = [data[i][k + n] if k + n < len(data[i]) else None for i, k in places]
+            if (len(before) > 1 or None in before) and (len(set(after)) > 1 or None in after):
+                out.add(frozenset((i, k, k + n) for i, k in places))
+            for (i, k), c in zip(places, after, strict=True):
+                if c is not None:
+                    longer[w, c].add((i, k))
+        now = {w: p for w, p in longer.items() if len(p) > 1}
+        n += 1
+    return out

@@ -194,20 +194,46 @@ def test_op6_key_over_partitions():
 
 @pytest.mark.parametrize("most", [4096, 2])
 def test_op7(docs, texts, spark, through_queries, monkeypatch, most):
-    monkeypatch.setattr(op07_repeats.repeats, "__defaults__", (100, 24, most, False))
+    monkeypatch.setattr(op07_repeats.repeats, "__defaults__", (100, 24, most))
     got = by_id(op07_repeats.op7_suffix_repeats(spark, ""))
     assert {i: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for i, r in got.items()} == brute.without_repeats(texts)
 
 
-def test_op7_groups(docs, texts):
-    """Every group is one string at all its places, and its later places are removed."""
+def grouped(df):
     groups = {}
-    for r in op07_repeats.repeats(docs, groups=True).collect():
-        groups.setdefault(r["group_id"], []).append(r)
-    assert groups
-    for rows in groups.values():
-        found = {(texts[r["doc_id"]] or "").encode()[r["start"] : r["end"]] for r in rows}
-        assert len(found) == 1 and len(found.pop()) >= 100 and sum(r["first"] for r in rows) >= 1
+    for r in df.collect():
+        groups.setdefault(r["group_id"], []).append((r["doc_id"], r["start"], r["end"], r["first"]))
+    return groups
+
+
+def test_op7_groups_are_the_maximal_repeats(spark):
+    """Exact copies, long and nested passages, edges of a passage in many texts; against every repeat of every length."""
+    rng = random.Random(6)
+    say = lambda n: " ".join("".join(rng.choice("abdeinorst") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    long_, short = say(120), say(25)
+    texts = {i: f"{say(12)} {short} {say(15)}" for i in range(12)}
+    texts |= {20: f"{say(9)} {long_} {say(9)}", 21: f"{say(3)} {long_} {say(30)}", 22: say(5) + " " + long_[200:500] + " " + say(4), 23: None, 24: say(60), 26: short}
+    texts |= {25: texts[24], 27: texts[24], 28: "é" + short}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = brute.maximal_repeats(texts)
+    for most in (4096, 2):
+        got = grouped(op07_repeats.repeat_groups(docs, most=most))
+        mine = {frozenset((d, a, b) for d, a, b, _ in g) for g in got.values()}
+        assert mine <= want and all([d[:2] for d in sorted(g) if d[3]] == [min(g)[:2]] for g in got.values())
+        if most == 4096:
+            # What is left out are repeats all of whose windows stand at more places than they do.
+            of = {}
+            for i, t in texts.items():
+                t = (t or "").encode()
+                for k in range(len(t) - 99):
+                    of[t[k : k + 100]] = of.get(t[k : k + 100], 0) + 1
+            for g in want - mine:
+                i, a, b = min(g)
+                assert all(of[texts[i].encode()[k : k + 100]] > len(g) for k in range(a, b - 99))
+            assert len(mine) >= 0.8 * len(want) and any(b - a > 600 for g in mine for _, a, b in g)
+        else:  # families split to the end: every repeated window is in a group with all its places
+            held = {(d, k) for g in mine for d, a, b in g for k in range(a, b - 99)}
+            assert held == {(d, k) for g in want for d, a, b in g for k in range(a, b - 99)}
 
 
 def test_op7_groups_hold_all_occurrences():
@@ -382,6 +408,7 @@ RUNS = {
     "op5": lambda d: op05_quality.filter_quality(d),
     "op6": lambda d: op06_line_dedup.dedup_lines(d),
     "op7": lambda d: op07_repeats.repeats(d),
+    "op7_groups": lambda d: op07_repeats.repeat_groups(d),
     "op8": lambda d: op08_bpe.digests(d, TIK),
     "op9": lambda d: op09_pii.sanitise(d),
     "op10": lambda d: op10_packing.pack(d, TIK, JSON),
@@ -393,7 +420,7 @@ def test_empty_tables_give_empty_tables(no_docs, name):
     assert RUNS[name](no_docs).count() == 0
 
 
-@pytest.mark.parametrize("name", sorted(set(RUNS) - {"op5", "op7"}))
+@pytest.mark.parametrize("name", sorted(set(RUNS) - {"op5", "op7", "op7_groups"}))
 def test_repeated_rows_and_missing_ids(odd_docs, name):
     got = RUNS[name](odd_docs).collect()
     assert len(got) == (4 if name in ("op1",) else 5), got

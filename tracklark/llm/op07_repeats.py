@@ -2,16 +2,20 @@
 
 A window of `least` bytes is anchored at its minimizer, the seed of `seed` bytes with the smallest hash in it; equal windows have
 the same anchor, so suffixes that begin at anchors are enough, and only those that share a seed can repeat. Suffixes are dealt by
-ranges of (seed, context, document), sorted, and streamed; an anchor whose whole context (all windows it anchors) stood before is
-a repeat outright, and of each context only the first stays.
+ranges of (seed, context, document), sorted, and streamed; an anchor whose whole context (all windows it anchors, by a 128-bit hash
+of their bytes) stood before is a repeat outright, and of each context only the first stays.
 
 The contexts that stay are sorted by what follows their seed, with the longest common prefixes of neighbours: an enhanced suffix
 array. A stack scan over it gives the interval tree; in each interval the left extensions are tested for diversity in the same way
 (their sorted order, common lengths and stack scan), so that every node is a maximal repeat with all its occurrences. All but the
 first occurrence of each are removed.
 
-A seed with more than most contexts (the edge of a hot passage) is no group of its own: its windows are keyed one by one and
-their first occurrence is found by an aggregation that combines before the shuffle.
+A seed with more than most contexts (the edge of a hot passage) is split by suffix order: a repeat holds half of its other bytes
+after the seed or half of them before it, so those that share these bytes are scanned as families of their own. A family that is
+still too large is split to the end, by the window itself: each window's first place is found by an aggregation that combines
+before the shuffle.
+
+repeats() gives the bytes to remove; repeat_groups() the groups of maximal repeats with all their occurrences, as long as they are.
 
 Defined results: a null or empty text has no bytes; texts of fewer than `least` bytes keep all; rows that repeat a doc_id and its text
 are one document, each row gets its result; rows without a doc_id keep all; an empty table gives an empty table; columns beside
@@ -21,31 +25,34 @@ doc_id and text do not matter.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracklark.llm.common import STEP_BYTES, arrow_types, cut, documents, id_and_text, partitions, per_batch
-from tracklark.llm.textnum import BYTE_VALUES, U, prefix_sums, range_hashes
+from tracklark.llm.textnum import BYTE_VALUES, U, content_hashes, prefix_sums, range_hashes
 
 #: Bytes of a repeat and of a seed; contexts of one seed that are scanned together.
 LEAST, SEED, MOST = 100, 24, 4096
-ANCHORS = "seed long, context long, doc_id long, place long"
+#: Tasks that the occurrences of one document's repeats are spread over.
+SALTS = 16
+ANCHORS = "seed long, context long, context2 long, doc_id long, place long"
 SPANS = "doc_id long, start long, end long"
+NODES = "h1 long, h2 long, left long, right long, doc_id long, anchor long"
 GROUPS = "group_id long, doc_id long, start long, end long, first boolean"
 
 
 def anchors(data: np.ndarray, bounds: np.ndarray, least: int = LEAST, seed: int = SEED) -> tuple[np.ndarray, ...]:
     """Of joined texts (bounds: where each starts, and the end; at most STEP_BYTES in all): anchor, first and last window
-    anchored there, hash of the seed and of the context from the first window's start to the last one's end."""
+    anchored there, hash of the seed and two of the context from the first window's start to the last one's end."""
     n = len(data)
-    none = np.zeros(0, np.int64)
     if n < least:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return *(np.zeros(0, np.int64),) * 3, *(np.zeros(0, np.uint64),) * 3
     s = prefix_sums(data, BYTE_VALUES)
     at = np.arange(n - seed + 1)
     h = range_hashes(s, at, at + seed)
@@ -74,11 +81,13 @@ def anchors(data: np.ndarray, bounds: np.ndarray, least: int = LEAST, seed: int
     keep = valid[first]
     first, last = first[keep], last[keep]
     q = anchor[first]
-    return q, first, last, h[q], range_hashes(s, first, last + least)
+    return q, first, last, h[q], *content_hashes(data.tobytes(), first, last + least)
 
 
 def all_anchors(docs: DataFrame, least: int, seed: int) -> DataFrame:
     """ANCHORS: place holds the anchor, and how far before it the first and last window start. Long texts go in overlapping parts."""
+    if not seed <= least < 256 + seed:
+        raise ValueError("a window must hold a seed and at most 255 bytes before it")
 
     def run(ids: list, texts: list) -> dict:
         parts, owner, base = [], [], []
@@ -89,16 +98,17 @@ def all_anchors(docs: DataFrame, least: int, seed: int) -> DataFrame:
                 owner.append(i)
                 base.append(a)
         # Parts of one call sum to 2 * STEP_BYTES at most: a step of whole texts or each part of a long one alone.
-        out: dict[str, list] = {"seed": [], "context": [], "doc_id": [], "place": []}
+        out: dict[str, list] = {x.split()[0]: [] for x in ANCHORS.split(", ")}
         alone = len(parts) > len(texts)
         for some in [[k] for k in range(len(parts))] if alone else [list(range(len(parts)))]:
             bounds = np.cumsum([0] + [len(parts[k]) for k in some])
-            q, first, last, h, c = anchors(np.frombuffer(b"".join(parts[k] for k in some), np.uint8), bounds, least, seed)
+            q, first, last, h, c, c2 = anchors(np.frombuffer(b"".join(parts[k] for k in some), np.uint8), bounds, least, seed)
             at = np.searchsorted(bounds, first, "right") - 1
             which = np.array(some)[at]
             local = q - bounds[at] + np.array(base, np.int64)[which]
             out["seed"].append(h.astype(np.int64))
             out["context"].append(c.astype(np.int64))
+            out["context2"].append(c2.astype(np.int64))
             out["doc_id"].append(np.array(owner, np.int64)[which])
             out["place"].append(local << 16 | (q - first) << 8 | (q - last))
         return {k: np.concatenate(v) for k, v in out.items()}
@@ -113,22 +123,22 @@ def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     edge = True
 
     def out(x: np.ndarray, left: bool, right: bool) -> pa.RecordBatch:
-        seed, context = x[0], x[1]
+        seed, context, more = x[:3]
         new_seed = np.ones(len(seed), bool)
         new_seed[1:] = seed[1:] != seed[:-1]
         new = new_seed.copy()
-        new[1:] |= context[1:] != context[:-1]
+        new[1:] |= (context[1:] != context[:-1]) | (more[1:] != more[:-1])
         run = np.cumsum(new_seed) - 1
         several = np.bincount(run, weights=new) > 1
         several[0] |= left
         several[-1] |= right
         keep = ~new | several[run]
-        return pa.RecordBatch.from_arrays([pa.array(~new[keep]), *(pa.array(c[keep]) for c in x)], names=["again", "seed", "context", "doc_id", "place"])
+        return pa.RecordBatch.from_arrays([pa.array(~new[keep]), *(pa.array(c[keep]) for c in x)], names=["again", *(c.split()[0] for c in ANCHORS.split(", "))])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        x = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)])
+        x = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)])
         held.append(x)
         if x[0, 0] != x[0, -1]:
             x = np.concatenate(held, 1)
@@ -210,12 +220,12 @@ def of_seed(rows: list[tuple], least: int, seed: int) -> Iterator[tuple[int, int
         yield left, right, [rows[k] for k in sorted(nodes)]
 
 
-def group_rows(rows: list[tuple], least: int, seed: int) -> Iterator[tuple]:
-    """A row for each occurrence of each maximal repeat."""
+def node_rows(rows: list[tuple], least: int, seed: int) -> Iterator[tuple]:
+    """A row for each context of each maximal repeat."""
     for left, right, found in of_seed(rows, least, seed):
-        name = xxhash.xxh64_intdigest(found[0][3][:left][::-1] + found[0][4][:right]) >> 1
-        for k, (_, doc, q, _, _) in enumerate(found):
-            yield name, doc, q - left, q + right, k == 0
+        h1, h2 = halves(found[0][3][:left][::-1] + found[0][4][:right])
+        for _, doc, q, _, _ in found:
+            yield h1, h2, left, right, doc, q
 
 
 def covered_rows(rows: list[tuple], least: int, seed: int) -> Iterator[tuple]:
@@ -229,73 +239,164 @@ def covered_rows(rows: list[tuple], least: int, seed: int) -> Iterator[tuple]:
         yield doc, q - left, q + right
 
 
-def scanned(rows: DataFrame, least: int, seed: int, groups: bool) -> DataFrame:
-    """The interval trees of all seeds: the groups of maximal repeats (GROUPS), or only the SPANS that stood before."""
-    schema, each = (GROUPS, group_rows) if groups else (SPANS, covered_rows)
+def halves(data: bytes) -> tuple[int, int]:
+    d = xxhash.xxh3_128_digest(data)
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+
+
+def by_rows(schema: str, each: Callable[[list[tuple]], Iterable[tuple]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow: a batch of each(rows) for every batch."""
     names, kinds = [x.split()[0] for x in schema.split(", ")], arrow_types(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(found: list[tuple]) -> pa.RecordBatch:
+        for batch in batches:
+            found = list(each(list(zip(*(c.to_pylist() for c in batch.columns), strict=True))))
             columns = list(zip(*found, strict=True)) or [()] * len(names)
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    return run
+
+
+def scanned(rows: DataFrame, schema: str, each: Callable[[list[tuple], int, int], Iterable[tuple]], least: int, seed: int) -> DataFrame:
+    """each() of the contexts of every seed or family, whose rows (as of contexts()) stand together."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        for batch in batches:
-            found: list[tuple] = []
-            for r in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+
+        def of_batch(found: list[tuple]) -> Iterator[tuple]:
+            for r in found:
                 if held and held[-1][0] != r[0]:
-                    found += each(held, least, seed)
-                    held = []
+                    yield from each(held, least, seed)
+                    held.clear()
                 held.append(r)
-            yield out(found)
-        yield out(list(each(held, least, seed)))
+
+        yield from by_rows(schema, of_batch)(batches)
+        last = list(each(held, least, seed))
+        if last:
+            names, kinds = [x.split()[0] for x in schema.split(", ")], arrow_types(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*last, strict=True), kinds, strict=True)], names=names)
 
     dealt = rows.repartition(partitions(rows.sparkSession), "seed").sortWithinPartitions("seed")
     return dealt.mapInArrow(run, schema)
 
 
+def families(rows: DataFrame, least: int, seed: int) -> DataFrame:
+    """The rows under the hash of what they share, in place of the seed: it and half of the other bytes of a window, after it or before."""
+    half = (least - seed) // 2
+    after = rows.filter(F.octet_length("after") >= seed + half).withColumn("seed", F.xxhash64("seed", F.lit(0), F.substring("after", 1, seed + half)))
+    before = rows.filter(F.octet_length("before") >= least - seed - half).withColumn("seed", F.xxhash64("seed", F.lit(1), F.substring("before", 1, least - seed - half)))
+    return after.union(before)
+
+
+def sizes(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("seed").agg(F.count(F.lit(1)).alias("n"))
+
+
+def windows(rows: list[tuple], least: int) -> Iterator[tuple]:
+    """A row, as of node_rows(), for each window of each context."""
+    for _, doc, q, before, after in rows:
+        text = before[::-1] + after
+        for k in range(len(text) - least + 1):
+            yield *halves(text[k : k + least]), len(before) - k, k + least - len(before), doc, q
+
+
 def window_firsts(rows: DataFrame, least: int) -> DataFrame:
     """SPANS of the windows of contexts that stood before, window by window."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h1, h2, doc, start = [], [], [], []
-            for i, q, before, after in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "anchor", "before", "after")), strict=True):
-                text = before[::-1] + after
-                for k in range(len(text) - least + 1):
-                    d = xxhash.xxh3_128_digest(text[k : k + least])
-                    h1.append(d[:8])
-                    h2.append(d[8:])
-                    doc.append(i)
-                    start.append(q - len(before) + k)
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(x), "<i8")) for x in (h1, h2)] + [pa.array(doc, pa.int64()), pa.array(start, pa.int64())], names=["h1", "h2", "doc_id", "start"])
-
-    keyed = cut(rows.mapInArrow(run, "h1 long, h2 long, doc_id long, start long"))
+    keyed = cut(rows.mapInArrow(by_rows(NODES, lambda x: windows(x, least)), NODES).select("h1", "h2", "doc_id", (F.col("anchor") - F.col("left")).alias("start")).distinct())
     firsts = keyed.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("first"))
     late = keyed.join(firsts, ["h1", "h2"]).filter(F.struct("doc_id", "start") > F.col("first"))
     return late.select("doc_id", "start", (F.col("start") + least).alias("end"))
 
 
-def repeats(docs: DataFrame, least: int = LEAST, seed: int = SEED, most: int = MOST, groups: bool = False) -> DataFrame:
-    """SPANS of all bytes that stood before; with groups, the maximal repeats among the first of each context,
-    without seeds of more than most contexts and cut at the contexts' ends (GROUPS): not all groups, nor all their occurrences."""
+def split_hot(rows: DataFrame, counts: DataFrame, least: int, seed: int, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """What is scanned (seeds and, of those with more than most contexts, families), and what is split by windows (None: nothing)."""
+    hot = cut(counts.filter(F.col("n") > most).select("seed"))
+    if hot.isEmpty():
+        return rows, None
+    parts = cut(families(rows.join(hot, "seed", "left_semi"), least, seed))
+    still = cut(sizes(parts).filter(F.col("n") > most).select("seed"))
+    plain = rows.join(hot, "seed", "left_anti").union(parts.join(still, "seed", "left_anti"))
+    return plain, None if still.isEmpty() else parts.join(still, "seed", "left_semi")
+
+
+def repeats(docs: DataFrame, least: int = LEAST, seed: int = SEED, most: int = MOST) -> DataFrame:
+    """SPANS of all bytes that stood before."""
     n = partitions(docs.sparkSession)
-    ranged = all_anchors(docs, least, seed).repartitionByRange(n, "seed", "context", "doc_id").sortWithinPartitions("seed", "context", "doc_id", "place")
+    keys = ["seed", "context", "context2", "doc_id"]
+    ranged = all_anchors(docs, least, seed).repartitionByRange(n, *keys).sortWithinPartitions(*keys, "place")
     made = cut(ranged.mapInArrow(stream, f"again boolean, {ANCHORS}"))
     anchor = F.shiftright("place", 16)
     first, last = F.shiftright("place", 8).bitwiseAND(255), F.col("place").bitwiseAND(255)
     whole = made.filter("again").select("doc_id", (anchor - first).alias("start"), (anchor - last + least).alias("end"))
     kept = made.filter("not again")
-    counts = kept.groupBy("seed").agg(F.count(F.lit(1)).alias("n"))
+    counts = sizes(kept)
     rows = cut(contexts(docs, kept.join(counts.filter("n > 1").select("seed"), "seed").select("seed", "doc_id", "place"), least))
-    hot = cut(counts.filter(F.col("n") > most).select("seed"))
-    found = scanned(rows.join(hot, "seed", "left_anti"), least, seed, groups)
-    if groups:
-        return found
-    spans = whole.union(found)
-    if not hot.isEmpty():
-        spans = spans.union(window_firsts(rows.join(hot, "seed", "left_semi"), least))
-    return spans
+    plain, still = split_hot(rows, counts, least, seed, most)
+    spans = whole.union(scanned(plain, SPANS, covered_rows, least, seed))
+    return spans if still is None else spans.union(window_firsts(still, least))
+
+
+def repeat_groups(docs: DataFrame, least: int = LEAST, seed: int = SEED, most: int = MOST) -> DataFrame:
+    """GROUPS: maximal repeats with all their occurrences; first marks the one that stood first.
+
+    Each context that stands at several places, and each node of the trees, is a repeat. Repeats that overlap and stand at the same
+    places, shifted, are one; then each grows while all of its occurrences agree. Not given are repeats all of whose
+    contexts stand at more places than they do themselves, and of a run (one byte or phrase over and over) the longer ones."""
+    anchor = F.shiftright("place", 16)
+    place = [F.shiftright("place", 8).bitwiseAND(255).alias("left"), (F.lit(least) - F.col("place").bitwiseAND(255)).alias("right")]
+    key = ["seed", "context", "context2"]
+    found = cut(all_anchors(docs, least, seed).distinct())
+    classes = cut(found.groupBy(*key).agg(F.min(F.struct("doc_id", "place")).alias("x"), F.count(F.lit(1)).alias("n")).select(*key, "x.doc_id", "x.place", "n"))
+    counts = sizes(classes)
+    rows = cut(contexts(docs, classes.join(counts.filter("n > 1").select("seed"), "seed").select("seed", "doc_id", "place"), least))
+    plain, still = split_hot(rows, counts, least, seed, most)
+    nodes = scanned(plain, NODES, node_rows, least, seed)
+    if still is not None:
+        nodes = nodes.union(still.mapInArrow(by_rows(NODES, lambda x: windows(x, least)), NODES))
+    # All places of the contexts of each node; a context that stands at several places is a node by itself.
+    of_class = classes.select(*key, F.col("doc_id").alias("_doc"), anchor.alias("_anchor"))
+    of_node = nodes.distinct().join(of_class, (F.col("doc_id") == F.col("_doc")) & (F.col("anchor") == F.col("_anchor"))).select("h1", "h2", "left", "right", *key)
+    alone = classes.filter("n > 1").select(F.col("context").alias("h1"), F.col("context2").alias("h2"), *place, *key)
+    at = of_node.union(alone).join(found, key).select("h1", "h2", "left", "right", "doc_id", (anchor - F.col("left")).alias("start"))
+    at = cut(at.distinct())
+    piece = ["h1", "h2", "left", "right"]
+    firsts = at.groupBy(*piece).agg(F.min(F.struct("doc_id", "start")).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shifted = at.join(firsts, piece).select(*piece, "f", "n", F.struct("doc_id", (F.col("start") - F.col("f.start")).alias("by")).alias("o"))
+    same = shifted.groupBy(*piece, "f", "n").agg(F.sum(F.xxhash64("o").cast("decimal(38,0)")).alias("s1"), F.sum(F.xxhash64(F.lit(1), "o").cast("decimal(38,0)")).alias("s2"))
+    chain = W.partitionBy("f.doc_id", "n", "s1", "s2").orderBy("f.start", F.col("left") + F.col("right"), *piece)
+    end = F.col("f.start") + F.col("left") + F.col("right")
+    heads = same.withColumn("new", F.col("f.start") >= F.coalesce(F.max(end).over(chain.rowsBetween(W.unboundedPreceding, -1)), F.lit(-1)))
+    heads = cut(heads.filter("new").select(*piece, F.col("f.doc_id").alias("u"), F.col("f.start").alias("at")))
+    grown = cut(extended(docs, heads, cut(at.join(heads, piece).select(*piece, "u", "at", "doc_id", "start"))))
+    out = grown.select(F.xxhash64("u", "g_start", "g_end").alias("group_id"), "doc_id", (F.col("start") - F.col("at") + F.col("g_start")).alias("start"), (F.col("start") - F.col("at") + F.col("g_end")).alias("end"), (F.struct("doc_id", "start") == F.struct(F.col("u").alias("doc_id"), F.col("at").alias("start"))).alias("first"))
+    return out.distinct()
+
+
+def extended(docs: DataFrame, heads: DataFrame, at: DataFrame) -> DataFrame:
+    """at with g_start and g_end: how far the first occurrence (u, at) reaches while all occurrences agree."""
+    piece = ["h1", "h2", "left", "right"]
+    texts = id_and_text(docs).dropDuplicates(["doc_id"])
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt")
+    pairs = at.filter("doc_id != u or start != at").select("u", salt, *piece, "at", "doc_id", "start")
+    lone = pairs.select("u", "salt").distinct().join(texts.withColumnRenamed("doc_id", "u"), "u")
+    lone = lone.select("u", "salt", *(F.lit(None).cast("long").alias(c) for c in (*piece, "at", "doc_id", "start")), "text")
+    others = pairs.join(texts, "doc_id").select("u", "salt", *piece, "at", "doc_id", "start", "text")
+    rows = lone.union(others).repartition(partitions(docs.sparkSession), "u", "salt").sortWithinPartitions("u", "salt", F.col("doc_id").asc_nulls_first())
+    state: dict[str, bytes] = {}
+
+    def each(found: list[tuple]) -> Iterator[tuple]:
+        for _, _, h1, h2, left, right, a, doc, b, text in found:
+            data = text.encode()
+            if doc is None:
+                state["text"] = data
+                continue
+            own, n = state["text"], left + right
+            back = common(own[:a][::-1], data[:b][::-1])
+            yield h1, h2, left, right, back, common(own[a + n :], data[b + n :])
+
+    reach = rows.mapInArrow(by_rows("h1 long, h2 long, left long, right long, back long, more long", each), "h1 long, h2 long, left long, right long, back long, more long")
+    spans = reach.groupBy(*piece).agg(F.min("back").alias("back"), F.min("more").alias("more"))
+    return at.join(spans, piece).withColumn("g_start", F.col("at") - F.col("back")).withColumn("g_end", F.col("at") + F.col("left") + F.col("right") + F.col("more"))
 
 
 def op7_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
