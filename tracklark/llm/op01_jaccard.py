@@ -218,11 +218,14 @@ def similar_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     cols.append("single")
     fits = close("a_", "b_", percent, True) | ~(F.col("a_single") & F.col("b_single"))
     group_pairs = as_(at, "a_", cols).join(as_(at, "b_", cols), (F.col("a_token") == F.col("b_token")) & (F.col("a_gid") < F.col("b_gid")) & differ & fits).select(F.col("a_gid").alias("g"), F.col("b_gid").alias("h")).distinct()
-    one = state.select(F.col("gid").alias("g"), F.col("doc_id").alias("u"), F.col("comp").alias("cu"))
-    two = state.select(F.col("gid").alias("h"), F.col("doc_id").alias("v"), F.col("comp").alias("cv"))
-    pairs = group_pairs.join(one, "g").join(two, "h").filter("cu != cv").select("u", "v")
-    own = one.join(two, (F.col("g") == F.col("h")) & (F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv"))).select("u", "v")
-    state = link(near(pairs.union(own)))
+    # Members meet under the size and sketch filters, so that only likely pairs come out of the join.
+    known_ = state.join(info.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id")).drop("_id")
+    one = known_.select(F.col("gid").alias("g"), F.col("doc_id").alias("u"), F.col("comp").alias("cu"), *(F.col(c).alias(f"a_{c}") for c in sk))
+    two = known_.select(F.col("gid").alias("h"), F.col("doc_id").alias("v"), F.col("comp").alias("cv"), *(F.col(c).alias(f"b_{c}") for c in sk))
+    apart = (F.col("cu") != F.col("cv")) & close("a_", "b_", percent, False)
+    pairs = group_pairs.join(one, "g").join(two.withColumnRenamed("h", "_h"), (F.col("h") == F.col("_h")) & apart).select("u", "v")
+    own = one.join(two, (F.col("g") == F.col("h")) & (F.col("u") < F.col("v")) & apart).select("u", "v")
+    state = link(pairs.union(own))
 
     discard(members, postings)
     of_class = classes.join(state.select(F.col("doc_id").alias("rep"), "comp").distinct(), "rep")
