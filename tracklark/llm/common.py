@@ -34,7 +34,7 @@ def cut(df: DataFrame) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again, so that a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/tracklark-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     if _made:
         _made[-1].append(out)
