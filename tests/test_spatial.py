@@ -1,7 +1,7 @@
 import math
 
 from tracklark.operators import intervals, spatial
-from tracklark.sinks.publish import current, insert_new, line_features, publish, quarantine
+from tracklark.sinks.publish import current, insert_new, line_features, pointers, publish, quarantine
 
 
 def test_projection_and_back(spark):
@@ -21,6 +21,8 @@ def test_area_inside_and_crossings(spark):
     edges = spark.createDataFrame([("a", *p, *q) for p, q in zip(corners, corners[1:], strict=False)], "k string, ae double, an double, be double, bn double")
     points = spark.createDataFrame([(1, 1.0, 1.0), (2, 5.0, 1.0)], "id int, e double, n double")
     assert [r["id"] for r in spatial.inside(points, "id", edges, "k").collect()] == [1]
+    near = spatial.inside(points, "id", edges, "k", cell=1.0)
+    assert [r["id"] for r in near.collect()] == [1] and "CartesianProduct" not in near._jdf.queryExecution().executedPlan().toString()
     loop = spark.createDataFrame([("p", i, x, y) for i, (x, y) in enumerate([(0.0, 0.0), (4.0, 4.0), (4.0, 0.0), (0.0, 4.0)])], "k string, i int, e double, n double")
     assert spatial.self_crossings(spatial.path_segments(loop, ["k"], "i", "e", "n"), ["k"], 3.0).first()["n_crossings"] == 1
 
@@ -48,12 +50,14 @@ def test_publication(spark, tmp_path):
     publish({"t": spark.range(5)}, root, "r2")
     assert current(spark, root, "t").count() == 5
     quarantine(spark, root, "r2")
-    assert not (tmp_path / "pub/current").exists() and (tmp_path / "pub/quarantine/r2").exists()
+    assert current(spark, root, "t").count() == 3 and (tmp_path / "pub/quarantine/r2").exists()
+    quarantine(spark, root, "r1")
+    assert pointers(spark, root) == []
 
 
 def test_insert_never_updates(spark):
     from pyspark.sql import functions as F
 
     old = spark.createDataFrame([(1, "x")], "id int, v string")
-    kept, out = insert_new(old, spark.createDataFrame([(1, "y"), (2, "z"), (3, None)], "id int, v string"), ["id"], F.col("v").isNotNull())
-    assert sorted(map(tuple, kept.collect())) == [(1, "x"), (2, "z")] and {r["code"] for r in out.collect()} == {"duplicate", "invalid"}
+    kept, out = insert_new(old, spark.createDataFrame([(1, "y"), (2, "z"), (2, "zz"), (2, None), (3, None)], "id int, v string"), ["id"], F.col("v").isNotNull())
+    assert sorted(map(tuple, kept.collect())) == [(1, "x"), (2, "z")] and sorted((r["id"], r["code"]) for r in out.collect()) == [(1, "duplicate"), (2, "duplicate"), (2, "invalid"), (3, "invalid")]

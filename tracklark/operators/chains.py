@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracklark.operators.folds import grouped
+from tracklark.operators.sequence import ranked
 
 
 def mode(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -35,9 +36,9 @@ def quota_split(rows: DataFrame, cluster: str, seed: str, share: float) -> DataF
     """rows with split: clusters in the order of their seeded hash are calibration until their rows reach the share of all. Only the
     clusters' counts are ordered, and a cluster is never torn."""
     sizes = rows.groupBy(cluster).agg(F.count(F.lit(1)).alias("_n")).withColumn("_h", F.sha2(F.concat(F.lit(f"{seed}::"), F.col(cluster).cast("string")), 256))
-    run = F.sum("_n").over(W.orderBy("_h").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")
-    total = F.sum("_n").over(W.partitionBy())
-    split = sizes.select(cluster, F.when(run < share * total, "calibration").otherwise("validation").alias("split"))
+    total = sizes.agg(F.sum("_n").alias("_all"))
+    before = ranked(sizes, ["_h"], "_before", "_n").join(F.broadcast(total))  # one row
+    split = before.select(cluster, F.when(F.col("_before") < share * F.col("_all"), "calibration").otherwise("validation").alias("split"))
     return rows.join(split, cluster)
 
 

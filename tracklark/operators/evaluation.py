@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracklark.operators.sequence import ranked
 
 def confusion(rows: DataFrame, keys: list[str], said: Column, true: Column) -> DataFrame:
     """tp, fp, fn, tn per key; rows without a label are left out."""
@@ -45,10 +46,9 @@ def hash_split(rows: DataFrame, key: str, seed: str, percent: int) -> DataFrame:
 
 
 def folds(rows: DataFrame, group: str, k: int) -> DataFrame:
-    """rows with fold: the groups' dense rank modulo k. Only the distinct groups are ranked."""
-    groups = rows.select(group).distinct()
-    ranked = groups.withColumn("fold", (F.row_number().over(W.orderBy(group)) - 1) % k)
-    return rows.join(ranked, group)
+    """rows with fold: the groups' dense rank modulo k. Only the distinct groups are ranked, in ranges."""
+    groups = ranked(rows.select(group).distinct(), [group], "fold").withColumn("fold", F.col("fold") % k)
+    return rows.join(groups, group)
 
 
 def batches(rows: DataFrame, keys: list[str], order: list[str], size: int, least: int) -> DataFrame:

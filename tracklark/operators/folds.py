@@ -111,42 +111,60 @@ def dedupe_box(rows: DataFrame, keys: list[str], s: str, d: str, tie: str, score
     return rows.groupBy(*keys).applyInPandas(run, rows.schema)
 
 
-def assign(cost: np.ndarray, most: float = np.inf) -> list[int]:
-    """Row -> column (or -1) of least total cost, pairs at or above `most` forbidden: shortest augmenting paths with potentials."""
+def blocks(allowed: np.ndarray) -> list[tuple[list[int], list[int]]]:
+    """Rows and columns of each connected part of the allowed pairs that has any."""
+    left, out = set(np.flatnonzero(allowed.any(1)).tolist()), []
+    while left:
+        rows, columns, new = set(), set(), {min(left)}
+        while new:
+            rows |= new
+            columns |= set(np.flatnonzero(allowed[sorted(new)].any(0)).tolist())
+            new = set(np.flatnonzero(allowed[:, sorted(columns)].any(1)).tolist()) - rows
+        left -= rows
+        out.append((sorted(rows), sorted(columns)))
+    return out
+
+
+def matched(cost: np.ndarray) -> list[int]:
+    """Row -> column (or -1): as many pairs as can be made (inf: none), of least total cost. The pairs grow one at a time, by the cheapest
+    chain of swaps from a free row to a free column."""
     n, m = cost.shape
-    size = max(n, m)
-    big = 1e9
-    c = np.full((size, size), big)
-    c[:n, :m] = np.where(cost < most, cost, big)
-    u, v = np.zeros(size + 1), np.zeros(size + 1)
-    match = np.zeros(size + 1, int)  # row at each column, 1-based
-    for i in range(1, size + 1):
-        match[0], at = i, 0
-        low, way, seen = np.full(size + 1, np.inf), np.zeros(size + 1, int), np.zeros(size + 1, bool)
-        while True:
-            seen[at] = True
-            row = match[at]
-            free = ~seen[1:]
-            now = c[row - 1] - u[row] - v[1:]
-            better = free & (now < low[1:])
-            low[1:][better], way[1:][better] = now[better], at
-            step = np.where(free, low[1:], np.inf)
-            nxt = int(step.argmin()) + 1
-            delta = step[nxt - 1]
-            u[match[seen]] += delta
-            v[seen] -= delta
-            low[1:][free] -= delta
-            at = nxt
-            if match[at] == 0:
-                break
-        while at:
-            match[at] = match[way[at]]
-            at = way[at]
-    out = [-1] * n
-    for j in range(1, m + 1):
-        i = match[j] - 1
-        if i < n and cost[i, j - 1] < most:
-            out[i] = j - 1
+    if n == 1:
+        return [int(cost[0].argmin())]
+    if m == 1:
+        best = int(cost[:, 0].argmin())
+        return [0 if i == best else -1 for i in range(n)]
+    of_row = [-1] * n
+    while True:
+        owner = {c: r for r, c in enumerate(of_row) if c >= 0}
+        free = [r for r, c in enumerate(of_row) if c < 0]
+        if not free:
+            return of_row
+        reach, via = cost[free].min(0), [free[k] for k in cost[free].argmin(0)]
+        changed = True
+        while changed:
+            changed = False
+            for c, r in owner.items():
+                through = reach[c] - cost[r, c] + cost[r]
+                for k in np.flatnonzero(through < reach - 1e-12):
+                    reach[k], via[k], changed = through[k], r, True
+        open_ = [c for c in range(m) if c not in owner and np.isfinite(reach[c])]
+        if not open_:
+            return of_row
+        at = min(open_, key=lambda c: reach[c])
+        while at >= 0:
+            row = via[at]
+            of_row[row], at = at, of_row[row]
+
+
+def assign(cost: np.ndarray, most: float = np.inf) -> list[int]:
+    """Row -> column (or -1) of least total cost among the assignments with most pairs; pairs at or above `most` are forbidden. Only
+    connected parts of the allowed pairs are solved."""
+    allowed = cost < most
+    open_, out = np.where(allowed, cost, np.inf), [-1] * len(cost)
+    for rows, columns in blocks(allowed):
+        for r, c in zip(rows, matched(open_[np.ix_(rows, columns)]), strict=True):
+            out[r] = columns[c] if c >= 0 else -1
     return out
 
 
@@ -156,19 +174,22 @@ def track(rows: DataFrame, keys: list[str], frame: str, item: str, value: str, g
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         live: dict[int, tuple[float, int]] = {}
-        ids, nxt = np.zeros(len(g), np.int64), 0
-        for k, (_, at) in enumerate(g.groupby(frame, sort=True).indices.items()):
+        values, ids, nxt = g[value].to_numpy(float), np.zeros(len(g), np.int64), 0
+        starts = np.flatnonzero(np.append(True, g[frame].to_numpy()[1:] != g[frame].to_numpy()[:-1])) if len(g) else []
+        for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(g)], strict=True)):
             live = {t: x for t, x in live.items() if k - x[1] - 1 <= coast}
-            names = sorted(live)
-            vals = g[value].to_numpy()[at]
-            cost = np.abs(vals[:, None] - np.array([live[t][0] for t in names])[None, :]) if names else np.zeros((len(at), 0))
-            got = assign(cost, gate) if names else [-1] * len(at)
-            for r, (i, j) in enumerate(zip(at, got, strict=True)):
-                others = np.delete(cost[r], j) if j >= 0 else cost[r]
-                clear = j >= 0 and not (len(others) and others.min() < gate and others.min() < ratio * max(cost[r, j], 1e-9))
+            names, got = sorted(live), [-1] * (b - a)
+            if names:
+                cost = np.abs(values[a:b, None] - np.array([live[t][0] for t in names])[None, :])
+                got = assign(cost, gate)
+            for r, j in enumerate(got):
+                clear = j >= 0
+                if clear and len(names) > 1:
+                    other = np.partition(cost[r], 1)[:2] if cost[r, j] <= cost[r].min() else cost[r][[cost[r].argmin()] * 2]
+                    clear = not (other[1] < gate and other[1] < ratio * max(cost[r, j], 1e-9))
                 t = names[j] if clear else nxt
                 nxt += not clear
-                ids[i], live[t] = t, (vals[r], k)
+                ids[a + r], live[t] = t, (values[a + r], k)
         return g.assign(track=ids)
 
     return grouped(rows, keys, [frame, value, item], run, "track long")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracklark.sources.scratch import saved
 
 def ordered(keys: list[str], order: list[str]) -> W:
     return W.partitionBy(*keys).orderBy(*order)
@@ -70,3 +71,17 @@ def consecutive_pairs(rows: DataFrame, keys: list[str], order: list[str], column
     w = ordered(keys, order)
     out = rows.withColumns({f"next_{c}": F.lead(c).over(w) for c in columns}).withColumn("_more", F.lead(F.lit(1)).over(w))
     return out.filter("_more = 1").drop("_more")
+
+
+def ranked(rows: DataFrame, order: list[str], name: str = "_rank", weight: str | None = None) -> DataFrame:
+    """rows with their place in the order (from 0) over the whole table, or with the sum of the weight of the rows before: ranges of the
+    order are added up each, and the ranges' totals, one row for each partition, are put on top."""
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    # Written once, so that both uses see the same ranges.
+    parts = saved(rows.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
+    each = F.lit(1) if weight is None else F.col(weight)
+    counts = parts.groupBy("_part").agg(F.sum(each).alias("_n"))
+    before = counts.withColumn("_upto", F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n"))
+    own = parts.withColumn(name, F.sum(each).over(W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)) - each)
+    return own.join(F.broadcast(before.select("_part", "_upto")), "_part").withColumn(name, F.col(name) + F.col("_upto")).drop("_part", "_upto")

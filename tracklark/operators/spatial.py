@@ -54,11 +54,14 @@ def area(rings: DataFrame, keys: list[str], order: str, e: str, n: str) -> DataF
     return cross.groupBy(*keys).agg((F.abs(F.sum("c")) / 2).alias("area"))
 
 
-def inside(points: DataFrame, id_: str, edges: DataFrame, polygon: str) -> DataFrame:
-    """Pairs (point, polygon) with the point (e, n) inside: an odd number of edges to its right. edges: polygon, ae, an, be, bn; small
-    tables of edges are broadcast by Spark, others are joined by the band of their boxes."""
+def inside(points: DataFrame, id_: str, edges: DataFrame, polygon: str, cell: float = 50.0) -> DataFrame:
+    """Pairs (point, polygon) with the point (e, n) inside: an odd number of edges to its right. edges: polygon, ae, an, be, bn. A polygon's
+    box is entered in the bands of n that it spans and cells of e, so points meet only boxes around them, by an equi-join."""
     boxes = edges.groupBy(polygon).agg(F.min("ae").alias("_w"), F.max("ae").alias("_e"), F.min("an").alias("_s"), F.max("an").alias("_n"))
-    near = points.join(boxes, F.col("e").between(F.col("_w"), F.col("_e")) & F.col("n").between(F.col("_s"), F.col("_n"))).select(id_, "e", "n", polygon)
+    cells = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell)))
+    boxes = boxes.withColumn("_x", cells("_w", "_e")).withColumn("_y", cells("_s", "_n"))
+    p = points.select(id_, "e", "n", F.floor(F.col("e") / cell).alias("_x"), F.floor(F.col("n") / cell).alias("_y"))
+    near = p.join(boxes, ["_x", "_y"]).filter(F.col("e").between(F.col("_w"), F.col("_e")) & F.col("n").between(F.col("_s"), F.col("_n"))).select(id_, "e", "n", polygon)
     crossing = ((F.col("an") > F.col("n")) != (F.col("bn") > F.col("n"))) & (F.col("e") < (F.col("be") - F.col("ae")) * (F.col("n") - F.col("an")) / (F.col("bn") - F.col("an")) + F.col("ae"))
     return near.join(edges, polygon).groupBy(id_, polygon).agg(F.count_if(crossing).alias("_crossed")).filter("_crossed % 2 = 1").drop("_crossed")
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tracklark.plans import more_queries, queries
+from tracklark.plans import fold_sql, more_queries, queries, road_queries
 
-MODULES = [queries, more_queries]
+MODULES = [queries, more_queries, road_queries]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
-SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
+SQL = {k: v for m in MODULES for k, v in m.SQL.items()} | fold_sql.SQL

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+POINTER = "run_id string, manifest string"
+
 
 def line_features(points: DataFrame, keys: list[str], order: str, lon: str, lat: str) -> DataFrame:
     """keys, feature: a GeoJSON LineString of each key's points in order; keys with fewer than two valid points are left out."""
@@ -25,8 +29,9 @@ def _fs(spark: SparkSession, path: str):
 
 
 def publish(tables: dict[str, DataFrame], root: str, run_id: str | None = None) -> str:
-    """Writes the tables to a staging folder, renames it to runs/<id>, and then replaces the pointer `current`: readers see a whole run or
-    the one before. The run's folder must be new. Works on any file system that Spark writes to."""
+    """Writes the tables to a staging folder, checks their rows against what was written, renames it to runs/<id>, and then adds the pointer
+    file pointers/<time>-<id>, which one rename brings in: readers take the last one, so they see a whole run or the one before at any
+    moment. The run's folder must be new. Works on any file system that Spark writes to."""
     spark = next(iter(tables.values())).sparkSession
     run_id = run_id or uuid.uuid4().hex
     staging, final = f"{root}/staging/{run_id}", f"{root}/runs/{run_id}"
@@ -35,34 +40,53 @@ def publish(tables: dict[str, DataFrame], root: str, run_id: str | None = None)
         raise ValueError(f"run {run_id} is published already")
     manifest = []
     for name, df in sorted(tables.items()):
-        df.write.parquet(f"{staging}/{name}")
-        manifest.append({"table": name, "rows": spark.read.parquet(f"{staging}/{name}").count()})
+        seen = Observation(uuid.uuid4().hex)
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{staging}/{name}")
+        rows = spark.read.parquet(f"{staging}/{name}").count()
+        if rows != seen.get["n"]:
+            raise OSError(f"{name}: {seen.get['n']} rows were written and {rows} read")
+        manifest.append({"table": name, "rows": rows})
     fs.mkdirs(target.getParent())
     if not fs.rename(_fs(spark, staging)[1], target):
         raise OSError(f"could not move {staging}")
-    spark.createDataFrame([(run_id, json.dumps(manifest, sort_keys=True))], "run_id string, manifest string").coalesce(1).write.mode("overwrite").json(f"{root}/current")
+    row = spark.createDataFrame([(run_id, json.dumps(manifest, sort_keys=True))], POINTER)
+    row.coalesce(1).write.json(f"{root}/staging/pointer-{run_id}")
+    fs.mkdirs(_fs(spark, f"{root}/pointers")[1])
+    if not fs.rename(_fs(spark, f"{root}/staging/pointer-{run_id}")[1], _fs(spark, f"{root}/pointers/{time.time_ns():020d}-{run_id}")[1]):
+        raise OSError(f"could not point to {run_id}")
     return run_id
 
 
+def pointers(spark: SparkSession, root: str) -> list[str]:
+    """The names of the pointers, oldest first; the last one counts."""
+    fs, folder = _fs(spark, f"{root}/pointers")
+    return sorted(x.getPath().getName() for x in fs.listStatus(folder)) if fs.exists(folder) else []
+
+
 def current(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """The table of the run that the pointer names."""
-    run_id = spark.read.schema("run_id string, manifest string").json(f"{root}/current").first()["run_id"]
+    """The table of the run that the last pointer names."""
+    run_id = spark.read.schema(POINTER).json(f"{root}/pointers/{pointers(spark, root)[-1]}").first()["run_id"]
     return spark.read.parquet(f"{root}/runs/{run_id}/{table}")
 
 
 def quarantine(spark: SparkSession, root: str, run_id: str) -> None:
-    """Moves a published run out of the way; the pointer goes too if it names it."""
-    fs, pointer = _fs(spark, f"{root}/current")
-    if fs.exists(pointer) and spark.read.schema("run_id string, manifest string").json(f"{root}/current").first()["run_id"] == run_id:
-        fs.delete(pointer, True)
-    source, target = _fs(spark, f"{root}/runs/{run_id}")[1], _fs(spark, f"{root}/quarantine/{run_id}")[1]
+    """Moves a published run out of the way; its pointers go first, so that readers fall back to the run before."""
+    for name in pointers(spark, root):
+        if name.partition("-")[2] == run_id:
+            fs, path = _fs(spark, f"{root}/pointers/{name}")
+            fs.delete(path, True)
+    fs, source = _fs(spark, f"{root}/runs/{run_id}")
+    target = _fs(spark, f"{root}/quarantine/{run_id}")[1]
     fs.mkdirs(target.getParent())
     fs.rename(source, target)
 
 
 def insert_new(existing: DataFrame, new: DataFrame, keys: list[str], valid) -> tuple[DataFrame, DataFrame]:
     """Accepted rows (existing ones and valid new ones with new keys) and rejected rows with a code. Never updates."""
-    first = new.withColumn("_known", F.lit(None))
     known = existing.select(*keys).distinct().withColumn("_has", F.lit(True))
-    marked = first.drop("_known").join(known, keys, "left").withColumn("code", F.when(~valid, "invalid").when(F.col("_has"), "duplicate")).drop("_has")
-    return existing.unionByName(marked.filter("code is null").dropDuplicates(keys).drop("code")), marked.filter("code is not null")
+    # Of several valid new rows with one key the first by its content is taken, the others are duplicates too.
+    place = F.row_number().over(W.partitionBy(*keys, F.coalesce(valid, F.lit(False))).orderBy(F.to_json(F.struct(*sorted(new.columns)))))
+    marked = new.withColumn("_place", place).join(known, keys, "left")
+    code = F.when(~F.coalesce(valid, F.lit(False)), "invalid").when(F.col("_has") | (F.col("_place") > 1), "duplicate")
+    marked = marked.withColumn("code", code).drop("_has", "_place")
+    return existing.unionByName(marked.filter("code is null").drop("code")), marked.filter("code is not null")
