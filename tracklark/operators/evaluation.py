@@ -16,11 +16,11 @@ def confusion(rows: DataFrame, keys: list[str], said: Column, true: Column) -> D
 
 
 def metrics(rows: DataFrame, zero: float | None = None, places: int = 4) -> DataFrame:
-    """rows (tp, fp, fn, tn) with precision, recall, f1, accuracy and balanced_accuracy; over 0 a rate is `zero` (null or 0)."""
+    """rows (tp, fp, fn, tn) with precision, recall, f1, accuracy, balanced_accuracy and macro_f1; over 0 a rate is `zero` (null or 0)."""
     share = lambda a, b: F.coalesce(a / F.nullif(b.cast("double"), F.lit(0.0)), F.lit(zero))
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     precision, recall, special = share(tp, tp + fp), share(tp, tp + fn), share(tn, tn + fp)
-    values = {"precision": precision, "recall": recall, "f1": share(2 * tp, 2 * tp + fp + fn), "accuracy": share(tp + tn, tp + fp + fn + tn), "balanced_accuracy": (recall + special) / 2}
+    values = {"precision": precision, "recall": recall, "f1": share(2 * tp, 2 * tp + fp + fn), "accuracy": share(tp + tn, tp + fp + fn + tn), "balanced_accuracy": (recall + special) / 2, "macro_f1": (share(2 * tp, 2 * tp + fp + fn) + share(2 * tn, 2 * tn + fp + fn)) / 2}
     return rows.withColumns({k: F.round(v, places) for k, v in values.items()})
 
 

@@ -45,7 +45,8 @@ def running_length(rows: DataFrame, keys: list[str], order: list[str], step: Col
 
 
 def above_running_max(rows: DataFrame, keys: list[str], order: list[str], value: str, slack: float = 0.0) -> DataFrame:
-    """Rows whose value is at least the largest so far less slack. For slack 0 this is the running maximum of kept rows too."""
+    """Rows whose value is at least the largest kept so far less slack. A row that is left out lies below the largest kept one, so the
+    running maximum of all rows is that of the kept ones, whatever the slack."""
     top = F.max(value).over(ordered(keys, order).rowsBetween(W.unboundedPreceding, -1))
     return rows.withColumn("_top", top).filter(F.col("_top").isNull() | (F.col(value) >= F.col("_top") - slack)).drop("_top")
 

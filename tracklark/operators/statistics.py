@@ -6,12 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracklark.operators.sequence import ranked
 
-def upper_median(x: Column | str) -> Column:
-    """The upper of the two middle values: an aggregate. percentile's state holds one entry per distinct value."""
-    x = F.col(x) if isinstance(x, str) else x
-    sorted_ = F.sort_array(F.collect_list(x))
-    return F.get(sorted_, F.floor(F.size(sorted_) / 2).cast("int"))
+def order_statistics(rows: DataFrame, keys: list[str], value: str, positions: dict[str, Column]) -> DataFrame:
+    """keys, n, min, max, mean and, by name, the value at each position (from 0; a column of n) of the sorted values that are not null.
+
+    Values are counted first; the counts' running sum goes over ranges of (keys, value), so neither a hot key nor its many values meet in
+    one task or one aggregate's state."""
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    placed = ranked(counts, [*keys, value], "_at", "_n")
+    totals = placed.groupBy(*keys).agg(F.sum("_n").alias("n"), F.min("_at").alias("_from"), F.min(value).alias("min"), F.max(value).alias("max"), F.sum(F.col(value) * F.col("_n")).alias("_sum"))
+    totals = totals.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), "n", "_from", "min", "max", (F.col("_sum") / F.col("n")).alias("mean"))
+    both = placed.join(totals, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] or F.lit(True))
+    first = F.col("_at") - F.col("_from")
+    picks = [F.max(F.when((first <= p) & (first + F.col("_n") > p), F.col(value))).alias(name) for name, p in positions.items()]
+    return both.groupBy(*keys, "n", "min", "max", "mean").agg(*picks)
+
+
+def upper_median(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, upper_median: the upper of the two middle values."""
+    return order_statistics(rows, keys, value, {"upper_median": F.floor(F.col("n") / 2)}).select(*keys, "upper_median")
 
 
 def with_mad(rows: DataFrame, keys: list[str], value: str, scale: float = 1.0, floor: float = 0.0) -> DataFrame:
@@ -38,11 +52,17 @@ def histogram(rows: DataFrame, value: str, low: float, high: float, bins: int) -
     return rows.filter(v.isNotNull()).groupBy(F.when(inside, F.floor((v - low) / width)).otherwise(bins - 1).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+SHARES = {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95}
+
+
 def summary(rows: DataFrame, keys: list[str], value: str, places: int = 4) -> DataFrame:
-    """count, min, max, median and percentiles of the finite values."""
+    """keys, n, min, max, mean and percentiles (interpolated on (n - 1) p) of the finite values."""
     finite = rows.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")) & (F.abs(value) != float("inf")))
-    parts = [F.round(F.percentile(value, p), places).alias(f"p{round(100 * p):02d}") for p in (0.1, 0.25, 0.5, 0.75, 0.9)]
-    return finite.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), *parts)
+    at = {k: (F.col("n") - 1) * p for k, p in SHARES.items()}
+    picks = {f"_{k}{side}": f(x) for k, x in at.items() for side, f in (("l", F.floor), ("h", F.ceil))}
+    found = order_statistics(finite, keys, value, picks)
+    parts = [F.round(F.col(f"_{k}l") + (F.col(f"_{k}h") - F.col(f"_{k}l")) * (x - F.floor(x)), places).alias(k) for k, x in at.items()]
+    return found.select(*keys, "n", "min", "max", F.round("mean", places).alias("mean"), *parts)
 
 
 def robust_bins(rows: DataFrame, keys: list[str], bin_: Column, value: str, weight: str, k: float = 3.0, floor: float = 0.3, least: int = 3) -> DataFrame:

@@ -270,7 +270,7 @@ def weighted_median(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT l_suppkey AS k, list_sort(list(l_extendedprice))[(count(*) // 2 + 1)::INT] AS upper_median FROM lineitem GROUP BY k")
 def upper_median(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("k")).agg(statistics.upper_median("l_extendedprice").alias("upper_median"))
+    return statistics.upper_median(table(spark, d, "lineitem").withColumnRenamed("l_suppkey", "k"), ["k"], "l_extendedprice")
 
 
 @query("SELECT (CASE WHEN l_extendedprice >= 0 AND l_extendedprice < 20000 THEN floor(l_extendedprice / 1000) ELSE 19 END)::BIGINT AS bin, count(*) AS n FROM lineitem WHERE l_extendedprice IS NOT NULL GROUP BY bin")
@@ -278,7 +278,7 @@ def histogram_overflow(spark: SparkSession, d: str) -> DataFrame:
     return statistics.histogram(table(spark, d, "lineitem"), "l_extendedprice", 0.0, 20000.0, 20)
 
 
-@query("""SELECT l_returnflag, count(*) AS n, min(l_extendedprice) AS min, max(l_extendedprice) AS max, round(quantile_cont(l_extendedprice, 0.1), 4) AS p10, round(quantile_cont(l_extendedprice, 0.25), 4) AS p25,
+@query("""SELECT l_returnflag, count(*) AS n, min(l_extendedprice) AS min, max(l_extendedprice) AS max, round(avg(l_extendedprice), 4) AS mean, round(quantile_cont(l_extendedprice, 0.95), 4) AS p95, round(quantile_cont(l_extendedprice, 0.1), 4) AS p10, round(quantile_cont(l_extendedprice, 0.25), 4) AS p25,
 round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.75), 4) AS p75, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90 FROM lineitem GROUP BY l_returnflag""")
 def distribution_summary(spark: SparkSession, d: str) -> DataFrame:
     return statistics.summary(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice")
@@ -350,7 +350,8 @@ def _rate(a: str, b: str, zero: str) -> str:
 def _metrics_sql(zero: str) -> str:
     p, r, s = _rate("tp", "tp + fp", zero), _rate("tp", "tp + fn", zero), _rate("tn", "tn + fp", zero)
     f, a = _rate("2 * tp", "2 * tp + fp + fn", zero), _rate("tp + tn", "tp + fp + fn + tn", zero)
-    return f"*, round({p}, 4) AS precision, round({r}, 4) AS recall, round({f}, 4) AS f1, round({a}, 4) AS accuracy, round(({r} + {s}) / 2, 4) AS balanced_accuracy"
+    g = _rate("2 * tn", "2 * tn + fp + fn", zero)
+    return f"*, round({p}, 4) AS precision, round({r}, 4) AS recall, round({f}, 4) AS f1, round({a}, 4) AS accuracy, round(({r} + {s}) / 2, 4) AS balanced_accuracy, round(({f} + {g}) / 2, 4) AS macro_f1"
 
 
 @query(f"WITH {CONFUSION_SQL} SELECT {_metrics_sql('NULL')} FROM c")
