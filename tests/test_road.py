@@ -269,3 +269,21 @@ def test_playback(spark):
     fresh = rows.withColumn("what", F.upper("what"))
     out = playback.appended(rows.filter("frame < 12"), fresh, "frame", rows.select("frame"))
     assert sorted(r["what"] for r in out.collect()) == ["D", "a", "b", "c"]
+
+
+def test_polygon_checks(spark):
+    from tracklark.operators import runs
+
+    def strip(k, width, step=5.0, n=6, twist=False):
+        rows = [(k, i, 0.0, step * i, width, step * i) for i in range(n)]
+        if twist:
+            rows[3] = (k, 3, width + 1.0, step * 3, -1.0, step * 3)
+        return rows
+
+    rows = strip(1, 6.0) + strip(2, 1.0) + strip(3, 40.0) + strip(4, 6.0, step=20.0) + strip(5, 6.0, twist=True) + strip(6, 70.0) + strip(7, 6.0, n=1)
+    df = spark.createDataFrame(rows, "k long, i long, le double, ln double, re double, rn double")
+    got = {r["k"]: r for r in runs.polygon_checks(df, ["k"]).collect()}
+    assert got[1]["reasons"] == [] and (got[1]["area"], got[1]["length"], got[1]["median_width"], got[1]["max_jump"]) == (150.0, 25.0, 6.0, 6.0)
+    assert got[2]["reasons"] == ["widthBelowMin"] and got[4]["reasons"] == ["vertexJumpTooLarge"] and got[7]["reasons"] == ["tooFewPoints"]
+    assert got[3]["reasons"] == ["widthAboveMax", "vertexJumpTooLarge"] and "selfIntersecting" in got[5]["reasons"]
+    assert got[6]["reasons"] == ["widthAboveMax", "vertexJumpTooLarge", "areaImplausible", "boundaryMismatch"]
