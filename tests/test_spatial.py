@@ -1,6 +1,7 @@
 import math
+import random
 
-from tracklark.operators import intervals, spatial
+from tracklark.operators import intervals, spatial, temporal
 from tracklark.sinks.publish import current, insert_new, line_features, pointers, publish, quarantine
 
 
@@ -61,3 +62,33 @@ def test_insert_never_updates(spark):
     old = spark.createDataFrame([(1, "x")], "id int, v string")
     kept, out = insert_new(old, spark.createDataFrame([(1, "y"), (2, "z"), (2, "zz"), (2, None), (3, None)], "id int, v string"), ["id"], F.col("v").isNotNull())
     assert sorted(map(tuple, kept.collect())) == [(1, "x"), (2, "z")] and sorted((r["id"], r["code"]) for r in out.collect()) == [(1, "duplicate"), (2, "duplicate"), (2, "invalid"), (3, "invalid")]
+
+
+def test_spans_meet_those_they_touch(spark):
+    """Pairs against all pairs: lengths from points to the whole range, repeated spans, touching ends, borders that are null or infinite."""
+    rng = random.Random(3)
+    spans = []
+    for i in range(160):
+        lo = rng.choice([rng.uniform(-40, 40), float(rng.randrange(-40, 40))])
+        spans.append((i % 3, i, lo, lo + rng.choice([0.0, 0.3, 1.0, rng.random() * 4, 8.0, 64.0])))
+    spans += [(0, 160 + i, *spans[0][2:]) for i in range(2)]
+    odd = [(0, 170, None, 3.0), (0, 171, 5.0, 1.0), (0, 172, 2.0, math.inf), (0, 173, float("nan"), 2.0), (None, 174, 0.0, 1.0)]
+    df = spark.createDataFrame(spans + odd, "k int, id int, a double, b double")
+    sound = [x for x in spans + odd if x[0] is not None and x[2] is not None and x[2] <= x[3]]
+    for least in (0, 1, -2):
+        want = {(x[0], x[1], y[1]) for x in sound for y in sound if x[0] == y[0] and x[1] < y[1] and min(x[3], y[3]) - max(x[2], y[2]) >= least}
+        got = [tuple(r)[:3] for r in intervals.overlap_pairs(df, ["k"], "id", "a", "b", least).collect()]
+        assert len(got) == len(set(got)) and set(got) == want, least
+    assert intervals.overlap_pairs(df.limit(0), ["k"], "id", "a", "b").count() == 0
+
+
+def test_first_span_that_holds_a_time(spark):
+    spans = [("a", 0.0, 10.0, 1), ("a", 2.0, 3.0, 2), ("a", 0.0, 4.0, 0), ("b", 0.0, 1.0, 7)]
+    rows = [("a", t, n) for t in (-1.0, 0.0, 2.5, 2.5, 7.0, 10.0, 10.5) for n in (1, 1)] + [("b", 1.0, 0), ("c", 0.0, 0), (None, 0.0, 0), ("a", None, 0)]
+    got = temporal.in_spans(spark.createDataFrame(rows, "k string, t double, n int"), spark.createDataFrame(spans, "k string, a double, b double, id int"), "k", "t", "a", "b", "id")
+
+    def first(k, t):
+        hits = [(a, i) for key, a, b, i in spans if key == k and t is not None and a <= t <= b]
+        return min(hits)[1] if hits else None
+
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(((k, t, n, first(k, t)) for k, t, n in rows), key=repr)

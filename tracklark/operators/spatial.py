@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracklark.functions.scalars import point_segment, segments_cross
+from tracklark.operators.intervals import touching
 
 
 def path_segments(path: DataFrame, keys: list[str], order: str, e: str, n: str) -> DataFrame:
@@ -33,10 +34,13 @@ def project(points: DataFrame, segments: DataFrame, keys: list[str], id_: str, e
 
 
 def at_route(rows: DataFrame, segments: DataFrame, keys: list[str], s: str, d: str) -> DataFrame:
-    """rows with east and north of (s, d); beyond the path's end the last vertex, without offset."""
+    """rows with east and north of (s, d); off the path's ends the last vertex, without offset. A place meets only segments around it."""
     ends = segments.groupBy(*keys).agg(F.max(F.struct("s1", "be", "bn")).alias("_last"))
     seg = segments.select(*keys, "ae", "an", "be", "bn", "s0", "s1")
-    joined = rows.join(ends, keys).join(seg, [*(rows[k].eqNullSafe(seg[k]) for k in keys), (rows[s] >= seg["s0"]) & (rows[s] < seg["s1"])], "left").drop(*(seg[k] for k in keys))
+    places = rows.select(*keys, F.col(s).alias("_s")).distinct()
+    hit = touching(places, seg, keys, "_s", "_s", "s0", "s1").filter("_s < s1").select(*(F.col(k).alias(f"_{i}") for i, k in enumerate(keys)), "_s", *seg.columns[len(keys):])
+    same = [F.col(k) == F.col(f"_{i}") for i, k in enumerate(keys)]
+    joined = rows.join(ends, keys).join(hit, [*same, F.col(s) == F.col("_s")], "left")
     f = (F.col(s) - F.col("s0")) / (F.col("s1") - F.col("s0"))
     length = F.hypot(F.col("be") - F.col("ae"), F.col("bn") - F.col("an"))
     east = F.col("ae") + f * (F.col("be") - F.col("ae")) - F.col(d) * (F.col("bn") - F.col("an")) / length

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracklark.operators.intervals import overlapping
 from tracklark.operators.sequence import split_by
 from tracklark.operators.spatial import resample
 
@@ -25,8 +26,8 @@ def pair_runs(left: DataFrame, right: DataFrame, keys: list[str], least: float =
     """Pairs of left and right runs (tables of run_spans) of the same keys that overlap by at least `least` metres."""
     a = left.select(*keys, F.col("run").alias("left_run"), F.col("s0").alias("_a0"), F.col("s1").alias("_a1"))
     b = right.select(*keys, F.col("run").alias("right_run"), F.col("s0").alias("_b0"), F.col("s1").alias("_b1"))
-    lo, hi = F.greatest("_a0", "_b0"), F.least("_a1", "_b1")
-    return a.join(b, keys).withColumns({"s0": lo, "s1": hi}).filter((F.col("s1") - F.col("s0") >= least) & (F.col("s1") > F.col("s0"))).select(*keys, "left_run", "right_run", "s0", "s1")
+    met = overlapping(a, b, keys, "_a0", "_a1", "_b0", "_b1", least).withColumns({"s0": F.greatest("_a0", "_b0"), "s1": F.least("_a1", "_b1")})
+    return met.filter("s1 > s0").select(*keys, "left_run", "right_run", "s0", "s1")
 
 
 def paired_samples(left: DataFrame, right: DataFrame, keys: list[str], s: str, d: str, step: float, narrow: float, wide: float) -> DataFrame:
@@ -69,7 +70,8 @@ def right_neighbours(runs: DataFrame, keys: list[str], least: float) -> DataFram
     """keys, run, right_run: the run with the next lower mean d among those that overlap by at least `least`; none lies between, as it
     would be the nearer one."""
     b = runs.select(*keys, F.col("run").alias("right_run"), F.col("s0").alias("_s0"), F.col("s1").alias("_s1"), F.col("mean_d").alias("_d"))
-    near = runs.join(b, keys).filter((F.col("_d") < F.col("mean_d")) & (F.least("s1", "_s1") - F.greatest("s0", "_s0") >= least))
+    a = runs.select(*keys, "run", "s0", "s1", "mean_d")
+    near = overlapping(a, b, keys, "s0", "s1", "_s0", "_s1", least).filter("_d < mean_d")
     best = near.groupBy(*keys, "run").agg(F.max(F.struct("_d", (-F.col("right_run")).alias("_r"))).alias("_x"))
     return best.select(*keys, "run", (-F.col("_x._r")).alias("right_run"))
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracklark.operators.intervals import touching
+
 
 def asof_interpolate(points: DataFrame, fixes: DataFrame, key: str, time: str, value: str, most: int) -> DataFrame:
     """points (key, time, ...) with the value of fixes (key, time, value) interpolated at their time.
@@ -46,11 +48,10 @@ def nearest(points: DataFrame, targets: DataFrame, key: str, time: str, target:
 
 
 def in_spans(rows: DataFrame, spans: DataFrame, key: str, time: str, start: str, end: str, span: str) -> DataFrame:
-    """rows with the first span of their key that holds their time (by start, then span id), else null.
-
-    Spans may overlap, so this is an equi-join on the key with a range condition; rows and spans of a key meet, not all pairs.
-    """
-    s = spans.select(F.col(key).alias("_k"), F.col(start).alias("_a"), F.col(end).alias("_b"), F.col(span).alias(span))
-    joined = rows.withColumn("_row_id", F.monotonically_increasing_id()).join(s, (F.col(key) == F.col("_k")) & F.col(time).between(F.col("_a"), F.col("_b")), "left")
-    first = joined.groupBy("_row_id", *rows.columns).agg(F.min(F.struct("_a", span)).alias("_s"))
-    return first.select(*rows.columns, F.col(f"_s.{span}").alias(span))
+    """rows with the first span of their key that holds their time (by start, then span id), else null. Each time of a key is looked up
+    once, among the spans around it (intervals.touching)."""
+    s = spans.select(F.col(key).alias("_k"), F.col(start).alias("_a"), F.col(end).alias("_b"), F.col(span).alias("_span"))
+    times = rows.select(F.col(key).alias("_k"), F.col(time).alias("_t")).distinct()
+    first = touching(times, s, ["_k"], "_t", "_t", "_a", "_b").groupBy("_k", "_t").agg(F.min(F.struct("_a", "_span")).alias("_s"))
+    joined = rows.join(first, (F.col(key) == F.col("_k")) & (F.col(time) == F.col("_t")), "left")
+    return joined.select(*rows.columns, F.col("_s._span").alias(span))
