@@ -1,10 +1,12 @@
-"""Steps that depend on what was kept before: grouped pandas functions, one group per key, each linear in its rows."""
+"""Steps that depend on what was kept before: grouped pandas functions, one group per key, each linear in its rows; hysteresis as windows."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -25,14 +27,25 @@ def hysteresis(values: np.ndarray, need: dict[str, int], default: int = 2) -> li
     for v in values:
         streak = streak + 1 if v == last else 1
         last = v
-        if state is None or v != state and streak >= need.get(v, default):
+        if not out or streak >= need.get(v, default):
             state = v
         out.append(state)
     return out
 
 
-def hysteresis_states(rows: DataFrame, keys: list[str], order: list[str], instant: str, need: dict[str, int]) -> DataFrame:
-    return grouped(rows, keys, order, lambda g: g.assign(state=hysteresis(g[instant].to_numpy(), need)), "state string")
+def hysteresis_states(rows: DataFrame, keys: list[str], order: list[str], instant: str, need: dict[str, int], default: int = 2) -> DataFrame:
+    """rows with state: `hysteresis` as windows. The state is the last value that stood in as many rows in a row as it needs, as one that
+    is the state already changes nothing; nulls are a value of their own."""
+    w = W.partitionBy(*keys).orderBy(*order)
+    upto = w.rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("_i", F.row_number().over(w))
+    rows = rows.withColumn("_from", F.when((F.col("_i") == 1) | ~F.col(instant).eqNullSafe(F.lag(instant).over(w)), F.col("_i")))
+    streak = F.col("_i") - F.last("_from", True).over(upto) + 1
+    least = F.lit(default)
+    for value, n in need.items():
+        least = F.when(F.col(instant) == value, n).otherwise(least)
+    rows = rows.withColumn("_held", F.when((F.col("_i") == 1) | (streak >= least), F.struct(F.col(instant).alias("v"))))
+    return rows.withColumn("state", F.last("_held", True).over(upto)["v"]).drop("_i", "_from", "_held")
 
 
 def dwell_lock(t: np.ndarray, speed: np.ndarray, stop: float, go: float, dwell: float) -> np.ndarray:

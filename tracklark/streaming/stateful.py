@@ -50,7 +50,7 @@ def stream_hysteresis(rows: DataFrame, need: dict[str, int], default: int = 2) -
         for row in pd.concat(parts).sort_values(["t", "event_id"]).itertuples():
             streak = streak + 1 if row.instant == last else 1
             last = row.instant
-            if now is None or last != now and streak >= need.get(last, default):
+            if not out and not state.exists or streak >= need.get(last, default):
                 now = last
             out.append((key[0], row.event_id, now))
         state.update((now, last, streak))
