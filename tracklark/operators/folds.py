@@ -175,6 +175,11 @@ def assign(cost: np.ndarray, most: float = np.inf) -> list[int]:
     connected parts of the allowed pairs are solved."""
     allowed = cost < most
     open_, out = np.where(allowed, cost, np.inf), [-1] * len(cost)
+    # Where the nearest columns of the rows that have any differ, they are the best there is.
+    own = [int(c) if ok else -1 for c, ok in zip(open_.argmin(1), allowed.any(1), strict=True)] if cost.shape[1] else out
+    taken = [c for c in own if c >= 0]
+    if len(set(taken)) == len(taken):
+        return own
     for rows, columns in blocks(allowed):
         for r, c in zip(rows, matched(open_[np.ix_(rows, columns)]), strict=True):
             out[r] = columns[c] if c >= 0 else -1
@@ -192,6 +197,15 @@ def track(rows: DataFrame, keys: list[str], frame: str, item: str, value: str, g
         for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(g)], strict=True)):
             live = {t: x for t, x in live.items() if k - x[1] - 1 <= coast}
             names, got = sorted(live), [-1] * (b - a)
+            if b - a == 1 and names:
+                # One item, as in most frames: its nearest and second-nearest track, without a matrix.
+                v = float(values[a])
+                off, t = min((abs(v - live[t][0]), t) for t in names)
+                second = min((abs(v - live[u][0]) for u in names if u != t), default=np.inf)
+                if not off < gate or second < gate and second < ratio * max(off, 1e-9):
+                    t, nxt = nxt, nxt + 1
+                ids[a], live[t] = t, (v, k)
+                continue
             if names:
                 cost = np.abs(values[a:b, None] - np.array([live[t][0] for t in names])[None, :])
                 got = assign(cost, gate)
