@@ -9,10 +9,10 @@ fits decides. All other urls are judged by the template of their path, learned f
    and branches with enough labels whose share of bad pages and whose continuation (ends, wildcard or word next) are like those of
    their pooled siblings merge into `+`. A branch is compared with the pool, not with each sibling, so a node with very many
    branches costs one aggregation and one join.
-3. A template is rejected where its share of bad pages, smoothed by PRIOR pages of the share over all labels, exceeds MOST_BAD.
+3. A template is rejected where its share of bad pages, smoothed by PRIOR (bad, good) pages, exceeds MOST_BAD.
 
-Labels are a table (page_id, bad); without one, the urls that a rule judges are the labelled ones. A branch or template without
-labels has the prior's share, so urls that nothing is known about are allowed unless most labelled pages are bad.
+Labels are a table (page_id, bad); without one, the urls that a rule judges are the labelled ones. A template without labels has the
+prior's share, so urls that nothing is known about are allowed.
 
 Defined results: a url that is null or without :// has an empty host and path, and goes by the (empty) template of that host;
 a page_id that stands in several rows is judged for each row; labels that are null or contradict each other for one page count once,
@@ -36,8 +36,8 @@ LEAST_PAGES, LEAST_LABELS = 5, 5
 #: Merged branches differ from the pool by at most this share of their pages' continuations, and by this share of bad pages or
 #: this many standard errors.
 MOST_SHAPE, MOST_SHARE, MOST_ERRORS = 0.1, 0.05, 2.0
-#: Pages that the prior counts for, and the largest smoothed share of bad pages.
-PRIOR, MOST_BAD = 4.0, 0.5
+#: Bad and good pages of the prior, and the largest smoothed share of bad pages.
+PRIOR, MOST_BAD = (1.0, 3.0), 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Opaque tokens: at least sixteen letters, digits, _ and - with a digit among them.
 OPAQUE = "^[A-Za-z0-9_-]*[0-9][A-Za-z0-9_-]*$"
@@ -100,12 +100,10 @@ def templates(pages: DataFrame) -> DataFrame:
     n = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
     found = pages.withColumn("segments", skeleton(F.col("path"))).groupBy("host", "segments").agg(F.count(F.lit(1)).alias("pages"), n(F.col("bad").isNotNull()).alias("labels"), n(F.col("bad")).alias("bad"))
     rows = cut(found.select("host", F.lit("").alias("template"), F.array_join("segments", "/").alias("skeleton"), "segments", "pages", "labels", "bad"))
-    # Two numbers and the depth of the tree; no rows reach the driver.
-    deep, labels, bad = rows.agg(F.max(F.size("segments")), F.sum("labels"), F.sum("bad")).first()
+    deep = rows.agg(F.max(F.size("segments"))).first()[0]
     for level in range(deep or 0):
         rows = grown(rows, level)
-    prior = (bad or 0) / (labels or 1)
-    own = rows.groupBy("host", "template").agg(F.sum("pages").alias("template_pages"), F.sum("labels").alias("template_labels"), ((F.sum("bad") + F.lit(PRIOR * prior)) / (F.sum("labels") + F.lit(PRIOR))).alias("purity"))
+    own = rows.groupBy("host", "template").agg(F.sum("pages").alias("template_pages"), F.sum("labels").alias("template_labels"), ((F.sum("bad") + F.lit(PRIOR[0])) / (F.sum("labels") + F.lit(sum(PRIOR)))).alias("purity"))
     return rows.select("host", "template", "skeleton").join(own, ["host", "template"])
 
 
@@ -166,10 +164,8 @@ WITH split AS (
   SELECT a.host, a.template || coalesce('/' || t.token, '') AS template, a.skeleton, a.segments, a.pages, a.labels, a.bad
   FROM level{i} a LEFT JOIN taken{i} t ON a.host = t.host AND a.template = t.template AND a.segments[{i + 1}] = t.segment
 )"""
-    return sql + f""", prior AS (
-  SELECT coalesce(sum(bad), 0)::double / greatest(coalesce(sum(labels), 0), 1)::double AS p FROM level0
-), learned AS (
-  SELECT host, template, sum(pages)::bigint AS template_pages, sum(labels)::bigint AS template_labels, (sum(bad)::double + {PRIOR} * (SELECT p FROM prior)) / (sum(labels)::double + {PRIOR}) AS purity
+    return sql + f""", learned AS (
+  SELECT host, template, sum(pages)::bigint AS template_pages, sum(labels)::bigint AS template_labels, (sum(bad)::double + {PRIOR[0]}) / (sum(labels)::double + {sum(PRIOR)}) AS purity
   FROM level{LEVELS + 1} GROUP BY host, template
 )
 SELECT page_id, l.host, path, rule, coalesce(says, CASE WHEN purity > {MOST_BAD} THEN 'block' ELSE 'allow' END) AS verdict, s.template, template_pages, template_labels, round(purity, 9) AS purity
