@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklark.llm.common import cut
+from tracklark.llm.common import cut, discard
 
 #: (verdict, host and path), tried from the longest on.
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -102,7 +102,9 @@ def templates(pages: DataFrame) -> DataFrame:
     rows = cut(found.select("host", F.lit("").alias("template"), F.array_join("segments", "/").alias("skeleton"), "segments", "pages", "labels", "bad"))
     deep = rows.agg(F.max(F.size("segments"))).first()[0]
     for level in range(deep or 0):
-        rows = grown(rows, level)
+        # A level reads the one before three times, so each is written.
+        before, rows = rows, cut(grown(rows, level))
+        discard(before)
     own = rows.groupBy("host", "template").agg(F.sum("pages").alias("template_pages"), F.sum("labels").alias("template_labels"), ((F.sum("bad") + F.lit(PRIOR[0])) / (F.sum("labels") + F.lit(sum(PRIOR)))).alias("purity"))
     return rows.select("host", "template", "skeleton").join(own, ["host", "template"])
 

@@ -37,11 +37,11 @@ SLACK = 1e-6
 
 
 def vectors(rows: DataFrame) -> DataFrame:
-    """vec_id, label, v (array<double> of integers) of the rows that take part. rows: vec_id, label, embedding."""
+    """vec_id, label, v (array<double> of integers), asks of the rows that take part. rows: vec_id, label, embedding, asks."""
     bad = F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     whole = F.transform("embedding", lambda v: F.floor(v.cast("double") * 256).cast("double"))
     good = rows.filter("vec_id is not null and label is not null and embedding is not null").filter(~bad)
-    return good.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), whole.alias("v")).distinct()
+    return good.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), whole.alias("v"), "asks").distinct()
 
 
 def _matrix(table: pa.Table, name: str) -> np.ndarray:
@@ -167,16 +167,16 @@ def firsts(found: DataFrame, keys: list[str], k: int) -> DataFrame:
 def mined(rows: DataFrame, is_anchor: Column, positives: int = 5, negatives: int = 3, low: int = 50, high: int = 95) -> DataFrame:
     """anchor_id, positive_id, rank, negative_id, positive_score, negative_score. rows: vec_id, label, embedding; is_anchor: a
     condition on vec_id. A negative's score is from low to high per cent of the positive's."""
-    all_ = cut(vectors(rows).withColumn("dim", F.size("v")))
+    all_ = cut(vectors(rows.select("vec_id", "label", "embedding", is_anchor.alias("asks"))).withColumn("dim", F.size("v")))
     out = None
     # One index for each dimension; a table of embeddings has one.
     for (dim,) in all_.select("dim").distinct().collect():
-        part = _mined(all_.filter(F.col("dim") == dim).drop("dim"), is_anchor, positives, negatives, low, high)
+        part = _mined(all_.filter(F.col("dim") == dim).drop("dim"), positives, negatives, low, high)
         out = part if out is None else out.union(part)
     return out if out is not None else rows.sparkSession.createDataFrame([], "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long")
 
 
-def _mined(rows: DataFrame, is_anchor: Column, positives: int, negatives: int, low: int, high: int) -> DataFrame:
+def _mined(rows: DataFrame, positives: int, negatives: int, low: int, high: int) -> DataFrame:
     # A scalar, and PIVOTS rows whose number does not grow.
     norm = F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x)
     n, most = rows.agg(F.count(F.lit(1)), F.max(norm)).first()
@@ -187,7 +187,7 @@ def _mined(rows: DataFrame, is_anchor: Column, positives: int, negatives: int, l
     stored = keyed(rows, pivots, most).repartitionByRange(ranges, *key).sortWithinPartitions(*key)
     index = cut(stored.withColumn("range_id", F.spark_partition_id()))
     keys = index.groupBy("range_id", "label", "pivot").agg(F.min("far").alias("low"), F.max("far").alias("high"))
-    anchors = cut(rows.filter(is_anchor).withColumnRenamed("vec_id", "anchor_id"))
+    anchors = cut(rows.filter("asks").select(F.col("vec_id").alias("anchor_id"), "label", "v"))
     # Each anchor and pivot: the distance between them.
     plain = [F.array(*map(F.lit, map(float, p))) for p in pivots]
     square = lambda p: F.aggregate(F.zip_with("v", F.slice(p, 1, pivots.shape[1] - 1), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, x: acc + x) + F.element_at(p, -1) * F.element_at(p, -1)
