@@ -2,7 +2,7 @@ import itertools
 
 import numpy as np
 
-from tracklark.operators.folds import assign, dwell_lock, hysteresis, smoothing_spline, track
+from tracklark.operators.folds import assign, hysteresis, smoothing_spline, track
 
 
 def test_hysteresis_needs_a_streak():
@@ -10,17 +10,6 @@ def test_hysteresis_needs_a_streak():
     assert "".join(got) == "aammmaaas"
 
 
-def test_lock_reaches_back_to_the_first_slow_row():
-    t = np.arange(10.0)
-    speed = np.array([5, 5, 0.5, 0.5, 0.5, 0.5, 5, 5, 5, 5])
-    got = dwell_lock(t, speed, 1.0, 2.0, 3.0)
-    assert got.tolist() == [False, False, True, True, True, True, False, False, False, False]
-
-
-def test_a_short_stop_is_none():
-    assert not dwell_lock(np.arange(5.0), np.array([5, 0.5, 0.5, 5, 5]), 1.0, 2.0, 3.0).any()
-
-
 def test_assignment_is_the_best_one():
     rng = np.random.default_rng(5)
     for n, m in ((3, 3), (4, 3), (3, 5), (1, 4), (5, 5)):

@@ -157,10 +157,10 @@ def test_lines(spark):
 
 
 def test_position_reasons_in_order(spark):
-    rows = [(float("nan"), 1.0, 1, 5.0, 1), (91.0, 1.0, 1, 5.0, 1), (1.0, 181.0, 1, 5.0, 1), (0.0, 0.0, 1, 5.0, 1), (1.3, 103.9, 0, 5.0, 1), (1.3, 103.9, 1, 51.0, 1), (1.3, 103.9, 1, 5.0, None), (1.3, 103.9, 1, 5.0, 1), (91.0, 181.0, 0, 99.0, None)]
+    rows = [(float("nan"), 1.0, 1, 5.0, 1), (91.0, 1.0, 1, 5.0, 1), (1.0, 181.0, 1, 5.0, 1), (0.0, 0.0, 1, 5.0, 1), (1.3, 103.9, 0, 5.0, 1), (1.3, 103.9, 1, 51.0, 1), (1.3, 103.9, 1, 5.0, None), (1.3, 103.9, 1, 5.0, 1), (91.0, 181.0, 0, 99.0, None), (1.3, 103.9, 1, float("nan"), 1), (1.3, 103.9, 1, float("inf"), 1), (1.3, 103.9, 1, -3.0, 1), (1.3, 103.9, 1, None, 1), (1.3, 103.9, 1, 5.0, 0)]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i long, lat double, lon double, flags long, acc double, t long")
     got = [r["r"] for r in df.select("i", observations.position_reason("lat", "lon", "flags", "acc", "t").alias("r")).orderBy("i").collect()]
-    assert got == ["invalidNumber", "latOutOfRange", "lonOutOfRange", "nearZero", "noFix", "accuracyTooHigh", "missingTimestamp", None, "latOutOfRange"]
+    assert got == ["invalidNumber", "latOutOfRange", "lonOutOfRange", "nearZero", "noFix", "accuracyTooHigh", "missingTimestamp", None, "latOutOfRange", None, None, None, None, "missingTimestamp"]
 
 
 def test_jumps_count_from_the_last_accepted_row(spark):

@@ -1,4 +1,5 @@
-"""Steps that depend on what was kept before: grouped pandas functions, one group per key, each linear in its rows; hysteresis as windows."""
+"""Steps that depend on what was kept before: filters, thinning, box dedupe and the stationary lock as carried folds, which split a hot key;
+hysteresis as windows; assignment, tracker and smoothing spline as grouped pandas functions."""
 
 from __future__ import annotations
 
@@ -9,6 +10,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracklark.operators.carried import alike, carried
+from tracklark.sources.scratch import saved
+
 
 def grouped(rows: DataFrame, keys: list[str], order: list[str], f, more: str) -> DataFrame:
     """f(sorted group) -> group with the columns `more` added, for each key."""
@@ -48,80 +52,84 @@ def hysteresis_states(rows: DataFrame, keys: list[str], order: list[str], instan
     return rows.withColumn("state", F.last("_held", True).over(upto)["v"]).drop("_i", "_from", "_held")
 
 
-def dwell_lock(t: np.ndarray, speed: np.ndarray, stop: float, go: float, dwell: float) -> np.ndarray:
-    """Rows of stops: at most `stop` fast for `dwell`, back to the first slow row, until at least `go` fast for `dwell`."""
-    locked = np.zeros(len(t), bool)
-    state, since = "moving", None
-    for i, (now, v) in enumerate(zip(t, speed, strict=True)):
-        if state in ("moving", "stopping"):
-            if v <= stop:
-                since = i if state == "moving" else since
-                state = "stopping"
-                if now - t[since] >= dwell:
-                    locked[since : i + 1] = True
-                    state, since = "stopped", None
-            else:
-                state, since = "moving", None
-        else:
-            locked[i] = True
-            if v >= go:
-                since = i if state == "stopped" else since
-                state = "starting"
-                if now - t[since] >= dwell:
-                    locked[since : i + 1] = False
-                    state, since = "moving", None
+def stationary_lock(rows: DataFrame, keys: list[str], time: str, tie: str, speed: str, stop: float = 1.0, go: float = 2.0, dwell: float = 3.0) -> DataFrame:
+    """rows with locked: at most stop fast for at least dwell, until at least go for that long; both count from the first row of the stretch.
+
+    A fold over rows names the stretch that a row is in and that may yet turn, by its first row; a stretch turns where it lasts."""
+
+    def step(g: pd.DataFrame, state: list | None):
+        held, since, name = state or ["moving", None, None]
+        base, stretch, turns = np.zeros(len(g), bool), [None] * len(g), np.zeros(len(g), bool)
+        for i, (now, own, x) in enumerate(zip(g[time].tolist(), g[tie].tolist(), g[speed].tolist(), strict=True)):
+            base[i] = was_locked = held in ("stopped", "starting")
+            if (x >= go) if was_locked else (x <= stop):
+                if held in ("moving", "stopped"):
+                    since, name = now, f"{now} {own}"
+                stretch[i], held = name, "starting" if was_locked else "stopping"
+                if now - since >= dwell:
+                    turns[i] = True
+                    held, since, name = ("moving" if was_locked else "stopped"), None, None
             else:
-                state, since = "stopped", None
-    return locked
+                held, since, name = ("stopped" if was_locked else "moving"), None, None
+        return {"_base": base, "_stretch": stretch, "_turns": turns}, [held, since, name]
 
-
-def stationary_lock(rows: DataFrame, keys: list[str], time: str, tie: str, speed: str, stop: float = 1.0, go: float = 2.0, dwell: float = 3.0) -> DataFrame:
-    return grouped(rows, keys, [time, tie], lambda g: g.assign(locked=dwell_lock(g[time].to_numpy(), g[speed].to_numpy(), stop, go, dwell)), "locked boolean")
+    marked = carried(rows, keys, [time, tie], step, "_base boolean, _stretch string, _turns boolean")
+    turned = marked.filter("_turns").select(*keys, "_stretch").distinct().withColumn("_t", F.lit(True))
+    return alike(marked, turned, [*keys, "_stretch"]).withColumn("locked", F.col("_base") != F.coalesce("_t", F.lit(False))).select(*rows.columns, "locked")
 
 
 def keep_against_last(rows: DataFrame, keys: list[str], order: list[str], value: str, most_step: float) -> DataFrame:
     """Rows whose value is at most most_step from the last kept one's; the first is kept."""
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(order, kind="stable")
-        keep, last = np.zeros(len(g), bool), None
-        for i, v in enumerate(g[value].to_numpy()):
+    def step(g: pd.DataFrame, state: list | None):
+        keep, last = np.zeros(len(g), bool), state and state[0]
+        for i, v in enumerate(g[value].to_numpy().tolist()):
             if last is None or abs(v - last) <= most_step:
                 keep[i], last = True, v
-        return g[keep]
+        return {"_keep": keep}, [last]
 
-    return rows.groupBy(*keys).applyInPandas(run, rows.schema)
+    return carried(rows, keys, order, step, "_keep boolean").filter("_keep").drop("_keep")
 
 
 def thin(rows: DataFrame, keys: list[str], order: list[str], s: str, spacing: float) -> DataFrame:
-    """Rows at least spacing after the last kept one; the first and the last are kept."""
+    """Rows at least spacing after the last kept one; the first and the last are kept. order begins with s."""
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(order, kind="stable")
-        keep, last = np.zeros(len(g), bool), None
-        for i, v in enumerate(g[s].to_numpy()):
-            if last is None or v - last >= spacing or i == len(g) - 1:
-                keep[i], last = True, v
-        return g[keep]
+    def step(g: pd.DataFrame, state: list | None):
+        x, keep = g[s].to_numpy(), np.zeros(len(g), bool)
+        i = 0 if state is None else int(np.searchsorted(x, state[0] + spacing))
+        last = state and state[0]
+        while i < len(x):
+            keep[i], last = True, x[i].item()
+            i = max(i + 1, int(np.searchsorted(x, last + spacing)))
+        return {"_keep": keep}, [last]
 
-    return rows.groupBy(*keys).applyInPandas(run, rows.schema)
+    kept = carried(rows, keys, order, step, "_keep boolean")
+    kept = saved(kept)  # read twice
+    ends = kept.groupBy(*keys).agg(F.max_by(F.struct(*kept.columns), F.struct(*order)).alias("_end")).select("_end.*")
+    return kept.filter("_keep").union(ends.filter("not _keep")).drop("_keep")
 
 
 def dedupe_box(rows: DataFrame, keys: list[str], s: str, d: str, tie: str, score: str, box: float) -> DataFrame:
-    """By (s, d): a row within the box of the last one put out takes its place if its score is higher, else goes."""
+    """By (s, d): a row within the box of the last one put out takes its place if its score is higher, else goes.
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values([s, d, tie], kind="stable").reset_index(drop=True)
-        x, y, p, out = g[s].to_numpy(), g[d].to_numpy(), g[score].to_numpy(), []
+    A fold over rows gives each row that takes a place the place's name, by the row that opened it; of the rows of one place the last
+    stays."""
+
+    def step(g: pd.DataFrame, state: list | None):
+        x, y, p, own = (g[c].tolist() for c in (s, d, score, tie))
+        place, before = [None] * len(g), state
         for i in range(len(g)):
-            if out and abs(x[i] - x[out[-1]]) <= box and abs(y[i] - y[out[-1]]) <= box:
-                if p[i] > p[out[-1]]:
-                    out[-1] = i
+            if before is None or abs(x[i] - before[0]) > box or abs(y[i] - before[1]) > box:
+                before = [x[i], y[i], p[i], f"{x[i]} {y[i]} {own[i]}"]
+            elif p[i] > before[2]:
+                before = [x[i], y[i], p[i], before[3]]
             else:
-                out.append(i)
-        return g.iloc[out]
+                continue
+            place[i] = before[3]
+        return {"_place": place}, before
 
-    return rows.groupBy(*keys).applyInPandas(run, rows.schema)
+    placed = carried(rows, keys, [s, d, tie], step, "_place string").filter("_place is not null")
+    return placed.groupBy(*keys, "_place").agg(F.max_by(F.struct(*rows.columns), F.struct(s, d, tie)).alias("_top")).select("_top.*")
 
 
 def blocks(allowed: np.ndarray) -> list[tuple[list[int], list[int]]]:

@@ -5,13 +5,14 @@ A line is one row: keys, x, y and what belongs to it. Columns here work on the a
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracklark.functions.scalars import first_reason, point_segment, to_global
-from tracklark.operators.folds import grouped
+from tracklark.operators.carried import carried
 from tracklark.operators.temporal import nearest
 
 # The forward window and least confidence of lines; where and how near the centre sides are told; assessment limits.
@@ -154,8 +155,8 @@ def position_reason(lat: str, lon: str, flags: str, accuracy: str, time: str, mo
         ("lonOutOfRange", ~lo.between(-180, 180)),
         ("nearZero", (F.abs(la) < 1e-4) & (F.abs(lo) < 1e-4)),
         ("noFix", F.coalesce(F.col(flags), F.lit(0)) == 0),
-        ("accuracyTooHigh", F.col(accuracy) > most_accuracy),
-        ("missingTimestamp", F.col(time).isNull()),
+        ("accuracyTooHigh", finite(F.col(accuracy)) & (F.col(accuracy) > F.greatest(F.lit(most_accuracy), F.lit(0.0)))),
+        ("missingTimestamp", F.coalesce(F.col(time), F.lit(0)) == 0),
     )
 
 
@@ -163,15 +164,15 @@ def with_jumps(rows: DataFrame, keys: list[str], order: list[str], e: str, n: st
     """rows whose reason is set to positionJump where they are more than `most` from the last accepted row of the key; rows with a reason
     of their own are accepted by none. What counts is the last accepted row, so this is a fold; it runs over rows without a reason."""
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        x, y, own = g[e].to_numpy(float), g[n].to_numpy(float), [None] * len(g)
-        last = None
+    def step(g: pd.DataFrame, last: list | None):
+        x, y, jumps = g[e].to_numpy(float).tolist(), g[n].to_numpy(float).tolist(), np.zeros(len(g), bool)
         for i in range(len(g)):
-            if last is not None and ((x[i] - x[last]) ** 2 + (y[i] - y[last]) ** 2) ** 0.5 > most:
-                own[i] = "positionJump"
+            if last is not None and ((x[i] - last[0]) ** 2 + (y[i] - last[1]) ** 2) ** 0.5 > most:
+                jumps[i] = True
             else:
-                last = i
-        return g.assign(**{reason: own})
+                last = [x[i], y[i]]
+        return {"_jumps": jumps}, last
 
-    fine = grouped(rows.filter(F.col(reason).isNull()), keys, order, run, "")
+    fine = carried(rows.filter(F.col(reason).isNull()), keys, order, step, "_jumps boolean")
+    fine = fine.withColumn(reason, F.when(F.col("_jumps"), "positionJump")).drop("_jumps")
     return rows.filter(F.col(reason).isNotNull()).unionByName(fine)
