@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklark.operators import covers
+from tracklark.operators import covers, ordering, revisits
 from tracklark.plans.map_queries import P_, points
 
 QUERIES: dict = {}
@@ -53,3 +53,64 @@ def branch_uncertainties(spark: SparkSession, d: str) -> DataFrame:
     matrix = F.when(c % 5 == 0, F.array(F.array(v, F.lit(0.1)), F.array(F.lit(0.1), v)))
     value, reason = covers.branch_uncertainty(F.array(a, b, w), i % 11 != 0, matrix, F.array(a, b), kind, c % 2 == 0, F.lit(True))
     return points(spark, d).select("event_id", F.round(value, 6).alias("value"), reason.alias("reason"))
+
+
+@query(f"""WITH {P_}, r AS (SELECT user_id, x, y, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS i FROM p)
+SELECT user_id, round(coalesce((SELECT min(sqrt((a.x - b.x)^2 + (a.y - b.y)^2)) FROM r a JOIN r b ON a.user_id = b.user_id AND b.i >= a.i + 3 WHERE a.user_id = u.user_id), 0), 6)::DOUBLE AS distance FROM (SELECT DISTINCT user_id FROM r) u""")
+def least_apart(spark: SparkSession, d: str) -> DataFrame:
+    out = revisits.least_apart(points(spark, d), ["user_id"], ["t", "event_id"], "x", "y")
+    return out.select("user_id", F.round("distance", 6).alias("distance"))
+
+
+BEARING = "(degrees(atan2({e}, {n})) + 360) % 360"
+OFF = "(180 - abs(180 - abs({a} - {b})))"
+_old, _new = (BEARING.format(e=f"{p}.be - {p}.ae", n=f"{p}.bn - {p}.an") for p in "ab")
+_side = lambda p, q, r: f"(({q}e - {p}e) * ({r}n - {p}n) - ({q}n - {p}n) * ({r}e - {p}e))"
+
+
+@query(f"""WITH {P_}, o AS (SELECT user_id AS k, x::DOUBLE AS e, y::DOUBLE AS n, (cents * 7 % 360)::DOUBLE AS h, row_number() OVER w - 1 AS i, lag(x) OVER w AS e0, lag(y) OVER w AS n0, lead(x) OVER w AS e2, lead(y) OVER w AS n2, lead((cents * 7 % 360)::DOUBLE) OVER w AS h2 FROM p WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)),
+g AS (SELECT k, i, e AS ae, n AS an, e2::DOUBLE AS be, n2::DOUBLE AS bn, h AS ha, h2 AS hb, {BEARING.format(e='e2 - coalesce(e0, e)', n='n2 - coalesce(n0, n)')} AS tangent, sum(coalesce(sqrt((e - e0)^2 + (n - n0)^2), 0)) OVER (PARTITION BY k ORDER BY i) AS s FROM o),
+m AS (SELECT a.k, a.i AS a, b.i AS b, b.s - a.s AS travelled, {OFF.format(a=_new, b=_old)} AS between_, {OFF.format(a='b.ha', b='b.hb')} AS turned, {OFF.format(a='a.tangent', b=_new)} AS off_tangent, {OFF.format(a=_old, b='a.tangent')} < 30 AND {OFF.format(a=_new, b='b.hb')} < 30 AS aligned
+ FROM g a JOIN g b ON a.k = b.k AND b.i >= a.i + 3 AND b.be IS NOT NULL AND {_side('a.a', 'a.b', 'b.a')} * {_side('a.a', 'a.b', 'b.b')} < 0 AND {_side('b.a', 'b.b', 'a.a')} * {_side('b.a', 'b.b', 'a.b')} < 0),
+v AS (SELECT *, CASE WHEN between_ > 90 THEN 180 - between_ ELSE between_ END AS angle FROM m)
+SELECT k, a, b, round(travelled, 4)::DOUBLE AS travelled, round(angle, 4)::DOUBLE AS angle, CASE WHEN travelled >= 45 AND turned < 45 AND (aligned OR angle < 35 AND off_tangent < 60) THEN 'curveChordArtifact' WHEN angle >= 35 THEN 'genuineCrossing' ELSE 'ambiguous' END AS verdict FROM v""")
+def path_crossings(spark: SparkSession, d: str) -> DataFrame:
+    rows = points(spark, d).select(F.col("user_id").alias("k"), "t", "event_id", F.col("x").cast("double").alias("e"), F.col("y").cast("double").alias("n"), (F.col("cents") * 7 % 360).cast("double").alias("h"))
+    out = revisits.crossings(rows, ["k"], ["t", "event_id"], "e", "n", "h")
+    return out.select("k", "a", "b", F.round("travelled", 4).alias("travelled"), F.round("angle", 4).alias("angle"), "verdict")
+
+
+@query(f"""WITH {P_}, s AS (SELECT *, CASE WHEN bn IS NULL THEN ae ELSE be END AS ce, coalesce(bn, an) AS cn FROM (SELECT user_id, x::DOUBLE AS ae, y::DOUBLE AS an, lead(x) OVER w AS be, lead(y) OVER w AS bn FROM p WHERE event_id % 5 = 0 WINDOW w AS (PARTITION BY user_id ORDER BY event_id))),
+f AS (SELECT user_id, event_id, x + (cents % 9)::DOUBLE AS e, y::DOUBLE AS n FROM p WHERE event_id % 5 > 0),
+l AS (SELECT *, (ce - ae)^2 + (cn - an)^2 AS l2 FROM s), q AS (SELECT user_id, event_id, e, n, ae, an, ce, cn, CASE WHEN l2 > 0 THEN greatest(0, least(1, ((e - ae) * (ce - ae) + (n - an) * (cn - an)) / l2)) ELSE 0 END AS u FROM f JOIN l USING (user_id))
+SELECT user_id, round(max(off), 6)::DOUBLE AS max_off FROM (SELECT user_id, event_id, min(sqrt((e - ae - u * (ce - ae))^2 + (n - an - u * (cn - an))^2)) AS off FROM q GROUP BY ALL) GROUP BY user_id""")
+def corridor_distances(spark: SparkSession, d: str) -> DataFrame:
+    p = points(spark, d)
+    source = p.filter("event_id % 5 = 0").select("user_id", "event_id", F.col("x").cast("double").alias("e"), F.col("y").cast("double").alias("n"))
+    fitted = p.filter("event_id % 5 > 0").select("user_id", "event_id", (F.col("x") + F.col("cents") % 9).cast("double").alias("e"), F.col("y").cast("double").alias("n"))
+    return revisits.corridor(fitted, source, ["user_id"], "event_id", "event_id", 60.0).filter("max_off is not null").select("user_id", F.round("max_off", 6).alias("max_off"))
+
+
+FRAMES = f"""{P_}, f AS (SELECT user_id % 4 AS grp, day, user_id AS track, max(cents) AS d FROM p GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY grp, day ORDER BY d DESC, track) AS r FROM f),
+n AS (SELECT *, lag(day) OVER w AS day0, lag(n) OVER w AS n0 FROM (SELECT grp, day, count(*) AS n FROM k GROUP BY ALL) WINDOW w AS (PARTITION BY grp ORDER BY day)),
+c AS (SELECT n.grp, n.day, a.track, a.r, b.r AS r0 FROM n JOIN k a ON a.grp = n.grp AND a.day = n.day JOIN k b ON b.grp = n.grp AND b.day = n.day0 AND b.track = a.track),
+i AS (SELECT grp, day, count(*) AS n_inversions FROM c a JOIN c b USING (grp, day) WHERE a.r0 < b.r0 AND a.r > b.r GROUP BY ALL),
+s AS (SELECT grp, day, count(*) AS n_common, count(*) FILTER (r = r0) AS same FROM c GROUP BY ALL),
+z AS (SELECT grp, day, coalesce(n_common, 0) AS n_common, coalesce(n_common, 0) * (coalesce(n_common, 0) - 1) // 2 AS n_pairs, least(n, n0) - coalesce(same, 0) AS n_mismatches, coalesce(n_inversions, 0) AS n_inversions FROM n LEFT JOIN s USING (grp, day) LEFT JOIN i USING (grp, day) WHERE day0 IS NOT NULL),
+t AS (SELECT *, CASE WHEN n_inversions > 0 THEN 'pairwise_inversion' WHEN n_mismatches > 0 THEN 'support_change_only' END AS kind FROM z)"""
+
+
+def order_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = points(spark, d).select((F.col("user_id") % 4).alias("grp"), "day", F.col("user_id").alias("track"), F.col("cents").alias("d"))
+    return ordering.transitions(rows, ["grp"], "day", "track", "d")
+
+
+@query(f"WITH {FRAMES} SELECT grp, count(*) AS n_transitions, sum(n_pairs)::BIGINT AS n_pairs, sum(n_mismatches)::BIGINT AS n_mismatches, sum(n_inversions)::BIGINT AS n_inversions, count(*) FILTER (kind = 'support_change_only') AS n_support_only FROM t GROUP BY grp")
+def lateral_order_audit(spark: SparkSession, d: str) -> DataFrame:
+    return ordering.audit(order_rows(spark, d), ["grp"])
+
+
+@query(f"""WITH {FRAMES}, ep AS (SELECT *, sum(new) OVER (PARTITION BY grp ORDER BY day) AS episode FROM (SELECT *, (kind IS DISTINCT FROM lag(kind) OVER (PARTITION BY grp ORDER BY day))::INT AS new FROM t))
+SELECT grp, kind, min(day) AS first, max(day) AS last, count(*) AS n_transitions, sum(n_inversions)::BIGINT AS n_inversions FROM ep WHERE kind IS NOT NULL GROUP BY grp, episode, kind""")
+def lateral_order_episodes(spark: SparkSession, d: str) -> DataFrame:
+    return ordering.episodes(order_rows(spark, d), ["grp"], "day").drop("episode")
