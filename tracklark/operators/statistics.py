@@ -13,7 +13,11 @@ def order_statistics(rows: DataFrame, keys: list[str], value: str, positions: di
 
     Values are counted first; the counts' running sum goes over ranges of (keys, value), so neither a hot key nor its many values meet in
     one task or one aggregate's state."""
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    return of_counts(rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")), keys, value, positions)
+
+
+def of_counts(counts: DataFrame, keys: list[str], value: str, positions: dict[str, Column]) -> DataFrame:
+    """order_statistics of a table that counts each value once (keys, value, _n)."""
     placed = ranked(counts, [*keys, value], "_at", "_n")
     totals = placed.groupBy(*keys).agg(F.sum("_n").alias("n"), F.min("_at").alias("_from"), F.min(value).alias("min"), F.max(value).alias("max"), F.sum(F.col(value) * F.col("_n")).alias("_sum"))
     totals = totals.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), "n", "_from", "min", "max", (F.col("_sum") / F.col("n")).alias("mean"))
@@ -57,10 +61,19 @@ SHARES = {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0
 
 def summary(rows: DataFrame, keys: list[str], value: str, places: int = 4) -> DataFrame:
     """keys, n, min, max, mean and percentiles (interpolated on (n - 1) p) of the finite values."""
-    finite = rows.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")) & (F.abs(value) != float("inf")))
+    counts = finite(rows, value).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    return summary_of_counts(counts, keys, value, places)
+
+
+def finite(rows: DataFrame, value: str) -> DataFrame:
+    return rows.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")) & (F.abs(value) != float("inf")))
+
+
+def summary_of_counts(counts: DataFrame, keys: list[str], value: str, places: int = 4) -> DataFrame:
+    """summary of a table that counts each finite value once (keys, value, _n)."""
     at = {k: (F.col("n") - 1) * p for k, p in SHARES.items()}
     picks = {f"_{k}{side}": f(x) for k, x in at.items() for side, f in (("l", F.floor), ("h", F.ceil))}
-    found = order_statistics(finite, keys, value, picks)
+    found = of_counts(counts, keys, value, picks)
     parts = [F.round(F.col(f"_{k}l") + (F.col(f"_{k}h") - F.col(f"_{k}l")) * (x - F.floor(x)), places).alias(k) for k, x in at.items()]
     return found.select(*keys, "n", "min", "max", F.round("mean", places).alias("mean"), *parts)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklark.operators import covers, ordering, revisits
+from tracklark.operators import covers, ordering, partials, revisits
 from tracklark.plans.map_queries import P_, points
 
 QUERIES: dict = {}
@@ -114,3 +114,20 @@ def lateral_order_audit(spark: SparkSession, d: str) -> DataFrame:
 SELECT grp, kind, min(day) AS first, max(day) AS last, count(*) AS n_transitions, sum(n_inversions)::BIGINT AS n_inversions FROM ep WHERE kind IS NOT NULL GROUP BY grp, episode, kind""")
 def lateral_order_episodes(spark: SparkSession, d: str) -> DataFrame:
     return ordering.episodes(order_rows(spark, d), ["grp"], "day").drop("episode")
+
+
+@query(f"""WITH {P_}, v AS (SELECT event_id % 5 AS grp, 'x' AS metric, x::DOUBLE AS v FROM p UNION ALL SELECT event_id % 5, 'amount', cents / 100.0 FROM p)
+SELECT grp, metric, count(*) AS n, min(v)::DOUBLE AS min, max(v)::DOUBLE AS max, round(avg(v), 4)::DOUBLE AS mean, {", ".join(f"round(quantile_cont(v, {p / 100}), 4)::DOUBLE AS p{p}" for p in (10, 25, 50, 75, 90, 95))} FROM v GROUP BY grp, metric""")
+def merged_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """Three files' counts, made apart and added up."""
+    rows = points(spark, d).withColumn("grp", F.col("event_id") % 5)
+    parts = [partials.partial(rows.filter(F.col("day") % 3 == i), ["grp"], {"x": F.col("x"), "amount": F.col("cents") / 100.0}, {}) for i in range(3)]
+    return partials.summaries(partials.merged(*parts))
+
+
+@query(f"WITH {P_} SELECT event_id % 5 AS grp, count(*) FILTER (cents > 20000) AS large, count(*) FILTER (x < 10) AS near FROM p GROUP BY ALL")
+def merged_totals(spark: SparkSession, d: str) -> DataFrame:
+    rows = points(spark, d).withColumn("grp", F.col("event_id") % 5)
+    parts = [partials.partial(rows.filter(F.col("day") % 3 == i), ["grp"], {}, {"large": F.col("cents") > 20000, "near": F.col("x") < 10}) for i in range(3)]
+    n = lambda m: F.sum(F.when(F.col("metric") == m, F.col("n")).otherwise(0)).alias(m)
+    return partials.totals(partials.merged(*parts)).groupBy("grp").agg(n("large"), n("near"))

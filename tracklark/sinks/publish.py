@@ -28,10 +28,35 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def publish(tables: dict[str, DataFrame], root: str, run_id: str | None = None) -> str:
+class StaleToken(RuntimeError):
+    """Another publisher has taken a later token."""
+
+
+def newest_token(spark: SparkSession, root: str) -> int:
+    """The largest token that has been taken below root, 0 before the first."""
+    fs, folder = _fs(spark, f"{root}/tokens")
+    return max((int(x.getPath().getName()) for x in fs.listStatus(folder) if x.getPath().getName().isdigit()), default=0) if fs.exists(folder) else 0
+
+
+def fencing_token(spark: SparkSession, root: str) -> int:
+    """Takes the next token: a file that did not exist before. Creating it is one step of the file system, so of several publishers that
+    want the same number one gets it and the others go on to the next. Needs a file system whose createNewFile is atomic."""
+    token = newest_token(spark, root) + 1
+    while True:
+        fs, path = _fs(spark, f"{root}/tokens/{token:012d}")
+        fs.mkdirs(path.getParent())
+        if fs.createNewFile(path):
+            return token
+        token += 1
+
+
+def publish(tables: dict[str, DataFrame], root: str, run_id: str | None = None, token: int | None = None) -> str:
     """Writes the tables to a staging folder, checks their rows against what was written, renames it to runs/<id>, and then adds the pointer
     file pointers/<time>-<id>, which one rename brings in: readers take the last one, so they see a whole run or the one before at any
-    moment. The run's folder must be new. Works on any file system that Spark writes to."""
+    moment. The run's folder must be new. Works on any file system that Spark writes to.
+
+    With a token (of fencing_token), StaleToken is raised in place of the pointer if a later one has been taken meanwhile: a publisher
+    that stalled can't put its run over that of its successor. Its run stays in runs/, which no pointer names."""
     spark = next(iter(tables.values())).sparkSession
     run_id = run_id or uuid.uuid4().hex
     staging, final = f"{root}/staging/{run_id}", f"{root}/runs/{run_id}"
@@ -52,6 +77,8 @@ def publish(tables: dict[str, DataFrame], root: str, run_id: str | None = None)
     row = spark.createDataFrame([(run_id, json.dumps(manifest, sort_keys=True))], POINTER)
     row.coalesce(1).write.json(f"{root}/staging/pointer-{run_id}")
     fs.mkdirs(_fs(spark, f"{root}/pointers")[1])
+    if token is not None and newest_token(spark, root) > token:
+        raise StaleToken(f"run {run_id} holds token {token}, and token {newest_token(spark, root)} has been taken")
     if not fs.rename(_fs(spark, f"{root}/staging/pointer-{run_id}")[1], _fs(spark, f"{root}/pointers/{time.time_ns():020d}-{run_id}")[1]):
         raise OSError(f"could not point to {run_id}")
     return run_id
