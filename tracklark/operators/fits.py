@@ -13,6 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracklark.operators.carried import alike
+from tracklark.operators.statistics import order_statistics
+from tracklark.sources.scratch import saved
+
 PAIRS = [(i, j) for i in range(4) for j in range(i, 4)]
 STRENGTHS = (0.01, 0.1, 1.0, 10.0, 100.0)
 
@@ -86,3 +90,69 @@ def evaluated(rows: DataFrame, fits: DataFrame, keys: list[str], x: str) -> Data
     terms = [w * F.get("_c", F.col("_cell") + i) for i, w in enumerate(weights(F.col("_u") - F.col("_cell")))]
     inside = F.col(x).between(F.col("_low"), F.col("_high"))
     return both.withColumn("fit", F.when(inside, F.col("_level") + terms[0] + terms[1] + terms[2] + terms[3])).select(*rows.columns, "fit")
+
+
+def robust_fits(rows: DataFrame, keys: list[str], x: str, y: str, knots: int = 12, strength: float = 1.0, rounds: int = 8, cut: float = 4.685) -> DataFrame:
+    """keys, low, high, coefficients, scale, n_rounds: penalised curves reweighted by Tukey's biweight of the residuals over their scale
+    (1.4826 times the median of their sizes); a key whose scale vanishes keeps the curve that it has.
+
+    A round is two aggregations over the rows: 14 weighted sums for each knot interval, and the residuals' median from counts over ranges.
+    A row's weight follows from its key's last curve and scale, so only those, one row for each key, pass from round to round."""
+    known = saved(rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")))
+    ranges = known.groupBy(*keys).agg(F.min("_x").alias("_low"), F.max("_x").alias("_high"))
+    at = saved(_cells(alike(known, ranges, keys), knots).select(*keys, "_x", "_y", "_cell", "_t", "_low", "_high"))
+    w = weights(F.col("_t"))
+    on = sum((w[i] * F.get("coefficients", F.col("_cell") + i) for i in range(4)), F.lit(0.0))
+    off = F.abs(F.col("_y") - on)
+    schema = T.StructType([*(rows.schema[k] for k in keys), T.StructField("coefficients", T.ArrayType(T.DoubleType()))])
+    now, done = None, None
+    for turn in range(1, rounds + 1):
+        weight = F.lit(1.0)
+        weighted = at
+        if now is not None:
+            weighted = alike(at, now.select(*keys, "coefficients", "scale"), keys).filter("coefficients is not null")
+            r = off / (cut * F.col("scale"))
+            weight = F.when(r < 1, (1 - r * r) * (1 - r * r)).otherwise(0.0) + 1e-6
+        weighted = weighted.withColumn("_w", weight)
+        sums = weighted.groupBy(*keys, "_cell").agg(*(F.sum(F.col("_w") * w[i] * w[j]).alias(f"a{i}{j}") for i, j in PAIRS), *(F.sum(F.col("_w") * w[i] * F.col("_y")).alias(f"b{i}") for i in range(4)))
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            n = knots + 2
+            a, b = np.zeros((n, n)), np.zeros(n)
+            for r in pdf.sort_values("_cell").to_dict("records"):
+                c = r["_cell"]
+                for i, j in PAIRS:
+                    a[c + i, c + j] += r[f"a{i}{j}"]
+                    if i != j:
+                        a[c + j, c + i] += r[f"a{i}{j}"]
+                b[c : c + 4] += [r[f"b{i}"] for i in range(4)]
+            bend = np.diff(np.eye(n), 2, axis=0)
+            return pd.DataFrame([{**pdf.iloc[0][keys].to_dict(), "coefficients": np.linalg.solve(a + strength * bend.T @ bend + 1e-9 * np.eye(n), b).tolist()}], columns=schema.fieldNames())
+
+        curves = saved(sums.groupBy(*keys).applyInPandas(run, schema))
+        left = alike(at, curves, keys).filter("coefficients is not null").select(*keys, off.alias("_off"))
+        middle = {"_a": F.floor((F.col("n") - 1) / 2), "_b": F.floor(F.col("n") / 2)}
+        spread = order_statistics(left, keys, "_off", middle).select(*keys, (1.4826 * (F.col("_a") + F.col("_b")) / 2).alias("scale"))
+        both = saved(alike(curves, spread, keys).withColumn("n_rounds", F.lit(turn)))
+        over = both if turn == rounds else both.filter("scale < 1e-12")
+        done = over if done is None else done.union(over)
+        now = both.filter("scale >= 1e-12")
+        if turn < rounds and not now.take(1):
+            break
+    return alike(done, ranges.select(*keys, F.col("_low").alias("low"), F.col("_high").alias("high")), keys)
+
+
+def _cells(rows: DataFrame, knots: int) -> DataFrame:
+    u = (F.col("_x") - F.col("_low")) * (knots - 1) / F.when(F.col("_high") > F.col("_low"), F.col("_high") - F.col("_low")).otherwise(1)
+    rows = rows.withColumn("_u", u).withColumn("_cell", F.least(F.floor("_u"), F.lit(knots - 2)).cast("int"))
+    return rows.withColumn("_t", F.col("_u") - F.col("_cell")).drop("_u")
+
+
+def robust_curves(rows: DataFrame, keys: list[str], x: str, y: str, **how) -> DataFrame:
+    """rows with fit, the robust curve at x (null without x); keys with fewer than four rows keep y."""
+    fits = robust_fits(rows, keys, x, y, **how)
+    few = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    curves = alike(fits, few, keys).filter("_n >= 4").select(*keys, F.col("low").alias("_low"), F.col("high").alias("_high"), F.col("coefficients").alias("_c"), "_n")
+    both = _cells(alike(rows, curves, keys).withColumn("_x", F.col(x).cast("double")), how.get("knots", 12))
+    fit = sum((w * F.get("_c", F.col("_cell") + i) for i, w in enumerate(weights(F.col("_t")))), F.lit(0.0))
+    return both.withColumn("fit", F.when(F.col("_n").isNull(), F.col(y).cast("double")).otherwise(fit)).select(*rows.columns, "fit")

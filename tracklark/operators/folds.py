@@ -255,14 +255,3 @@ def smoothing_spline(x: np.ndarray, y: np.ndarray, knots: int = 12, strength: fl
         r = off / (cut * scale)
         weight = np.where(r < 1, (1 - r**2) ** 2, 0.0) + 1e-6
     return fit
-
-
-def fit_curves(rows: DataFrame, keys: list[str], x: str, tie: str, y: str, strength: float = 1.0) -> DataFrame:
-    """rows with fit; keys with fewer than four rows keep y."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        a, b = g[x].to_numpy(float), g[y].to_numpy(float)
-        return g.assign(fit=smoothing_spline(a, b, strength=strength) if len(g) >= 4 else b)
-
-    return grouped(rows, keys, [x, tie], run, "fit double")
-

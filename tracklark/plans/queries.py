@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracklark.functions import scalars as S
-from tracklark.operators import evaluation, folds, intervals, joins, sequence, statistics, temporal
+from tracklark.operators import evaluation, fits, folds, intervals, joins, sequence, statistics, temporal
 from tracklark.sources.tables import events, micros, table
 
 HOUR = 3_600_000_000
@@ -480,4 +480,4 @@ def tracker(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def smoothing_fit(spark: SparkSession, d: str) -> DataFrame:
     rows = events(spark, d).select("user_id", "event_id", (F.col("t") / DAY).alias("x"), "value")
-    return folds.fit_curves(rows, ["user_id"], "x", "event_id", "value").withColumn("fit", F.round("fit", 6))
+    return fits.robust_curves(rows, ["user_id"], "x", "value").withColumn("fit", F.round("fit", 6))
