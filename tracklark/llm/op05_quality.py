@@ -153,7 +153,8 @@ f AS (
   SELECT b.doc_id, lang, n_words, length(solid) AS word_chars, {classes[2]} AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
          coalesce(n_repeat_words, 0) AS n_repeat_words, 
          [{", ".join(classes)}, length(text) - length(solid), {lower}, length(solid) - {lower} - {" - ".join(classes)} - {digits}] AS chars,
-         CASE WHEN common IS NOT NULL THEN list_append(list_transform(common, lambda c: len(list_filter(a, lambda x: x = c))), len(list_filter(a, lambda x: NOT list_contains(common, x)))) END AS words
+         CASE WHEN common IS NOT NULL THEN list_append(list_transform(common, lambda c: len(list_filter(a, lambda x: x = c))), len(list_filter(a, lambda x: NOT list_contains(common, x)))) END AS words,
+         length(text) AS size, {digits} AS n_digits
   FROM b LEFT JOIN r ON r.doc_id = b.doc_id
 ), g AS (SELECT *, list_sum(chars) AS n_chars, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
 c AS (SELECT doc_id, lang, base_failed, 'c' AS part, unnest(chars) AS v, generate_subscripts(chars, 1) AS j, n_chars AS total FROM g
@@ -165,7 +166,7 @@ x AS (SELECT doc_id, part, v / total AS p, q, (v / total + q) / 2 AS h FROM c JO
 y AS (SELECT doc_id, part, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(p / h) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / h) ELSE 0 END) / 2)) AS far FROM x GROUP BY ALL)
 SELECT g.doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
        n_repeat_words::BIGINT AS n_repeat_words, base_failed,
-       NOT base_failed AND NOT (n_chars >= {LEAST_CHARS} AND coalesce(yc.far, 0) > {MOST_CHAR_DISTANCE}) AND NOT (n_words >= {LEAST_WORDS} AND coalesce(yw.far, 0) > {MOST_WORD_DISTANCE}) AS kept
+       NOT base_failed AND NOT (size >= {LEAST_CHARS} AND (coalesce(yc.far, 0) > {MOST_CHAR_DISTANCE} OR 100 * n_digits > {MOST_DIGITS} * word_chars)) AND NOT (n_words >= {LEAST_WORDS} AND coalesce(yw.far, 0) > {MOST_WORD_DISTANCE}) AS kept
 FROM g LEFT JOIN y yc ON yc.doc_id = g.doc_id AND yc.part = 'c' LEFT JOIN y yw ON yw.doc_id = g.doc_id AND yw.part = 'w'
 """
 

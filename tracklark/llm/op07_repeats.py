@@ -18,7 +18,8 @@ before the shuffle.
 repeats() gives the bytes to remove; repeat_groups() the groups of maximal repeats with all their occurrences, as long as they are.
 
 Defined results: a null or empty text has no bytes; texts of fewer than `least` bytes keep all; rows that repeat a doc_id and its text
-are one document, each row gets its result; rows without a doc_id keep all; an empty table gives an empty table; columns beside
+are one document, each row gets its result; different texts of one doc_id are documents of their own, in the order of their hashes, and
+repeats() and repeat_groups() take such a table only through told_apart(), which numbers them; rows without a doc_id keep all; an empty table gives an empty table; columns beside
 doc_id and text do not matter.
 """
 
@@ -36,6 +37,7 @@ from pyspark.sql import functions as F
 
 from tracklark.llm.common import STEP_BYTES, arrow_types, cut, documents, id_and_text, partitions, per_batch
 from tracklark.llm.textnum import BYTE_VALUES, U, content_hashes, prefix_sums, range_hashes
+from tracklark.operators.sequence import ranked
 
 #: Bytes of a repeat and of a seed; contexts of one seed that are scanned together.
 LEAST, SEED, MOST = 100, 24, 4096
@@ -120,7 +122,7 @@ def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of sorted anchors: again = true for those whose context stood before; of the others, the first of each context of the
     seeds that have several, and of the first and last seed, which other partitions may hold too."""
     held: list[np.ndarray] = []
-    edge = True
+    edge, last = True, None
 
     def out(x: np.ndarray, left: bool, right: bool) -> pa.RecordBatch:
         seed, context, more = x[:3]
@@ -139,6 +141,14 @@ def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         x = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)])
+        # A row of the table that stands twice is no repeat; its anchors follow each other.
+        other = np.ones(x.shape[1], bool)
+        other[1:] = (x[:, 1:] != x[:, :-1]).any(0)
+        other[0] = last is None or (x[:, 0] != last).any()
+        last = x[:, -1].copy()
+        x = x[:, other]
+        if not x.shape[1]:
+            continue
         held.append(x)
         if x[0, 0] != x[0, -1]:
             x = np.concatenate(held, 1)
@@ -399,11 +409,28 @@ def extended(docs: DataFrame, heads: DataFrame, at: DataFrame) -> DataFrame:
     return at.join(spans, piece).withColumn("g_start", F.col("at") - F.col("back")).withColumn("g_end", F.col("at") + F.col("left") + F.col("right") + F.col("more"))
 
 
+def told_apart(docs: DataFrame) -> DataFrame:
+    """own_id, doc_id, text: doc_id is own_id where every id stands once; else the place of (own_id, text) among all, so that texts that
+    share an id have numbers of their own, in the order of the ids. Whether an id repeats is told from the ids alone."""
+    rows = id_and_text(docs)
+    known = rows.filter("doc_id is not null")
+    if known.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return rows.select(F.col("doc_id").alias("own_id"), "doc_id", "text")
+    key = [F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")]
+    numbers = ranked(known.select(*key).distinct(), ["own_id", "h1", "h2"], "number").select("own_id", "h1", "h2", F.col("number").cast("long").alias("doc_id"))
+    return rows.select(*key, "text").join(numbers, ["own_id", "h1", "h2"], "left").select("own_id", "doc_id", "text")
+
+
 def op7_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    return without_repeats(documents(spark, sf_dir))
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row."""
+    docs = told_apart(docs)
     spans = repeats(docs)
     per_doc = spans.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.shiftleft("start", 32).bitwiseOR(F.col("end"))).alias("spans"))
-    joined = id_and_text(docs).join(per_doc, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", "spans")
+    joined = docs.join(per_doc, F.col("doc_id") == F.col("_id"), "left").select("own_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
