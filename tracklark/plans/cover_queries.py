@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklark.operators import covers, ordering, partials, revisits
+from tracklark.operators import covers, line_tracker, ordering, partials, revisits
 from tracklark.plans.map_queries import P_, points
 
 QUERIES: dict = {}
@@ -131,3 +131,18 @@ def merged_totals(spark: SparkSession, d: str) -> DataFrame:
     parts = [partials.partial(rows.filter(F.col("day") % 3 == i), ["grp"], {}, {"large": F.col("cents") > 20000, "near": F.col("x") < 10}) for i in range(3)]
     n = lambda m: F.sum(F.when(F.col("metric") == m, F.col("n")).otherwise(0)).alias(m)
     return partials.totals(partials.merged(*parts)).groupBy("grp").agg(n("large"), n("near"))
+
+
+@query()
+def line_tracks(spark: SparkSession, d: str) -> DataFrame:
+    """Events as lines: a day is a frame of its user, the amount a line's place aside, the vehicle 10 m further each day."""
+    aside = (F.col("cents") % 24 - 12).cast("double")
+    rows = points(spark, d).select("user_id", F.col("day").alias("frame"), "event_id", (2.0 * F.col("day")).alias("t"), (10.0 * F.col("day")).alias("e"), F.lit(0.0).alias("n"), F.lit(90.0).alias("heading"), F.lit(2.0).alias("accuracy"), (0.5 + F.col("w") / 8.0).alias("prob"), F.array(F.lit(4.0), F.lit(18.0), F.lit(32.0)).alias("x"), F.array(aside, aside, aside + F.col("y") / 300.0).alias("y"))
+    return line_tracker.tracked(rows, ["user_id"], "frame", "event_id").withColumn("cost", F.round("cost", 6))
+
+
+@query(f"""WITH {P_}, k AS (SELECT user_id % 7 AS grp, user_id * 400 + x AS track, count(*) AS n, (max(day) - min(day))::DOUBLE AS s FROM p GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY n) - 1 AS i, count(*) OVER (PARTITION BY grp) AS c FROM k)
+SELECT grp, count(*) AS n_tracks, count(*) FILTER (n = 1) AS n_one, count(*) FILTER (n = 2) AS n_two, count(*) FILTER (n > 2) AS n_more, max(n) AS most_frames, max(s) AS longest, round(count(*) FILTER (n = 1) / count(*)::DOUBLE, 9) AS share_one, round((sum(n) - count(*))::DOUBLE / sum(n)::DOUBLE, 9) AS share_continued, max(n) FILTER (i = c // 2) AS median_frames FROM o GROUP BY grp""")
+def track_summaries(spark: SparkSession, d: str) -> DataFrame:
+    rows = points(spark, d).select((F.col("user_id") % 7).alias("grp"), "day", (F.col("user_id") * 400 + F.col("x")).alias("track"))
+    return line_tracker.summarised(rows, ["grp"], "day", "day", "track").withColumns({c: F.round(c, 9) for c in ("share_one", "share_continued")})
