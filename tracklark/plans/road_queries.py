@@ -112,11 +112,13 @@ def dominant_rows(spark: SparkSession, d: str) -> DataFrame:
     return fusion.dominant_only(rows.join(F.broadcast(codes), "event_type"), ["user_id"], "code").select("event_id", "user_id", "event_type")
 
 
-@query("""WITH RECURSIVE e AS (SELECT l_partkey % 900 AS a, l_suppkey % 700 + 100000 AS b FROM lineitem WHERE l_orderkey % 97 = 0), u AS (SELECT DISTINCT a, b FROM e UNION SELECT DISTINCT b, a FROM e),
-r(id, x) AS (SELECT a, a FROM u UNION SELECT r.id, u.b FROM r JOIN u ON u.a = r.x) SELECT id, min(x) AS component FROM r GROUP BY id""")
+@query(f"""WITH {E_}, g AS (SELECT event_id, user_id, t, coalesce(t - lag(t) OVER w > {DAY}, true)::INT AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t, event_id) AS s FROM g), c AS (SELECT event_id AS id, min(event_id) OVER (PARTITION BY user_id, s) AS component, count(*) OVER (PARTITION BY user_id, s) AS n FROM s) SELECT id, component FROM c WHERE n > 1""")
 def linked_components(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "lineitem").filter("l_orderkey % 97 = 0").select((F.col("l_partkey") % 900).alias("a"), (F.col("l_suppkey") % 700 + 100000).alias("b"))
-    return graph.components(rows, "a", "b")
+    """Events linked with the user's next within a day: chains of any length."""
+    w = W.partitionBy("user_id").orderBy("t", "event_id")
+    rows = events(spark, d).select(F.col("event_id").alias("a"), F.lead("event_id").over(w).alias("b"), (F.lead("t").over(w) - F.col("t")).alias("gap"))
+    return graph.components(rows.filter(F.col("gap") <= DAY), "a", "b")
 
 
 @query("""WITH p AS (SELECT s_nationkey AS k, s_suppkey AS a, c_custkey AS b, 1 - abs(s_acctbal - c_acctbal) / 2000 AS score FROM supplier JOIN customer ON s_nationkey = c_nationkey WHERE abs(s_acctbal - c_acctbal) < 1000),
@@ -187,11 +189,11 @@ def coverage_by_dimension(spark: SparkSession, d: str) -> DataFrame:
     return audits.coverage_by(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus", "l_linenumber"], F.col("l_quantity") > 25)
 
 
-@query("""WITH m AS (SELECT l_partkey AS item, l_suppkey AS grp FROM lineitem WHERE l_orderkey % 11 = 0), o AS (SELECT p_partkey AS item, p_size > 25 AS associated FROM part WHERE p_partkey % 5 > 0)
+@query("""WITH m AS (SELECT l_partkey AS item, l_suppkey AS grp FROM lineitem), o AS (SELECT p_partkey AS item, p_size > 25 AS associated FROM part WHERE p_partkey % 5 > 0)
 SELECT item, 'inSeveralGroups' AS issue FROM m GROUP BY item HAVING count(DISTINCT grp) > 1 UNION ALL SELECT DISTINCT item, 'withoutOutcome' FROM m WHERE item NOT IN (SELECT item FROM o)
 UNION ALL SELECT item, 'inNoGroup' FROM o WHERE associated AND item NOT IN (SELECT item FROM m)""")
 def track_membership(spark: SparkSession, d: str) -> DataFrame:
-    m = table(spark, d, "lineitem").filter("l_orderkey % 11 = 0").select(F.col("l_partkey").alias("item"), F.col("l_suppkey").alias("grp"))
+    m = table(spark, d, "lineitem").select(F.col("l_partkey").alias("item"), F.col("l_suppkey").alias("grp"))
     o = table(spark, d, "part").filter("p_partkey % 5 > 0").select(F.col("p_partkey").alias("item"), (F.col("p_size") > 25).alias("associated"))
     return audits.membership(o, m, "item", "grp")
 
