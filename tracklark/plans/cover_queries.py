@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklark.operators import covers, line_tracker, ordering, partials, revisits
+from tracklark.operators import covers, line_tracker, ordering, partials, purity, revisits
 from tracklark.plans.map_queries import P_, points
 
 QUERIES: dict = {}
@@ -146,3 +146,33 @@ SELECT grp, count(*) AS n_tracks, count(*) FILTER (n = 1) AS n_one, count(*) FIL
 def track_summaries(spark: SparkSession, d: str) -> DataFrame:
     rows = points(spark, d).select((F.col("user_id") % 7).alias("grp"), "day", (F.col("user_id") * 400 + F.col("x")).alias("track"))
     return line_tracker.summarised(rows, ["grp"], "day", "day", "track").withColumns({c: F.round(c, 9) for c in ("share_one", "share_continued")})
+
+
+CURVES = f"""{P_}, r AS (SELECT user_id % 8 AS grp, user_id AS curve, h::DOUBLE AS s, min((user_id % 16 // 8) * 15 + cents % 40 / 10.0 + CASE WHEN user_id % 8 = 3 THEN x / 10.0 ELSE 0 END)::DOUBLE AS d FROM p GROUP BY ALL),
+b AS (SELECT grp, min(s) + 6 AS b FROM r GROUP BY grp), n AS (SELECT *, lead(s) OVER w AS s2, lead(d) OVER w AS d2, lead(s, 2) OVER w IS NULL AS ends FROM r WINDOW w AS (PARTITION BY grp, curve ORDER BY s)),
+g AS (SELECT n.*, b, unnest(range(greatest(0, ceil((s - b) / 12))::BIGINT, floor((s2 - b) / 12)::BIGINT + 1)) AS k FROM n JOIN b USING (grp) WHERE s2 IS NOT NULL),
+v AS (SELECT grp, curve, k, d + (d2 - d) * (b + k * 12 - s) / (s2 - s) AS d FROM g WHERE b + k * 12 < s2 OR ends)"""
+
+
+def curve_samples(spark: SparkSession, d: str) -> DataFrame:
+    u = F.col("user_id")
+    aside = F.floor(u % 16 / 8) * 15 + F.col("cents") % 40 / 10.0 + F.when(u % 8 == 3, F.col("x") / 10.0).otherwise(0.0)
+    return points(spark, d).groupBy((u % 8).alias("grp"), u.alias("curve"), F.col("h").cast("double").alias("s")).agg(F.min(aside).cast("double").alias("d"))
+
+
+@query(f"""WITH {CURVES}, t AS (SELECT grp, k, d, d - lag(d) OVER (PARTITION BY grp, k ORDER BY d) AS gap FROM v), m AS (SELECT grp, k, max(d) - min(d) AS spread, max(gap) AS gap, arg_min(d - gap / 2, (-gap, d - gap / 2)) FILTER (gap IS NOT NULL) AS middle FROM t GROUP BY ALL HAVING max(gap) IS NOT NULL),
+f AS (SELECT *, spread > 8 AND gap > 3 AS bimodal FROM m), c AS (SELECT *, sum(new) OVER (PARTITION BY grp ORDER BY k) AS run FROM (SELECT *, (bimodal IS DISTINCT FROM lag(bimodal) OVER (PARTITION BY grp ORDER BY k))::INT AS new FROM f)),
+z AS (SELECT grp, run, count(*) AS n FROM c WHERE bimodal GROUP BY ALL), br AS (SELECT grp, run FROM z WHERE n >= 5 QUALIFY row_number() OVER (PARTITION BY grp ORDER BY n DESC, run) = 1),
+i AS (SELECT grp, k, middle FROM c JOIN br USING (grp, run)), l AS (SELECT grp, list_sort(list(middle))[count(*) // 2 + 1] AS level FROM i GROUP BY grp), h AS (SELECT v.* FROM v JOIN i USING (grp, k)),
+o AS (SELECT grp, curve, CASE WHEN quantile_cont(d, 0.5) < any_value(level) THEN 1 ELSE 2 END AS side FROM h JOIN l USING (grp) GROUP BY ALL), q AS (SELECT grp, side, d, quantile_cont(d, 0.5) OVER (PARTITION BY grp, side) AS mid FROM h JOIN o USING (grp, curve)),
+y AS (SELECT grp, side, quantile_cont(abs(d - mid), 0.5) AS mad, count(*) AS n FROM q GROUP BY ALL), x AS (SELECT grp FROM y WHERE mad <= 2.5 AND n >= 2 GROUP BY grp HAVING count(*) = 2)
+SELECT a.grp, a.curve, CASE WHEN x.grp IS NULL THEN 0 ELSE coalesce(side, 3) END::INT AS part FROM (SELECT DISTINCT grp, curve FROM r) a LEFT JOIN x ON a.grp = x.grp LEFT JOIN o ON a.grp = o.grp AND a.curve = o.curve""")
+def mode_splits(spark: SparkSession, d: str) -> DataFrame:
+    return purity.split(curve_samples(spark, d), "grp", "curve", "s", "d", 12.0, 60.0)
+
+
+@query()
+def curve_strands(spark: SparkSession, d: str) -> DataFrame:
+    curves = curve_samples(spark, d).groupBy("grp", "curve", F.floor(F.col("s") / 60).alias("piece")).agg(F.min("s").alias("s0"), F.max("s").alias("s1"), (F.sum("d") % 180).alias("heading"))
+    named = curves.withColumn("id", F.col("curve") * 1000 + F.col("piece") % 1000)
+    return purity.strands(named, ["grp"], "id", "s0", "s1", "heading").drop("piece")
