@@ -116,12 +116,12 @@ def lateral_order_episodes(spark: SparkSession, d: str) -> DataFrame:
     return ordering.episodes(order_rows(spark, d), ["grp"], "day").drop("episode")
 
 
-@query(f"""WITH {P_}, v AS (SELECT event_id % 5 AS grp, 'x' AS metric, x::DOUBLE AS v FROM p UNION ALL SELECT event_id % 5, 'amount', cents / 100.0 FROM p)
+@query(f"""WITH {P_}, v AS (SELECT event_id % 5 AS grp, 'x' AS metric, x::DOUBLE AS v FROM p UNION ALL SELECT event_id % 5, 'cents', cents::DOUBLE FROM p)
 SELECT grp, metric, count(*) AS n, min(v)::DOUBLE AS min, max(v)::DOUBLE AS max, round(avg(v), 4)::DOUBLE AS mean, {", ".join(f"round(quantile_cont(v, {p / 100}), 4)::DOUBLE AS p{p}" for p in (10, 25, 50, 75, 90, 95))} FROM v GROUP BY grp, metric""")
 def merged_summaries(spark: SparkSession, d: str) -> DataFrame:
     """Three files' counts, made apart and added up."""
     rows = points(spark, d).withColumn("grp", F.col("event_id") % 5)
-    parts = [partials.partial(rows.filter(F.col("day") % 3 == i), ["grp"], {"x": F.col("x"), "amount": F.col("cents") / 100.0}, {}) for i in range(3)]
+    parts = [partials.partial(rows.filter(F.col("day") % 3 == i), ["grp"], {"x": F.col("x"), "cents": F.col("cents")}, {}) for i in range(3)]
     return partials.summaries(partials.merged(*parts))
 
 
