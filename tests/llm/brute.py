@@ -56,19 +56,44 @@ def kept_lines(texts, least=10):
     return out
 
 
+def longest(a, b):
+    """Pairs of places of a longest common subsequence, by a whole table."""
+    best = {}
+    for i in range(len(a), -1, -1):
+        for j in range(len(b), -1, -1):
+            if i == len(a) or j == len(b):
+                best[i, j] = 0
+            else:
+                best[i, j] = best[i + 1, j + 1] + 1 if a[i] == b[j] else max(best[i + 1, j], best[i, j + 1])
+    return best[0, 0]
+
+
+def patience(a, b):
+    """Words that patience alignment matches; of equally long chains of anchors the one that is leftmost in a, read from its end."""
+    if not a or not b:
+        return 0
+    if a[0] == b[0]:
+        return 1 + patience(a[1:], b[1:])
+    if a[-1] == b[-1]:
+        return 1 + patience(a[:-1], b[:-1])
+    anchors = [(a.index(w), j) for j, w in enumerate(b) if a.count(w) == b.count(w) == 1]
+    if not anchors:
+        return longest(a, b)
+    length = []
+    for k, (i, _) in enumerate(anchors):
+        length.append(1 + max((length[m] for m in range(k) if anchors[m][0] < i), default=0))
+    cuts, k = [(len(a), len(b))], len(anchors)
+    for n in range(max(length), 0, -1):
+        k = min((m for m in range(k) if length[m] == n), key=lambda m: anchors[m][0])
+        cuts.append(anchors[k])
+    cuts = [(-1, -1), *cuts[::-1]]
+    return max(length) + sum(patience(a[i + 1 : k], b[j + 1 : m]) for (i, j), (k, m) in zip(cuts, cuts[1:]))
+
+
 def covered(words, template, width):
-    """Most template words aligned in a window of at most width words, first end and last start of such a window."""
-    best = (0, 0, 0)
-    for e in range(1, len(words) + 1):
-        row = [0] * (len(template) + 1)  # of words[s:e] and the template from each of its words on
-        for s in range(e - 1, max(-1, e - 1 - width), -1):
-            new = row[:]
-            for j in reversed(range(len(template))):
-                new[j] = row[j + 1] + 1 if words[s] == template[j] else max(row[j], new[j + 1])
-            row = new
-            if row[0] > best[0]:
-                best = (row[0], s, e)
-    return best
+    """Most template words that patience alignment matches in a window of this width."""
+    starts = [p for p, w in enumerate(words) if w in template]
+    return max((patience([w for w in words[p : p + width] if w in template], template) for p in starts), default=0)
 
 
 def without_repeats(texts, least=100):

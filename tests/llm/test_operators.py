@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -110,23 +111,54 @@ def test_op3_two_copies_amid_prose():
 def test_op3_against_every_window():
     rng = random.Random(8)
     templates = {"short": "a b a c d".split(), "long": "e a b f a g h c b a".split(), "same": "a a b a".split()}
-    hits = 0
+    hits = less = 0
     for _ in range(300):
         text = [rng.choice("aabbcdefghxyz") for _ in range(rng.randrange(60))]
         for _ in range(rng.randrange(4)):
             copy = [w for w in templates[rng.choice(sorted(templates))] if rng.random() < 0.9]
             at = rng.randrange(len(text) + 1)
             text[at:at] = copy
+        each = {name: [brute.covered(text, t, int(x * len(t))) for x in op03_license.STRETCHES] for name, t in templates.items()}
         for least in (0.7, 0.9):
-            want = {}
-            for name, t in templates.items():
-                n, s, e = brute.covered(text, t, op03_license.STRETCH * len(t))
-                if n and n >= least * len(t):
-                    want[name] = (n / len(t), s, e)
+            most = {k: next((n for n in x if n >= least * len(templates[k])), 0) for k, x in each.items()}
             got = {name: (c, s, e) for name, c, s, e in op03_license.scan(" ".join(text), templates, least)}
-            assert got == want, text
-            hits += len(want)
-    assert hits > 300
+            assert {k: c for k, (c, _, _) in got.items()} == {k: n / len(templates[k]) for k, n in most.items() if n}, text
+            for name, (_, s, e) in got.items():
+                assert e - s <= int(max(op03_license.STRETCHES) * len(templates[name]))
+                assert text[s] in templates[name] and text[e - 1] in templates[name] and brute.longest(text[s:e], templates[name]) >= most[name]
+                less += brute.longest(text[s:e], templates[name]) > most[name]
+            hits += len(got)
+    assert hits > 300 and less > 0
+
+
+def test_op3_alignment_decides():
+    """A moved unique word is an anchor of its own chain: the alignment may match fewer words than the longest common subsequence."""
+    a, b = "x y p p q q".split(), "p p q q x y".split()
+    assert len(op03_license.align(a, b)) == brute.patience(a, b) == 2 and brute.longest(a, b) == 4
+    rng = random.Random(3)
+    for _ in range(400):
+        a, b = ([rng.choice("abcdefghij") for _ in range(rng.randrange(14))] for _ in range(2))
+        pairs = op03_license.align(a, b)
+        assert len(pairs) == brute.patience(a, b)
+        assert all(a[i] == b[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in itertools.pairwise(pairs))
+        whole = op03_license.subsequence(a, 0, len(a), b, 0, len(b))
+        assert len(whole) == brute.longest(a, b) and all(a[i] == b[j] for i, j in whole)
+
+
+def test_op3_whole_licence():
+    """A template of 5,000 words, twice in a text, with one word in fifty gone from one copy and two in a hundred from the other."""
+    rng = random.Random(5)
+    words = [f"w{int(rng.paretovariate(0.7))}" for _ in range(5000)]
+    prose = [f"w{int(rng.paretovariate(0.7))}" for _ in range(4000)]
+    text = prose + [w for w in words if rng.random() > 0.02] + prose[::-1] + [w for w in words if rng.random() > 0.04] + prose
+    (name, coverage, start, end), = op03_license.scan(" ".join(text), {"whole": words}, 0.9)
+    assert name == "whole" and 0.97 < coverage < 1 and abs(start - 4000) < 100 and abs(end - 8900) < 100
+
+
+def test_op3_ties():
+    """Equal coverage: the longer template, then the name; the shortest place, then the first."""
+    t = {"b": "p q r s".split(), "a": "p q r s".split(), "longer": "p q r s t".split()}
+    assert op03_license.scan("p x q r s t p q r s t p q r s t", t, 0.8) == [("longer", 1.0, 6, 11), ("a", 1.0, 6, 10), ("b", 1.0, 6, 10)]
 
 
 def test_op4(docs, texts):

@@ -1,16 +1,18 @@
 """License scans by patience alignment of a text's words with each template's.
 
 Words that occur once in both are anchors; the longest increasing subsequence of their places is kept, and the gaps between kept
-anchors are aligned in the same way, until a gap has no common unique word; such a gap is aligned by its longest common subsequence.
-Coverage is the share of a template's words that are aligned inside the best window of the text, which is at most stretch
-times as long as the template. Every such window is judged: where anchors align less than the words of a window allow, its longest
-common subsequence decides, so repeated or moved words cost no coverage.
+anchors are aligned in the same way, until a gap has no common unique word; such a gap is aligned by its longest common subsequence,
+halved again and again, so memory is linear in its length. Coverage is the share of a template's words that this alignment matches
+inside the best window of the text, and the matched words are the place; nothing else decides. Windows begin in every
+1/32 of a template's length (at every word for templates below 64 words) and are 5/4 and 3 times as long as it: the narrow ones
+hold one copy only, so that words of another copy or of the prose around are no anchors; the wide ones, for copies with words put in,
+are judged where no narrow one reaches the threshold. A copy spread over more than that is not found.
 
 A window is only aligned if enough of the template's words occur in it, as often as in the template, which bounds the coverage
 from above, so nothing that could reach the threshold is skipped.
 
-Defined results: a null or empty text has no licence; equal coverage goes to the longer template, then to the first by name; of equal
-windows the one that ends first, and begins last, gives the place; repeated rows are scanned alike; an empty table gives an empty table; columns beside doc_id and text do not matter.
+Defined results: a null or empty text has no licence; equal coverage goes to the longer template, then to the first by name; of windows
+with equal coverage the shortest place counts, then the first; repeated rows are scanned alike; an empty table gives an empty table; columns beside doc_id and text do not matter.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,8 +42,8 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
 }
 TOKEN = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
-#: Words of a window for each word of the template.
-STRETCH = 3
+#: Words of a window for each word of the template, and the windows that begin within a template's length.
+STRETCHES, STARTS = (1.25, 3.0), 32
 
 
 def increasing(places: list[int]) -> list[int]:
@@ -60,23 +63,36 @@ def increasing(places: list[int]) -> list[int]:
     return out[::-1]
 
 
+def common_lengths(words: list[str], template: list[str]) -> list[int]:
+    """Length of the longest common subsequence of words and the template up to each of its places, 0 included (bits stand for its words)."""
+    masks: dict[str, int] = defaultdict(int)
+    for j, w in enumerate(template):
+        masks[w] |= 1 << j
+    full = open_ = (1 << len(template)) - 1
+    for w in words:
+        hit = open_ & masks.get(w, 0)
+        open_ = ((open_ + hit) | (open_ - hit)) & full
+    bits = bin(open_ | 1 << len(template))[:2:-1]
+    return [0, *accumulate(int(x == "0") for x in bits)]
+
+
 def subsequence(a: list[str], a0: int, a1: int, b: list[str], b0: int, b1: int) -> list[tuple[int, int]]:
-    """Matched places of a longest common subsequence of a[a0:a1] and b[b0:b1]."""
-    both = set(a[a0:a1]) & set(b[b0:b1])
-    x, y = [i for i in range(a0, a1) if a[i] in both], [j for j in range(b0, b1) if b[j] in both]
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in reversed(range(len(x))):
-        for j in reversed(range(len(y))):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[x[i]] == b[y[j]] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < len(x) and j < len(y):
-        if a[x[i]] == b[y[j]]:
-            out.append((x[i], y[j]))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            i += 1
-        else:
-            j += 1
+    """Matched places of a longest common subsequence of a[a0:a1] and b[b0:b1]: a is halved, b is cut where both halves match most."""
+    out, open_ = [], [(a0, a1, b0, b1)]
+    while open_:
+        a0, a1, b0, b1 = open_.pop()
+        if a1 - a0 == 1:
+            j = next((j for j in range(b0, b1) if b[j] == a[a0]), None)
+            if j is not None:
+                out.append((a0, j))
+        elif a1 > a0 and b1 > b0:
+            m = (a0 + a1) // 2
+            left, right = common_lengths(a[a0:m], b[b0:b1]), common_lengths(a[m:a1][::-1], b[b0:b1][::-1])
+            cut = max(range(len(left)), key=lambda k: left[k] + right[-1 - k])
+            if left[cut]:
+                open_.append((a0, m, b0, b0 + cut))
+            if right[-1 - cut]:
+                open_.append((m, a1, b0 + cut, b1))
     return out
 
 
@@ -106,18 +122,6 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def common_lengths(words: list[str], template: list[str]) -> Iterator[int]:
-    """Length of the longest common subsequence of the template and the words up to each one (bits stand for template words)."""
-    masks: dict[str, int] = defaultdict(int)
-    for j, w in enumerate(template):
-        masks[w] |= 1 << j
-    full = open_ = (1 << len(template)) - 1
-    for w in words:
-        hit = open_ & masks[w]
-        open_ = ((open_ + hit) | (open_ - hit)) & full
-        yield len(template) - open_.bit_count()
-
-
 def windows(at: list[int], words: list[str], template: list[str], width: int) -> Iterator[tuple[int, int, int]]:
     """Of the template's words in a text (their places and themselves): range of those in the width words from each one on, and
     how many of the template's words they can match at most."""
@@ -135,22 +139,24 @@ def windows(at: list[int], words: list[str], template: list[str], width: int) ->
 
 def best_window(at: list[int], words: list[str], template: list[str], least: float) -> tuple[int, int, int]:
     """Aligned words, first and last of them (end exclusive) in the best window; zeros if none has this coverage."""
-    best, found = 0, (0, 0)
-    for a, b, bound in windows(at, words, template, STRETCH * len(template)):
-        if bound > best and bound >= least * len(template):
-            n = len(align(words[a:b], template))
-            if n < bound:
-                *_, n = common_lengths(words[a:b], template)
-            if n > best and n >= least * len(template):
-                best, found = n, (a, b)
-                if best == len(template):
-                    break
-    if not best:
-        return 0, 0, 0
-    a, b = found
-    b = a + 1 + next(k for k, n in enumerate(common_lengths(words[a:b], template)) if n == best)
-    a = b - 1 - next(k for k, n in enumerate(common_lengths(words[a:b][::-1], template[::-1])) if n == best)
-    return best, at[a], at[b - 1] + 1
+    best, cell = (0, 0, 0), max(1, len(template) // STARTS)
+    for stretch in STRETCHES:
+        for a, b, bound in windows(at, words, template, int(stretch * len(template))):
+            inside = a and at[a] // cell == at[a - 1] // cell
+            if inside or bound < best[0] or bound < least * len(template):
+                continue
+            pairs = align(words[a:b], template)
+            n = len(pairs)
+            if n < max(best[0], least * len(template), 1):
+                continue
+            start, end = at[a + pairs[0][0]], at[a + pairs[-1][0]] + 1
+            if n > best[0] or (end - start, start) < (best[2] - best[1], best[1]):
+                best = n, start, end
+            if end - start == len(template) == n:
+                return best
+        if best[0]:
+            break
+    return best
 
 
 def scan(text: str, templates: dict[str, list[str]], least: float) -> list[tuple[str, float, int, int]]:
