@@ -99,17 +99,27 @@ def profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return per_batch(id_and_text(docs).filter("doc_id is not null"), "doc_id long, n long, sig1 long, sig2 long, h long, prefix array<long>, sketch array<long>", run)
 
 
-def close(a: str, b: str, percent: int, positions: bool) -> Column:
-    """Can the sets of rows a and b (n, s0.., and pos of the shared shingle) still be similar enough?"""
+def sizes_fit(a: str, b: str, percent: int) -> Column:
+    """Can sets of the sizes of rows a and b be similar enough?"""
     n, m = F.col(f"{a}n"), F.col(f"{b}n")
-    size = (100 * n >= percent * m) & (100 * m >= percent * n)
-    # |A xor B| <= (100 - p) / (100 + p) * (|A| + |B|)
+    return (100 * n >= percent * m) & (100 * m >= percent * n)
+
+
+def places_fit(a: str, b: str, percent: int) -> Column:
+    """Can they, given the places of the shared shingle?"""
+    n, m = F.col(f"{a}n"), F.col(f"{b}n")
+    return F.least(n - F.col(f"{a}pos"), m - F.col(f"{b}pos")) * (100 + percent) >= percent * (n + m)
+
+
+def sketches_fit(a: str, b: str, percent: int) -> Column:
+    """Can they, given their parity sketches? |A xor B| <= (100 - p) / (100 + p) * (|A| + |B|)."""
     differ = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{a}s{i}").bitwiseXOR(F.col(f"{b}s{i}"))) for i in range(SKETCH_WORDS)))
-    fits = size & (differ * (100 + percent) <= (100 - percent) * (n + m))
-    if positions:
-        shared = F.least(n - F.col(f"{a}pos"), m - F.col(f"{b}pos"))
-        fits &= shared * (100 + percent) >= percent * (n + m)
-    return fits
+    return differ * (100 + percent) <= (100 - percent) * (F.col(f"{a}n") + F.col(f"{b}n"))
+
+
+def close(a: str, b: str, percent: int) -> Column:
+    """Can the sets of rows a and b (n, s0..) still be similar enough?"""
+    return sizes_fit(a, b, percent) & sketches_fit(a, b, percent)
 
 
 def salted(pairs: DataFrame) -> DataFrame:
@@ -190,7 +200,7 @@ def similar_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
         dealt = salted(pairs)
         heads = dealt.select("u", "salt").distinct().join(as_(info, "a_", ["doc_id", *sk]), F.col("u") == F.col("a_doc_id"))
         both = dealt.join(heads, ["u", "salt"]).join(as_(info, "b_", ["doc_id", *sk]), F.col("v") == F.col("b_doc_id"))
-        return both.filter(close("a_", "b_", percent, False)).select("u", "v")
+        return both.filter(close("a_", "b_", percent)).select("u", "v")
 
     for turn in (0, 1):
         # Each group against the centre of each of its prefix shingles, member by member; and members against their group's first.
@@ -212,17 +222,17 @@ def similar_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     at = at.join(open_, "token").join(as_(info, "", ["doc_id", *sk]), F.col("gid") == F.col("doc_id")).drop("doc_id")
     cols = ["token", "gid", "pos", "c0", "c1", *sk]
     differ = (F.col("a_c0") != F.col("b_c0")) | (F.col("a_c1") != F.col("b_c1")) | (F.col("a_c0") != F.col("a_c1"))
-    # A member's own sketch is not its group's; groups of several members are filtered by size and position only.
+    # Size and places are the same in all of a group; a sketch is a member's own, so it only tells of groups of one.
     single = state.groupBy("gid").agg((F.count(F.lit(1)) == 1).alias("single"))
     at = at.join(single, "gid")
     cols.append("single")
-    fits = close("a_", "b_", percent, True) | ~(F.col("a_single") & F.col("b_single"))
+    fits = sizes_fit("a_", "b_", percent) & places_fit("a_", "b_", percent) & (~(F.col("a_single") & F.col("b_single")) | sketches_fit("a_", "b_", percent))
     group_pairs = as_(at, "a_", cols).join(as_(at, "b_", cols), (F.col("a_token") == F.col("b_token")) & (F.col("a_gid") < F.col("b_gid")) & differ & fits).select(F.col("a_gid").alias("g"), F.col("b_gid").alias("h")).distinct()
     # Members meet under the size and sketch filters, so that only likely pairs come out of the join.
     known_ = state.join(info.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id")).drop("_id")
     one = known_.select(F.col("gid").alias("g"), F.col("doc_id").alias("u"), F.col("comp").alias("cu"), *(F.col(c).alias(f"a_{c}") for c in sk))
     two = known_.select(F.col("gid").alias("h"), F.col("doc_id").alias("v"), F.col("comp").alias("cv"), *(F.col(c).alias(f"b_{c}") for c in sk))
-    apart = (F.col("cu") != F.col("cv")) & close("a_", "b_", percent, False)
+    apart = (F.col("cu") != F.col("cv")) & close("a_", "b_", percent)
     pairs = group_pairs.join(one, "g").join(two.withColumnRenamed("h", "_h"), (F.col("h") == F.col("_h")) & apart).select("u", "v")
     own = one.join(two, (F.col("g") == F.col("h")) & (F.col("u") < F.col("v")) & apart).select("u", "v")
     state = link(pairs.union(own))
