@@ -29,10 +29,10 @@ def stations(curves: DataFrame, keys: list[str], curve: str, s: str, d: str, spa
     return found.withColumn("reason", reason).withColumn("d", F.when(F.col("reason").isNull(), F.col("d")))
 
 
-def between(samples: DataFrame, pairs: DataFrame, keys: list[str], run: str, s: str, d: str, slack: float) -> DataFrame:
-    """keys, left, right, n, n_between of pairs (keys, left, right) of runs: the places where both have a sample, and those of them where a
-    third run lies between, more than slack from either. The lower run's next one beyond slack is the only one that needs a look, so the
-    runs of a place are not compared pairwise. samples: unique by (keys, run, s)."""
+def pair_places(samples: DataFrame, pairs: DataFrame, keys: list[str], run: str, s: str, d: str, slack: float) -> DataFrame:
+    """keys, left, right, s, width, hidden of pairs (keys, left, right) of runs at the places where both have a sample: left's d less right's,
+    and if a third run lies between, more than slack from either. The lower run's next one beyond slack is the only one that needs a
+    look, so the runs of a place are not compared pairwise. samples: unique by (keys, run, s)."""
     known = samples.select(*keys, s, F.col(run).alias("_run"), F.col(d).cast("double").alias("_d"))
     place = ", ".join(f"`{c}`" for c in [*keys, s])
     known = known.withColumn("_next", F.expr(f"min(_d) over (partition by {place} order by _d range between {slack + EPS!r}D following and unbounded following)"))
@@ -40,7 +40,14 @@ def between(samples: DataFrame, pairs: DataFrame, keys: list[str], run: str, s:
     both = pairs.select(*keys, "left", "right").join(side("left"), [*keys, "left"]).join(side("right"), [*keys, s, "right"])
     low = F.least("_left", "_right")
     hidden = low["next"] < F.greatest(F.col("_left.d"), F.col("_right.d")) - slack - EPS
-    return both.groupBy(*keys, "left", "right").agg(F.count(F.lit(1)).alias("n"), F.count_if(hidden).alias("n_between"))
+    return both.select(*keys, "left", "right", s, (F.col("_left.d") - F.col("_right.d")).alias("width"), F.coalesce(hidden, F.lit(False)).alias("hidden"))
+
+
+def between(samples: DataFrame, pairs: DataFrame, keys: list[str], run: str, s: str, d: str, slack: float) -> DataFrame:
+    """keys, left, right, n, n_between of pairs (keys, left, right) of runs: the places where both have a sample, and those of them where a
+    third run lies between (pair_places)."""
+    both = pair_places(samples, pairs, keys, run, s, d, slack)
+    return both.groupBy(*keys, "left", "right").agg(F.count(F.lit(1)).alias("n"), F.count_if("hidden").alias("n_between"))
 
 
 def run_usage(runs: DataFrame, intervals: DataFrame, keys: list[str], run: str, d: str) -> DataFrame:
@@ -79,10 +86,24 @@ def pass_summaries(rows: DataFrame, keys: list[str], order: list[str], time: str
     return out.withColumn("suspicious", odd).drop("_a", "_b")
 
 
-def bridge_reasons(gaps: DataFrame, obs: DataFrame, keys: list[str], s: str, frame: str, within: float = 10.0, dropout: float = 30.0, most: float = 12.0, positive: tuple[float, float] = (12.0, 18.0), jump: float = 7.5, least: int = 2, least_frames: int = 2, least_positive: int = 6) -> DataFrame:
+def end_headings(points: DataFrame, keys: list[str], s: str, d: str, most_gap: float = 10.0) -> DataFrame:
+    """The gaps of fused points that lie more than most_gap apart: keys, s0, d0, h0, s1, d1, h1. The headings (degrees off the road) are those
+    of the last two points before the gap (null if the last one has a gap before it too) and of the first two after it (null if there is but
+    one). points: unique by (keys, s), without spikes."""
+    w = ordered(keys, [s])
+    step = F.col(s) - F.lag(s).over(w)
+    slope = F.when(step >= 0.01, F.degrees(F.atan2(F.col(d) - F.lag(d).over(w), step)))
+    rows = points.select(*keys, F.col(s).alias("s1"), F.col(d).alias("d1"), F.lag(s).over(w).alias("s0"), F.lag(d).over(w).alias("d0"), step.alias("_step"), slope.alias("_h"))
+    w = ordered(keys, ["s1"])
+    rows = rows.withColumns({"h0": F.lag(F.when(F.col("_step") <= most_gap, F.col("_h"))).over(w), "h1": F.lead("_h").over(w)})
+    return rows.filter(F.col("_step") > most_gap).select(*keys, "s0", "d0", "h0", "s1", "d1", "h1")
+
+
+def bridge_reasons(gaps: DataFrame, obs: DataFrame, keys: list[str], s: str, frame: str, within: float = 10.0, dropout: float = 30.0, most: float = 28.0, positive: tuple[float, float] = (12.0, 18.0), jump: float = 7.5, least: int = 2, least_frames: int = 2, least_positive: int = 6, aside: float = 0.8, turn: float = 25.0) -> DataFrame:
     """gaps (keys, s0, d0, s1, d1, side) with n_obs, n_frames and reason: why the track's own observations do not carry it over the gap between
     two fused points; null where they do. side is outer, positive or null (no proven boundary); a positive boundary counts the gap's ends
-    too and has limits of its own."""
+    too and has limits of its own. With columns h0 and h1 (end_headings) the ends must fit as well: within `aside` metres (and within a third
+    of jump where the column `chosen` says that the far end was picked among clusters), and within `turn` degrees if both are known."""
     met = touching(gaps.select(*keys, "s0", "s1", "side"), obs.select(*keys, F.col(s).alias("_s"), F.col(frame).alias("_frame")), keys, "s0", "s1", "_s", "_s")
     inside = (F.col("side") == "positive") | ((F.col("_s") > F.col("s0")) & (F.col("_s") < F.col("s1")))
     counts = met.filter(inside).groupBy(*keys, "s0").agg(F.count(F.lit(1)).alias("n_obs"), F.count_distinct("_frame").alias("n_frames"))
@@ -99,6 +120,12 @@ def bridge_reasons(gaps: DataFrame, obs: DataFrame, keys: list[str], s: str, fra
         ("insufficientFrames", F.col("n_frames") < least_frames),
         ("insufficientPositiveObs", plus & (F.col("n_obs") < least_positive)),
     ]
+    if "h0" in gaps.columns:
+        near = F.when(F.col("chosen") & ~plus, jump / 3).otherwise(aside) if "chosen" in gaps.columns else F.lit(aside)
+        checks += [
+            ("lateralMismatch", F.abs(F.col("d1") - F.col("d0")) > near),
+            ("headingMismatch", F.abs(F.col("h1") - F.col("h0")) > turn),
+        ]
     return out.withColumn("reason", first_reason(*checks))
 
 
