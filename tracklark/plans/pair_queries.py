@@ -75,11 +75,11 @@ def gap_ends(spark: SparkSession, d: str) -> DataFrame:
 
 
 def roads(spark: SparkSession, d: str) -> pass_fusion.Road:
-    """Users fold onto 20 passes of 200 m: events of even days are the road's edges, all are lines of three tracks; a third of the passes is
-    called 2,000 m long, so that their edges cover too little."""
+    """Users fold onto 20 passes of 200 m: all events are the road's edges, by the parity of their id, and lines of three tracks; a third of the
+    passes is called 2,000 m long, so that their edges cover too little."""
     p = points(spark, d).withColumns({"pass": F.col("user_id") % 20, "s": F.col("h") % 2000 / 10, "w": 1.0 + F.col("cents") % 3, "frame": F.col("event_id") % 7, "off": F.col("cents") % 100 / 200})
     side = F.when(F.col("event_id") % 2 == 0, "left").otherwise("right")
-    edges = p.filter("day % 2 = 0").withColumn("side", side).withColumn("d", F.when(F.col("side") == "left", 5.0).otherwise(-5.0) + F.col("off"))
+    edges = p.withColumn("side", side).withColumn("d", F.when(F.col("side") == "left", 5.0).otherwise(-5.0) + F.col("off"))
     lines = p.withColumn("track", F.col("event_id") % 3).withColumn("d", F.col("track") * 3.0 - 3.0 + F.col("off"))
     length = p.select("pass").distinct().withColumn("total", F.when(F.col("pass") % 3 == 0, 2000.0).otherwise(200.0))
     return pass_fusion.fuse_pass(edges, lines, length, ["pass"], "track", "w", "frame", "event_id")
