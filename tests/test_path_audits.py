@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracklark.operators import fits, ordering, partials, revisits
+from tracklark.operators import covers, fits, ordering, partials, revisits
 from tracklark.operators.folds import smoothing_spline
 from tracklark.operators.statistics import summary
 from tracklark.sinks import publish
@@ -145,3 +145,15 @@ def test_a_stalled_publisher_cannot_point(spark, tmp_path):
     with pytest.raises(publish.StaleToken):
         publish.publish({"t": df.limit(1)}, root, token=first)
     assert [p.rpartition("-")[2] for p in publish.pointers(spark, root)] == [run] or run in publish.pointers(spark, root)[-1]
+
+
+def test_vanishing_forms_have_the_sign_of_the_sum_as_written(spark):
+    v, m = -0.1, 0.1
+    cases = [(i, n / 100.0) for i, n in enumerate(range(400))]
+    written = {i: a * a * v + 2 * m * a * a + a * a * v for i, a in cases}
+    assert any(f < 0 for f in written.values())
+    rows = spark.createDataFrame([(i, [[v, m], [m, v]], [a, a]) for i, a in cases] + [(-1, [[1.0], [1.0, 1.0]], [1.0, 1.0]), (-2, [[1.0, 0.5], [0.25, 4.0]], [2.0, 1.0]), (-3, [], [])], "i long, m array<array<double>>, c array<double>")
+    value, reason = covers.branch_uncertainty(F.array(F.lit(1.0)), F.lit(True), F.col("m"), F.col("c"), F.lit("other"), F.lit(True), F.lit(True))
+    got = {r["i"]: (r["value"], r["reason"]) for r in rows.select("i", value.alias("value"), reason.alias("reason")).collect()}
+    assert (got.pop(-1), got.pop(-2), got.pop(-3)) == ((None, "covariance"), (math.sqrt(9.5), None), (0.0, None))
+    assert got == {i: (math.sqrt(f), None) if f >= 0 else (None, "covariance") for i, f in written.items()}
