@@ -157,3 +157,11 @@ def test_vanishing_forms_have_the_sign_of_the_sum_as_written(spark):
     got = {r["i"]: (r["value"], r["reason"]) for r in rows.select("i", value.alias("value"), reason.alias("reason")).collect()}
     assert (got.pop(-1), got.pop(-2), got.pop(-3)) == ((None, "covariance"), (math.sqrt(9.5), None), (0.0, None))
     assert got == {i: (math.sqrt(f), None) if f >= 0 else (None, "covariance") for i, f in written.items()}
+
+
+def test_cells_of_lines_are_not_broadcast(spark):
+    points = spark.createDataFrame([("a", i, float(i), 0.5) for i in range(50)], "k string, id long, e double, n double")
+    lines = spark.createDataFrame([("a", 0.0, 0.0, 1e3, 0.0)], "k string, ae double, an double, be double, bn double")
+    near = revisits.near_pieces(points, lines, ["k"], 4.0)
+    assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
+    assert near.select("id").distinct().count() == 50

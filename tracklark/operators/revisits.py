@@ -127,25 +127,31 @@ def revisit_verdict(distance: Column, travelled: Column, seconds: Column, headin
     return F.when(artifact, "curveArtifact").when(reason.isNotNull(), "genuineRevisit").otherwise("ambiguous"), F.when(~artifact, reason)
 
 
+def near_pieces(points: DataFrame, lines: DataFrame, keys: list[str], reach: float) -> DataFrame:
+    """Points with the lines that have a piece within a cell of theirs. The join merges: by the size of its files a table of lines looks
+    small enough to broadcast, but its cells are not."""
+    pieces = F.greatest(F.lit(1), F.ceil(F.hypot(F.col("be") - F.col("ae"), F.col("bn") - F.col("an")) / reach)).cast("int")
+    cut = lines.withColumn("_k", pieces).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+    at = lambda a, b, j: F.col(a) + (F.col(b) - F.col(a)) * j / F.col("_k")
+    span = lambda a, b: F.explode(F.sequence(F.floor((F.least(at(a, b, F.col("_j")), at(a, b, F.col("_j") + 1)) - reach) / reach), F.floor((F.greatest(at(a, b, F.col("_j")), at(a, b, F.col("_j") + 1)) + reach) / reach)))
+    cut = cut.withColumn("_x", span("ae", "be")).withColumn("_y", span("an", "bn")).select(*keys, "_x", "_y", "ae", "an", "be", "bn").distinct()
+    return points.withColumns({"_x": F.floor(F.col("e") / reach), "_y": F.floor(F.col("n") / reach)}).join(cut.hint("merge"), [*keys, "_x", "_y"])
+
+
 def off_polyline(points: DataFrame, segments: DataFrame, keys: list[str], id_: str, reach: float) -> DataFrame:
     """keys, id, off: the distance of each point (e, n) from the nearest of the key's segments (ae, an, be, bn); points of keys without
     segments are left out.
 
     Rings that grow: segments, cut to pieces of at most reach, are entered in the cells within reach of them, and a point that finds
     one within reach has its distance; the others ask again with four times the reach. Most points of a sound fit need one round."""
-    waiting = saved(points.join(segments.select(*keys).distinct(), keys, "left_semi").select(*keys, id_, F.col("e").cast("double").alias("e"), F.col("n").cast("double").alias("n")))
+    waiting = saved(points.join(segments.select(*keys).distinct().hint("merge"), keys, "left_semi").select(*keys, id_, F.col("e").cast("double").alias("e"), F.col("n").cast("double").alias("n")))
     lines, out = saved(segments.select(*keys, *(F.col(c).cast("double").alias(c) for c in ("ae", "an", "be", "bn")))), None
     while waiting.take(1):
-        pieces = F.greatest(F.lit(1), F.ceil(F.hypot(F.col("be") - F.col("ae"), F.col("bn") - F.col("an")) / reach)).cast("int")
-        cut = lines.withColumn("_k", pieces).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
-        at = lambda a, b, j: F.col(a) + (F.col(b) - F.col(a)) * j / F.col("_k")
-        span = lambda a, b: F.explode(F.sequence(F.floor((F.least(at(a, b, F.col("_j")), at(a, b, F.col("_j") + 1)) - reach) / reach), F.floor((F.greatest(at(a, b, F.col("_j")), at(a, b, F.col("_j") + 1)) + reach) / reach)))
-        cut = cut.withColumn("_x", span("ae", "be")).withColumn("_y", span("an", "bn")).select(*keys, "_x", "_y", "ae", "an", "be", "bn").distinct()
-        near = waiting.withColumns({"_x": F.floor(F.col("e") / reach), "_y": F.floor(F.col("n") / reach)}).join(cut, [*keys, "_x", "_y"])
+        near = near_pieces(waiting, lines, keys, reach)
         _, off, _ = point_segment(*map(F.col, ("e", "n", "ae", "an", "be", "bn")))
         found = saved(near.groupBy(*keys, id_).agg(F.min(off).alias("off")).filter(F.col("off") <= reach))
         out = found if out is None else out.union(found)
-        waiting = saved(waiting.join(found.select(*keys, id_), [*keys, id_], "left_anti"))
+        waiting = saved(waiting.join(found.select(*keys, id_).hint("merge"), [*keys, id_], "left_anti"))
         reach *= 4
     return out if out is not None else waiting.select(*keys, id_, F.lit(0.0).alias("off"))
 
