@@ -1,7 +1,7 @@
 import math
 import random
 
-from tracklark.operators import intervals, spatial, temporal
+from tracklark.operators import intervals, joins, spatial, temporal
 from tracklark.sinks.publish import current, insert_new, line_features, pointers, publish, quarantine
 
 
@@ -92,3 +92,12 @@ def test_first_span_that_holds_a_time(spark):
         return min(hits)[1] if hits else None
 
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(((k, t, n, first(k, t)) for k, t, n in rows), key=repr)
+
+
+def test_points_near_others_are_not_broadcast(spark):
+    rng = random.Random(5)
+    points = [(i, rng.uniform(0, 30), rng.uniform(0, 30)) for i in range(80)]
+    df = spark.createDataFrame(points, "id long, x double, y double")
+    near = joins.within_radius(df, df, "x", "y", 4.0)
+    assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
+    assert {(r["id"], r["id_b"]) for r in near.collect()} == {(a[0], b[0]) for a in points for b in points if math.dist(a[1:], b[1:]) <= 4}
