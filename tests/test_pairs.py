@@ -39,6 +39,16 @@ def test_each_objection(spark):
     assert math.isclose(got["still"]["std_width"], math.sqrt(3 * 0.25**2 + 0.75**2) / 2) and got["still"]["mean_width"] == 3.25
 
 
+def test_runs_in_between_come_from_frames_that_grow(spark):
+    samples = spark.createDataFrame([(k, run, 0, float(run * run % 17)) for k in "ab" for run in range(20)], "k string, run long, s long, d double")
+    pairs = spark.createDataFrame([(k, i, j) for k in "ab" for i in range(20) for j in range(20)], "k string, left long, right long")
+    found = lanes.between(samples, pairs, ["k"], "run", "s", "d", 2.0)
+    assert "unboundedfollowing" not in found._jdf.queryExecution().analyzed().toString().lower()
+    d = [run * run % 17 for run in range(20)]
+    want = {(k, i, j): int(any(min(d[i], d[j]) + 2 < x < max(d[i], d[j]) - 2 for x in d)) for k in "ab" for i in range(20) for j in range(20)}
+    assert {(r["k"], r["left"], r["right"]): r["n_between"] for r in found.collect()} == want
+
+
 def test_no_pairs(spark):
     assert outcomes(spark, [], []) == {}
 

@@ -32,10 +32,11 @@ def stations(curves: DataFrame, keys: list[str], curve: str, s: str, d: str, spa
 def pair_places(samples: DataFrame, pairs: DataFrame, keys: list[str], run: str, s: str, d: str, slack: float) -> DataFrame:
     """keys, left, right, s, width, hidden of pairs (keys, left, right) of runs at the places where both have a sample: left's d less right's,
     and if a third run lies between, more than slack from either. The lower run's next one beyond slack is the only one that needs a
-    look, so the runs of a place are not compared pairwise. samples: unique by (keys, run, s)."""
+    look, so the runs of a place are not compared pairwise: from the highest down, the window's frame only grows (one that shrinks is
+    added up anew for each row). samples: unique by (keys, run, s)."""
     known = samples.select(*keys, s, F.col(run).alias("_run"), F.col(d).cast("double").alias("_d"))
     place = ", ".join(f"`{c}`" for c in [*keys, s])
-    known = known.withColumn("_next", F.expr(f"min(_d) over (partition by {place} order by _d range between {slack + EPS!r}D following and unbounded following)"))
+    known = known.withColumn("_next", F.expr(f"min(_d) over (partition by {place} order by _d desc range between unbounded preceding and {slack + EPS!r}D preceding)"))
     side = lambda name: known.select(*keys, s, F.col("_run").alias(name), F.struct(F.col("_d").alias("d"), F.col("_next").alias("next")).alias(f"_{name}"))
     both = pairs.select(*keys, "left", "right").join(side("left"), [*keys, "left"]).join(side("right"), [*keys, s, "right"])
     low = F.least("_left", "_right")
