@@ -1,7 +1,7 @@
 import math
 import random
 
-from tracklark.operators import intervals, joins, spatial, temporal
+from tracklark.operators import intervals, joining, joins, spatial, temporal
 from tracklark.sinks.publish import current, insert_new, line_features, pointers, publish, quarantine
 
 
@@ -101,3 +101,20 @@ def test_points_near_others_are_not_broadcast(spark):
     near = joins.within_radius(df, df, "x", "y", 4.0)
     assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
     assert {(r["id"], r["id_b"]) for r in near.collect()} == {(a[0], b[0]) for a in points for b in points if math.dist(a[1:], b[1:]) <= 4}
+
+
+def test_nearest_pairs_give_what_all_pairs_give(spark):
+    rng = random.Random(6)
+    value = lambda: rng.choice([None, float("nan"), 1.5, 2.5, 2.5, round(rng.uniform(-9, 9), 1), round(rng.uniform(-9, 9), 1)])
+    left = spark.createDataFrame([(rng.choice(["x", "y", None]), i, value()) for i in range(60)], "k string, a long, v double")
+    right = spark.createDataFrame([(rng.choice(["x", "y", "z"]), i, value()) for i in range(60)], "k string, b long, v double")
+    every = left.join(right.withColumnRenamed("v", "w"), "k").selectExpr("k", "a", "b", "1 - abs(v - w) / 20 as score").filter("not isnan(score)")
+    found = joins.nearest_pairs(left, right, ["k"], "a", "b", "v")
+    n = left.join(right, "k").count()
+    assert found.count() <= 4 * 120 < n
+    few = found.selectExpr("k", "a", "b", "1 - abs(a_value - b_value) / 20 as score")
+    plain = lambda df: sorted(map(tuple, df.collect()))
+    assert plain(joins.mutual_best(few, ["k"], "a", "b", "score")) == plain(joins.mutual_best(every, ["k"], "a", "b", "score"))
+    for least in (0.01, 0.0):
+        chosen = [joining.selected(x, ["k"], "a", "b", margin=least).select("k", "a", "b", "score", "second_score", "margin") for x in (few, every)]
+        assert plain(chosen[0]) == plain(chosen[1]) != []

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracklark.functions import canonical
-from tracklark.operators import audits, fusion, graph, joining, observations, playback
+from tracklark.operators import audits, fusion, graph, joining, joins, observations, playback
 from tracklark.plans.queries import DAY, E_, HOUR
 from tracklark.sources.tables import events, table
 
@@ -125,9 +125,10 @@ def linked_components(spark: SparkSession, d: str) -> DataFrame:
 r AS (SELECT *, row_number() OVER x AS ra, row_number() OVER (PARTITION BY k, b ORDER BY score DESC, a) AS rb, lead(score) OVER x AS second_score FROM p WINDOW x AS (PARTITION BY k, a ORDER BY score DESC, b))
 SELECT k, a, b, round(score, 6) AS score, round(second_score, 6) AS second_score, round(coalesce(score - second_score, 1), 6)::DOUBLE AS margin FROM r WHERE ra = 1 AND rb = 1 AND score >= 0.55 AND round(coalesce(score - second_score, 1), 9) >= 0.01""")
 def selected_joins(spark: SparkSession, d: str) -> DataFrame:
-    s, c = table(spark, d, "supplier"), table(spark, d, "customer")
-    off = F.abs(F.col("s_acctbal") - F.col("c_acctbal"))
-    pairs = s.join(c, s.s_nationkey == c.c_nationkey).filter(off < 1000).select(F.col("s_nationkey").alias("k"), F.col("s_suppkey").alias("a"), F.col("c_custkey").alias("b"), (1 - off / 2000).alias("score"))
+    s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("k"), F.col("s_suppkey").alias("a"), F.col("s_acctbal").alias("v"))
+    c = table(spark, d, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_custkey").alias("b"), F.col("c_acctbal").alias("v"))
+    off = F.abs(F.col("a_value") - F.col("b_value"))
+    pairs = joins.nearest_pairs(s, c, ["k"], "a", "b", "v").filter(off < 1000).select("k", "a", "b", (1 - off / 2000).alias("score"))
     return joining.selected(pairs, ["k"], "a", "b", margin=0.01).withColumns({c: F.round(c, 6) for c in ("score", "second_score", "margin")})
 
 
