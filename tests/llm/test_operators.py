@@ -357,6 +357,14 @@ def test_op9_counts_whole_texts(spark):
     assert not any("Zanzibar" in out[i] for i in range(8)) and not any("Timbuktu" in out[i] for i in range(8, 18))
 
 
+def test_op9_counts_words_before_it_picks_terms(spark):
+    texts = spark.createDataFrame([("alpha beta alpha", None), ("beta gamma", 2), ("beta gamma", 2), ("delta", None)], "text string, n_copies long")
+    got = op09_pii.texts_with(texts, spark.createDataFrame([("beta",), ("gamma",), ("omega",)], "term string"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.index("Join Inner") < plan.index("Aggregate")
+    assert {r["term"]: r["n_term"] for r in got.collect()} == {"beta": 2, "gamma": 1}
+
+
 def test_op10(docs, texts):
     from tokenizers import Tokenizer
 

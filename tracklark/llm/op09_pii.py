@@ -162,6 +162,13 @@ def words_of(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "text_hash long, term string, outside boolean")
 
 
+def texts_with(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """term, n_term: the distinct texts that hold each of the terms (term, unique). texts: text, n_copies (null: 1). All words are counted, in each
+    task before the shuffle, and then the terms are picked: in a larger corpus ever more words are asked, up to all words of all texts."""
+    words = texts.select("n_copies", F.explode(F.array_distinct(F.split("text", r"[^\p{L}\p{N}]+"))).alias("term"))
+    return words.groupBy("term").agg(F.round(F.sum(1 / F.coalesce("n_copies", F.lit(1)))).alias("n_term")).join(terms, "term")
+
+
 def disclosing(docs: DataFrame, mentions: DataFrame) -> DataFrame:
     """entity, term: the terms that disclose an entity. mentions: entity, text_hash, context."""
     texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
@@ -186,8 +193,7 @@ def disclosing(docs: DataFrame, mentions: DataFrame) -> DataFrame:
     # Counts of these terms over the whole corpus, by distinct text: each copy of a text counts its share, so nothing is kept by text.
     copies = copies.filter("n_copies > 1")
     terms = small(likely.select("term").distinct())
-    words = texts.join(F.broadcast(copies) if copies.count() <= 1_000_000 else copies, "text_hash", "left").select("n_copies", F.explode(F.array_distinct(F.split("text", r"[^\p{L}\p{N}]+"))).alias("term"))
-    with_term = words.join(terms, "term").groupBy("term").agg(F.round(F.sum(1 / F.coalesce("n_copies", F.lit(1)))).alias("n_term"))
+    with_term = texts_with(texts.join(F.broadcast(copies) if copies.count() <= 1_000_000 else copies, "text_hash", "left"), terms)
     out = cut(likely.join(with_term, "term").filter(disclosed("n_term") >= DISCLOSURE).select("entity", "term"))
     # Contexts of the entity in the texts that hold the term.
     in_contexts = terms_of.select("text_hash", "term").join(small(out.select("term").distinct()), "term").join(known, "text_hash").join(small(out), ["entity", "term"])
