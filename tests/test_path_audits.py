@@ -165,3 +165,22 @@ def test_cells_of_lines_are_not_broadcast(spark):
     near = revisits.near_pieces(points, lines, ["k"], 4.0)
     assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
     assert near.select("id").distinct().count() == 50
+
+
+def test_systems_of_many_keys_are_solved_at_once(spark):
+    names = [*(f"a{i}{j}" for i, j in fits.PAIRS), *(f"b{i}" for i in range(4))]
+    rng = np.random.default_rng(3)
+    rows = [(k, c, *map(float, rng.uniform(0, 1, 14))) for k in range(5) for c in range(k, 5)]
+    df = spark.createDataFrame(rows, "k long, _cell int, " + ", ".join(f"{x} double" for x in names))
+    schema = df.select("k", F.array("a00").alias("coefficients")).schema
+    found = fits._curves(df, ["k"], schema, 6, 1.0)
+    assert "InPandas" not in found._jdf.queryExecution().executedPlan().toString()
+    bend = np.diff(np.eye(8), 2, axis=0)
+    for r in found.collect():
+        a, b = bend.T @ bend + 1e-9 * np.eye(8), np.zeros(8)
+        for _, c, *x in (y for y in rows if y[0] == r["k"]):
+            v = dict(zip(names, x, strict=True))
+            for i, j in itertools.product(range(4), repeat=2):
+                a[c + i, c + j] += v[f"a{min(i, j)}{max(i, j)}"]
+            b[c : c + 4] += [v[f"b{i}"] for i in range(4)]
+        assert np.allclose(r["coefficients"], np.linalg.solve(a, b))

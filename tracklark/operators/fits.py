@@ -7,8 +7,12 @@ however many rows a key has.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,22 +43,24 @@ def solved(sums: pd.DataFrame, knots: int, strengths: tuple[float, ...]) -> tupl
     n, folds = knots + 2, sorted(sums["_fold"].unique())
     a, b = np.zeros((len(folds), n, n)), np.zeros((len(folds), n))
     squares, rows = np.zeros(len(folds)), np.zeros(len(folds))
-    for r in sums.to_dict("records"):
-        f, c = folds.index(r["_fold"]), r["_cell"]
-        for i, j in PAIRS:
-            a[f, c + i, c + j] += r[f"a{i}{j}"]
-            if i != j:
-                a[f, c + j, c + i] += r[f"a{i}{j}"]
-        b[f, c : c + 4] += [r[f"b{i}"] for i in range(4)]
-        squares[f] += r["yy"]
-        rows[f] += r["n"]
+    f, c = np.searchsorted(folds, sums["_fold"].to_numpy()), sums["_cell"].to_numpy()  # a fold has one row for a cell
+    for i, j in PAIRS:
+        a[f, c + i, c + j] += sums[f"a{i}{j}"].to_numpy()
+        if i != j:
+            a[f, c + j, c + i] += sums[f"a{i}{j}"].to_numpy()
+    for i in range(4):
+        b[f, c + i] += sums[f"b{i}"].to_numpy()
+    np.add.at(squares, f, sums["yy"].to_numpy())
+    np.add.at(rows, f, sums["n"].to_numpy())
     bend = np.diff(np.eye(n), 2, axis=0)
-    fit = lambda left, right, strength: np.linalg.solve(left + strength * bend.T @ bend + 1e-9 * np.eye(n), right)
-    off = lambda f, c: max(float(squares[f] - 2 * c @ b[f] + c @ a[f] @ c), 0.0)
+    bend = bend.T @ bend
+    fit = lambda left, right, strength: np.linalg.solve(left + strength * bend + 1e-9 * np.eye(n), right[..., None])[..., 0]
     best, least = max(strengths), None
     if len(folds) > 1:
         for strength in sorted(strengths, reverse=True):
-            error = sum(off(f, fit(a.sum(0) - a[f], b.sum(0) - b[f], strength)) for f in range(len(folds)))
+            of_fold = fit(a.sum(0) - a, b.sum(0) - b, strength)
+            off = squares - 2 * np.einsum("fi,fi->f", of_fold, b) + np.einsum("fi,fij,fj->f", of_fold, a, of_fold)
+            error = float(np.maximum(off, 0.0).sum())
             if least is None or error < least:
                 best, least = strength, error
     c = fit(a.sum(0), b.sum(0), best)
@@ -116,20 +122,7 @@ def robust_fits(rows: DataFrame, keys: list[str], x: str, y: str, knots: int = 1
         weighted = weighted.withColumn("_w", weight)
         sums = weighted.groupBy(*keys, "_cell").agg(*(F.sum(F.col("_w") * w[i] * w[j]).alias(f"a{i}{j}") for i, j in PAIRS), *(F.sum(F.col("_w") * w[i] * F.col("_y")).alias(f"b{i}") for i in range(4)))
 
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            n = knots + 2
-            a, b = np.zeros((n, n)), np.zeros(n)
-            for r in pdf.sort_values("_cell").to_dict("records"):
-                c = r["_cell"]
-                for i, j in PAIRS:
-                    a[c + i, c + j] += r[f"a{i}{j}"]
-                    if i != j:
-                        a[c + j, c + i] += r[f"a{i}{j}"]
-                b[c : c + 4] += [r[f"b{i}"] for i in range(4)]
-            bend = np.diff(np.eye(n), 2, axis=0)
-            return pd.DataFrame([{**pdf.iloc[0][keys].to_dict(), "coefficients": np.linalg.solve(a + strength * bend.T @ bend + 1e-9 * np.eye(n), b).tolist()}], columns=schema.fieldNames())
-
-        curves = saved(sums.groupBy(*keys).applyInPandas(run, schema))
+        curves = saved(_curves(sums, keys, schema, knots, strength))
         left = alike(at, curves, keys).filter("coefficients is not null").select(*keys, off.alias("_off"))
         middle = {"_a": F.floor((F.col("n") - 1) / 2), "_b": F.floor(F.col("n") / 2)}
         spread = order_statistics(left, keys, "_off", middle).select(*keys, (1.4826 * (F.col("_a") + F.col("_b")) / 2).alias("scale"))
@@ -142,6 +135,33 @@ def robust_fits(rows: DataFrame, keys: list[str], x: str, y: str, knots: int = 1
     return alike(done, ranges.select(*keys, F.col("_low").alias("low"), F.col("_high").alias("high")), keys)
 
 
+def _curves(sums: DataFrame, keys: list[str], schema: T.StructType, knots: int, strength: float) -> DataFrame:
+    """keys, coefficients from the sums of each key's knot intervals, which are packed into one row: many keys' systems are solved at once."""
+    names = [*(f"a{i}{j}" for i, j in PAIRS), *(f"b{i}" for i in range(4))]
+    packed = sums.groupBy(*keys).agg(F.collect_list(F.struct("_cell", *names)).alias("_s"))
+    n = knots + 2
+    bend = np.diff(np.eye(n), 2, axis=0)
+    fixed = strength * bend.T @ bend + 1e-9 * np.eye(n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(len(keys))
+            owner, cells = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy()), lists.flatten()
+            c = cells.field("_cell").to_numpy()
+            value = lambda x, cells=cells: cells.field(x).to_numpy(zero_copy_only=False)
+            a, b = np.zeros((len(lists), n, n)), np.zeros((len(lists), n))
+            for i, j in PAIRS:
+                a[owner, c + i, c + j] += value(f"a{i}{j}")
+                if i != j:
+                    a[owner, c + j, c + i] += value(f"a{i}{j}")
+            for i in range(4):
+                b[owner, c + i] += value(f"b{i}")
+            found = np.linalg.solve(a + fixed, b[..., None])[..., 0]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.ListArray.from_arrays(np.arange(0, found.size + 1, n, dtype=np.int32), found.ravel())], names=schema.fieldNames())
+
+    return packed.mapInArrow(run, schema)
+
+
 def _cells(rows: DataFrame, knots: int) -> DataFrame:
     u = (F.col("_x") - F.col("_low")) * (knots - 1) / F.when(F.col("_high") > F.col("_low"), F.col("_high") - F.col("_low")).otherwise(1)
     rows = rows.withColumn("_u", u).withColumn("_cell", F.least(F.floor("_u"), F.lit(knots - 2)).cast("int"))
