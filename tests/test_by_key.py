@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracklark.operators import covers
+from tracklark.operators import covers, fusion
 from tracklark.operators.carried import by_key
+from tracklark.operators.statistics import with_median
 
 
 def plan(df) -> str:
@@ -57,3 +58,23 @@ def test_pieces_are_covered_in_streams(spark, batches):
         path, cost, outcome = covers.cover([r[2] for r in piece], [r[3] for r in piece], h, 2.0, 1.0)
         assert [(got[r[1]]["path"], got[r[1]]["cost"], got[r[1]]["outcome"]) for r in piece] == [(piece[p][1], cost, outcome) for p in path]
     assert out.filter(F.col("piece") != F.floor(F.col("s") / 10) * 10).count() == 0
+
+
+def test_medians_of_windows_are_percentiles(spark):
+    rng = random.Random(8)
+    rows = [(k, rng.choice([None, float(rng.randrange(9)), rng.uniform(-1, 1)])) for k in range(12) for _ in range(k)] + [(99, None)]
+    df = spark.createDataFrame(rows, "k long, v double").repartition(3)
+    want = {r["k"]: r["m"] for r in df.groupBy("k").agg(F.percentile("v", 0.5).alias("m")).collect()}
+    got = with_median(df, ["k"], "v", "m").collect()
+    assert len(got) == len(rows) and all(r["m"] == want[r["k"]] for r in got)
+
+
+def test_bins_are_fused_on_one_dealing(spark):
+    """Until round 3 each statistic of a bin was an aggregation of its own, joined to the rest, and each key of bins a group of its own."""
+    rows = [(k, 2.0 * b + i / 10, b / 10 + i % 2, 1.0, i % 3) for k in (1, 2, None) for b in range(6) for i in range(5)] + [(1, None, 1.0, 1.0, 1)]
+    df = spark.createDataFrame(rows, "k long, s double, d double, w double, f long").repartition(4)
+    bins = fusion.fused_bins(df, ["k"], "s", "d", "w", "f")
+    assert plan(bins).count("Exchange hashpartitioning") == 1 and "Join" not in plan(bins)
+    assert {(r["k"], r["bin"]): r["n_rows"] for r in bins.collect()} == {(k, b): 5 for k in (1, 2) for b in range(6)}
+    out = fusion.fragments(bins.filter("reason is null").select("k", "bin", "s", "d"), ["k"])
+    assert "FlatMapGroupsInPandas" not in plan(out) and {(r["k"], r["fragment"]) for r in out.collect()} == {(1, 0), (2, 0)}

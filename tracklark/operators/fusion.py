@@ -10,10 +10,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracklark.functions.scalars import first_reason, half_up
+from tracklark.operators.carried import by_key
 from tracklark.operators.folds import grouped
-from tracklark.operators.statistics import gap_clusters, weighted_median, with_mad
+from tracklark.operators.statistics import gap_clusters, with_median
 
 # Width of a bin, least rows and frames, MADs of an inlier and the least MAD, the spread up to which one frame is enough.
 INTERVAL, LEAST_ROWS, LEAST_FRAMES, MADS, LEAST_MAD, TIGHT = 2.0, 2, 2, 3.0, 0.3, 0.5
@@ -23,19 +25,29 @@ MOST_STEP, MOST_JUMP, CLUSTER_GAP, MOST_CHOICE = 10.0, 2.5, 2.5, 4.0
 
 def fused_bins(obs: DataFrame, keys: list[str], s: str, d: str, weight: str, frame: str, interval: float = INTERVAL, relax: bool = True, key: Column | None = None, spread_floor: float = LEAST_MAD, chosen: bool = False) -> DataFrame:
     """keys, bin, n_rows, n_inliers, n_frames, spread, s, d, reason: weighted medians of the inliers; null with the first reason that
-    rejects the bin. With relax, one frame is enough where outliers were removed and the rest lies within TIGHT. chosen: the rows
+    rejects the bin; rows with a null key or s take no part. With relax, one frame is enough where outliers were removed and the rest lies within TIGHT. chosen: the rows
     are one cluster of several, so one row will do and outliers count as removed."""
     at = [*keys, "bin"]
     rows = obs.withColumn("bin", (half_up(F.col(s) / interval) if key is None else key).cast("long"))
-    rows = with_mad(rows, at, d)
-    inlier = F.col("deviation") <= MADS * F.greatest("mad", F.lit(spread_floor))
-    rows = rows.withColumn("_in", inlier)
-    inliers = rows.filter("_in").drop("median", "mad", "deviation")
-    counts = rows.groupBy(*at).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("_in").alias("n_inliers"), F.count_distinct(frame).alias("_all_frames"), F.count_distinct(F.when(F.col("_in"), F.col(frame))).alias("n_frames"), F.first("mad").alias("spread"))
-    tight = with_mad(inliers, at, d).groupBy(*at).agg(F.first("mad").alias("_tight"))
-    out = counts.join(tight, at, "left")
-    for name in (d, s):
-        out = out.join(weighted_median(inliers, at, name, weight).withColumnRenamed("weighted_median", name), at, "left")
+    # Windows and aggregations on one dealing by bin; a bin's rows are sorted, and spill, but are never held in an aggregate's state.
+    names = list(dict.fromkeys([*at, s, d, weight, frame]))
+    for k in at:
+        rows = rows.filter(F.col(k).isNotNull())
+    rows = with_median(rows.select(*names), at, d, "_median").withColumn("_off", F.abs(F.col(d) - F.col("_median")))
+    rows = with_median(rows, at, "_off", "_spread")
+    rows = rows.withColumn("_in", F.coalesce(F.col("_off") <= MADS * F.greatest("_spread", F.lit(spread_floor)), F.lit(False)))
+    of = [*at, "_in"]
+    rows = with_median(rows, of, d, "_median").withColumn("_off", F.abs(F.col(d) - F.col("_median")))
+    rows = with_median(rows, of, "_off", "_tight").drop("_median", "_off")
+    for c in (d, s):
+        run = F.sum(weight).over(W.partitionBy(*of).orderBy(c).rangeBetween(W.unboundedPreceding, W.currentRow))
+        rows = rows.withColumns({"_run": run, "_all": F.sum(weight).over(W.partitionBy(*of))})
+        rows = rows.withColumn(f"_at_{c}", F.when(F.col("_in") & (2 * F.col("_run") >= F.col("_all")), F.col(c))).drop("_run", "_all")
+    first = lambda c: F.min(f"_at_{c}").alias(f"_at_{c}")
+    inlier = F.when(F.col("_in"), 1).otherwise(0).cast("long")
+    of_frame = rows.groupBy(*at, F.col(frame).alias("_frame")).agg(F.count(F.lit(1)).alias("_n"), F.sum(inlier).alias("_i"), F.max("_spread").alias("_spread"), F.max(F.when(F.col("_in"), F.col("_tight"))).alias("_tight"), first(d), first(s))
+    known = F.col("_frame").isNotNull()
+    out = of_frame.groupBy(*at).agg(F.sum("_n").alias("n_rows"), F.sum("_i").alias("n_inliers"), F.count_if(known).alias("_all_frames"), F.count_if(known & (F.col("_i") > 0)).alias("n_frames"), F.max("_spread").alias("spread"), F.max("_tight").alias("_tight"), F.min(f"_at_{d}").alias(d), F.min(f"_at_{s}").alias(s))
     removed = F.lit(True) if chosen else F.col("n_inliers") < F.col("n_rows")
     least_rows = 1 if chosen else LEAST_ROWS
     need = F.when(removed & (F.col("_tight") <= TIGHT), 1).otherwise(LEAST_FRAMES) if relax else F.lit(LEAST_FRAMES)
@@ -79,14 +91,13 @@ def chosen_bins(bins: DataFrame, keys: list[str]) -> DataFrame:
     neighbours let expect, within MOST_CHOICE; else the bin as a whole. The neighbour before is the last one fused here, the one
     after the next that is fused as a whole, so bins are met in order."""
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        whole = list(g["whole"])
+    def run(whole: list, clusters: list, centres: list) -> list[list]:
         good = [w["reason"] is None for w in whole]
-        after: list[dict | None] = [None] * len(g)
-        for i in range(len(g) - 2, -1, -1):
+        after: list[dict | None] = [None] * len(whole)
+        for i in range(len(whole) - 2, -1, -1):
             after[i] = whole[i + 1] if good[i + 1] else after[i + 1]
         s, d, chosen, last, early = [], [], [], None, None
-        for i, (w, parts, centre) in enumerate(zip(whole, g["clusters"], g["centre"], strict=True)):
+        for i, (w, parts, centre) in enumerate(zip(whole, clusters, centres, strict=True)):
             before, nxt, pick = last or early, after[i], None
             if w["n_rows"] >= LEAST_ROWS and parts is not None and len(parts) > 1 and (before or nxt):
                 if before and nxt and nxt["s"] != before["s"]:
@@ -98,22 +109,24 @@ def chosen_bins(bins: DataFrame, keys: list[str]) -> DataFrame:
                     pick = best
             use = pick if pick is not None else w
             fine = use["reason"] is None
-            s.append(use["s"] if fine else np.nan)
-            d.append(use["d"] if fine else np.nan)
+            s.append(use["s"] if fine else None)
+            d.append(use["d"] if fine else None)
             chosen.append(pick is not None)
             if fine:
                 last = {"s": use["s"], "d": use["d"]}
             if good[i]:
                 early = w
-        return g.assign(s=s, d=d, chosen=chosen)
+        return [s, d, chosen]
 
-    out = grouped(bins, keys, ["bin"], run, "s double, d double, chosen boolean")
+    more = T._parse_datatype_string("s double, d double, chosen boolean")
+    out = by_key(bins, keys, ["bin"], ["whole", "clusters", "centre"], run, more)
     return out.filter("d is not null and not isnan(d)").select(*keys, "bin", "s", "d", "chosen")
 
 
 def fragment_numbers(s: np.ndarray, d: np.ndarray, most_step: float, most_jump: float) -> np.ndarray:
     """The fragment of each point, -1 for spikes: a point more than most_step on or three jumps aside of the last kept one begins a new
     fragment; one more than a jump aside is a spike."""
+    s, d = s.tolist(), d.tolist()  # faster to read one by one
     out, now, last = np.full(len(s), -1), 0, None
     for i in range(len(s)):
         if last is not None:
@@ -128,7 +141,10 @@ def fragment_numbers(s: np.ndarray, d: np.ndarray, most_step: float, most_jump:
 
 def fragments(bins: DataFrame, keys: list[str], s: str = "s", d: str = "d", most_step: float = MOST_STEP, most_jump: float = MOST_JUMP) -> DataFrame:
     """bins with fragment; spikes and fragments of one point are left out."""
-    out = grouped(bins, keys, [s], lambda g: g.assign(fragment=fragment_numbers(g[s].to_numpy(float), g[d].to_numpy(float), most_step, most_jump)), "fragment long")
+    def run(*columns: list) -> list[list]:
+        return [fragment_numbers(*(np.array([np.nan if x is None else x for x in c], float) for c in columns), most_step, most_jump).tolist()]
+
+    out = by_key(bins, keys, [s], [s, d], run, T._parse_datatype_string("fragment long"))
     return out.filter("fragment >= 0").withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*keys, "fragment"))).filter("_n >= 2").drop("_n")
 
 

@@ -40,6 +40,19 @@ def with_mad(rows: DataFrame, keys: list[str], value: str, scale: float = 1.0, f
     return off.join(spread, keys)
 
 
+def with_median(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """rows with name: the median of the key's values that are not null, as F.percentile gives it. A window, so a key's rows are sorted in
+    one task, and spill; it pays where several such steps share one dealing by key."""
+    w = W.partitionBy(*keys)
+    at, n = F.row_number().over(w.orderBy(F.asc_nulls_last(value))), F.count(value).over(w)
+    placed = rows.withColumns({"_at": at, "_n": n})
+    v = F.col(value).cast("double")
+    low, high = F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1
+    ends = placed.withColumns({"_low": F.max(F.when((F.col("_at") == low) & (F.col("_n") > 0), v)).over(w), "_high": F.max(F.when((F.col("_at") == high) & (F.col("_n") > 0), v)).over(w)})
+    middle = F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise(0.5 * F.col("_low") + 0.5 * F.col("_high"))
+    return ends.withColumn(name, middle).drop("_at", "_n", "_low", "_high")
+
+
 def weighted_median(rows: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
     """keys, weighted_median: the first value at which the running weight reaches half of the total (the lower one)."""
     by_value = rows.groupBy(*keys, value).agg(F.sum(weight).alias("_w"))  # combined before the shuffle
