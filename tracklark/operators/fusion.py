@@ -16,6 +16,7 @@ from tracklark.functions.scalars import first_reason, half_up
 from tracklark.operators.carried import by_key
 from tracklark.operators.folds import grouped
 from tracklark.operators.statistics import gap_clusters, with_median
+from tracklark.sources.scratch import saved
 
 # Width of a bin, least rows and frames, MADs of an inlier and the least MAD, the spread up to which one frame is enough.
 INTERVAL, LEAST_ROWS, LEAST_FRAMES, MADS, LEAST_MAD, TIGHT = 2.0, 2, 2, 3.0, 0.3, 0.5
@@ -48,6 +49,11 @@ def fused_bins(obs: DataFrame, keys: list[str], s: str, d: str, weight: str, fra
     of_frame = rows.groupBy(*at, F.col(frame).alias("_frame")).agg(F.count(F.lit(1)).alias("_n"), F.sum(inlier).alias("_i"), F.max("_spread").alias("_spread"), F.max(F.when(F.col("_in"), F.col("_tight"))).alias("_tight"), first(d), first(s))
     known = F.col("_frame").isNotNull()
     out = of_frame.groupBy(*at).agg(F.sum("_n").alias("n_rows"), F.sum("_i").alias("n_inliers"), F.count_if(known).alias("_all_frames"), F.count_if(known & (F.col("_i") > 0)).alias("n_frames"), F.max("_spread").alias("spread"), F.max("_tight").alias("_tight"), F.min(f"_at_{d}").alias(d), F.min(f"_at_{s}").alias(s))
+    return judged(out, s, d, relax, chosen).select(*at, "n_rows", "n_inliers", "n_frames", "spread", s, d, "reason")
+
+
+def judged(out: DataFrame, s: str, d: str, relax: bool, chosen: bool) -> DataFrame:
+    """Bins (n_rows, n_inliers, n_frames, _all_frames, _tight, s, d) with reason; s and d are null where there is one."""
     removed = F.lit(True) if chosen else F.col("n_inliers") < F.col("n_rows")
     least_rows = 1 if chosen else LEAST_ROWS
     need = F.when(removed & (F.col("_tight") <= TIGHT), 1).otherwise(LEAST_FRAMES) if relax else F.lit(LEAST_FRAMES)
@@ -60,7 +66,50 @@ def fused_bins(obs: DataFrame, keys: list[str], s: str, d: str, weight: str, fra
         reason = F.when(F.col("_all_frames") < LEAST_FRAMES, "insufficientFrameSupport").otherwise(reason)
         reason = F.when(F.col("n_rows") < LEAST_ROWS, "insufficientObservations").otherwise(reason)
     ok = F.col("reason").isNull()
-    return out.withColumn("reason", reason).select(*at, "n_rows", "n_inliers", "n_frames", "spread", F.when(ok, F.col(s)).alias(s), F.when(ok, F.col(d)).alias(d), "reason")
+    return out.withColumn("reason", reason).withColumns({s: F.when(ok, F.col(s)), d: F.when(ok, F.col(d))})
+
+
+def counted_bins(obs: DataFrame, keys: list[str], s: str, d: str, weight: str, frame: str, interval: float = INTERVAL, relax: bool = True, key: Column | None = None, spread_floor: float = LEAST_MAD, chosen: bool = False) -> DataFrame:
+    """fused_bins, with median (of d), centre (median s) and apart (values of d lie more than CLUSTER_GAP apart), for bins of many rows.
+    Values are counted and weights added up before the shuffle, first by d, then by s and frame with the bounds that d gave; windows meet
+    only these counts. The bounds, one row a bin, are written once. It reads obs twice; bins of few rows are better off in fused_bins."""
+    at = [*keys, "bin"]
+    rows = obs.withColumn("bin", (half_up(F.col(s) / interval) if key is None else key).cast("long"))
+    for k in at:
+        rows = rows.filter(F.col(k).isNotNull())
+    rows = rows.select(*dict.fromkeys([*at, s, d, weight, frame]))
+    off = F.abs(F.col(d) - F.col("_median"))
+    inlier = F.coalesce(off <= MADS * F.greatest("_spread", F.lit(spread_floor)), F.lit(False))
+
+    def half(by: str, of: list[str], holds: Column) -> tuple[Column, Column]:
+        w = W.partitionBy(*of)
+        run = F.sum("_w").over(w.orderBy(by).rangeBetween(W.unboundedPreceding, W.currentRow))
+        return holds & (2 * run >= F.sum("_w").over(w)), F.col(by)
+
+    values = rows.groupBy(*at, d).agg(F.count(F.lit(1)).alias("_n"), F.sum(weight).alias("_w"))
+    step = F.col(d) - F.lag(d).over(W.partitionBy(*at).orderBy(F.asc_nulls_last(d)))
+    endless = F.abs(F.col(d).cast("double")).isin(float("inf"), float("nan")) & (F.col("_n") > 1)  # a step from inf to inf, or nan to nan, is nan
+    values = with_median(values.withColumn("_apart", F.coalesce((step > CLUSTER_GAP) | endless, F.lit(False))), at, d, "_median", "_n").withColumn("_off", off)
+    values = with_median(values, at, "_off", "_spread", "_n").withColumn("_in", inlier)
+    of = [*at, "_in"]
+    values = with_median(values, of, d, "_middle", "_n").withColumn("_off", F.abs(F.col(d) - F.col("_middle")))
+    values = with_median(values, of, "_off", "_tight", "_n")
+    holds, value = half(d, of, F.col("_in"))
+    values = values.withColumn("_at", F.when(holds, value))
+    bounds = values.groupBy(*at).agg(
+        F.sum("_n").alias("n_rows"), F.sum(F.when(F.col("_in"), F.col("_n")).otherwise(0)).alias("n_inliers"), F.max("_spread").alias("_spread"), F.max("_median").alias("_median"),
+        F.max(F.when(F.col("_in"), F.col("_tight"))).alias("_tight"), F.min("_at").alias("_d"), F.max("_apart").alias("apart"))
+    bounds = saved(bounds)
+
+    met = rows.join(bounds.select(*at, "_median", "_spread"), at).withColumn("_in", inlier)
+    met = met.groupBy(*at, s, F.col(frame).alias("_frame")).agg(F.count(F.lit(1)).alias("_n"), F.count_if("_in").alias("_i"), F.sum(F.when(F.col("_in"), F.col(weight))).alias("_w"))
+    holds, value = half(s, at, F.col("_i") > 0)
+    met = with_median(met.withColumn("_at_s", F.when(holds, value)), at, s, "centre", "_n")
+    of_frame = met.groupBy(*at, "_frame").agg(F.sum("_i").alias("_i"), F.min("_at_s").alias("_s"), F.max("centre").alias("centre"))
+    known = F.col("_frame").isNotNull()
+    frames = of_frame.groupBy(*at).agg(F.count_if(known).alias("_all_frames"), F.count_if(known & (F.col("_i") > 0)).alias("n_frames"), F.min("_s").alias("_s"), F.max("centre").alias("centre"))
+    out = bounds.join(frames, at).withColumnsRenamed({"_s": s, "_d": d, "_spread": "spread", "_median": "median"})
+    return judged(out, s, d, relax, chosen).select(*at, "n_rows", "n_inliers", "n_frames", "spread", s, d, "reason", "median", "centre", "apart")
 
 
 def dominant_only(obs: DataFrame, keys: list[str], track: str) -> DataFrame:
@@ -70,19 +119,26 @@ def dominant_only(obs: DataFrame, keys: list[str], track: str) -> DataFrame:
     return obs.join(best, keys, "left").filter(F.col(track).isNull() | F.col("_best").isNull() | (F.col(track) == F.col("_best"))).drop("_best")
 
 
-def cluster_bins(obs: DataFrame, keys: list[str], s: str, d: str, weight: str, frame: str, tie: str, interval: float = INTERVAL) -> DataFrame:
+def cluster_bins(obs: DataFrame, keys: list[str], s: str, d: str, weight: str, frame: str, tie: str, interval: float = INTERVAL, counted: bool = False) -> DataFrame:
     """keys, bin, whole (struct of the bin fused as one), clusters (array of structs middle, s, d, reason by middle; of bins that fall
-    apart into several), centre (median s)."""
+    apart into several), centre (median s). counted: by counted_bins, and only rows of bins that fall apart are sorted into clusters; it pays where bins hold
+    many rows and few fall apart."""
     at = [*keys, "bin"]
     rows = obs.withColumn("bin", half_up(F.col(s) / interval).cast("long"))
-    whole = fused_bins(rows, keys, s, d, weight, frame, interval)
-    split = gap_clusters(rows, at, d, tie, CLUSTER_GAP)
-    several = split.groupBy(*at).agg(F.max("cluster").alias("_c"), F.percentile(s, 0.5).alias("centre"))
-    parts = split.join(several.filter("_c > 0").select(*at), at)
-    fused = fused_bins(parts, [*keys, "cluster"], s, d, weight, frame, interval, key=F.col("bin"), chosen=True)
-    middles = parts.groupBy(*at, "cluster").agg(F.percentile(d, 0.5).alias("middle"))
-    each = fused.join(middles, [*at, "cluster"]).groupBy(*at).agg(F.sort_array(F.collect_list(F.struct("middle", F.col(s).alias("s"), F.col(d).alias("d"), "reason"))).alias("clusters"))
-    out = whole.join(several.select(*at, "centre"), at).join(each, at, "left")
+    if counted:
+        whole = saved(counted_bins(rows, keys, s, d, weight, frame, interval))
+        parts = gap_clusters(rows.join(whole.filter("apart").select(*at), at, "left_semi"), at, d, tie, CLUSTER_GAP)
+        each = counted_bins(parts, [*keys, "cluster"], s, d, weight, frame, interval, key=F.col("bin"), chosen=True).withColumnRenamed("median", "middle")
+    else:
+        whole = fused_bins(rows, keys, s, d, weight, frame, interval)
+        split = gap_clusters(rows, at, d, tie, CLUSTER_GAP)
+        several = split.groupBy(*at).agg(F.max("cluster").alias("_c"), F.percentile(s, 0.5).alias("centre"))
+        parts = split.join(several.filter("_c > 0").select(*at), at)
+        fused = fused_bins(parts, [*keys, "cluster"], s, d, weight, frame, interval, key=F.col("bin"), chosen=True)
+        middles = parts.groupBy(*at, "cluster").agg(F.percentile(d, 0.5).alias("middle"))
+        each, whole = fused.join(middles, [*at, "cluster"]), whole.join(several.select(*at, "centre"), at)
+    clusters = each.groupBy(*at).agg(F.sort_array(F.collect_list(F.struct("middle", F.col(s).alias("s"), F.col(d).alias("d"), "reason"))).alias("clusters"))
+    out = whole.join(clusters, at, "left")
     return out.select(*at, "centre", F.struct(F.col(s).alias("s"), F.col(d).alias("d"), "reason", "n_rows", "n_frames").alias("whole"), "clusters")
 
 

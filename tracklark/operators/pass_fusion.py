@@ -78,10 +78,10 @@ def fuse_pass(edges: DataFrame, lines: DataFrame, length: DataFrame, keys: list[
     read for runs, pairs and coverage."""
     placed = F.col("s").isNotNull() & F.col("d").isNotNull()
     of_side, of_track = [*keys, "side"], [*keys, track]
-    bins = fusion.fused_bins(edges.filter(placed & F.col("side").isNotNull()), of_side, "s", "d", weight, frame, relax=False)
+    bins = fusion.counted_bins(edges.filter(placed & F.col("side").isNotNull()), of_side, "s", "d", weight, frame, relax=False)
     good = saved(bins.filter("reason is null").select(*of_side, "bin", "s", "d"))
     boundaries = saved(fusion.fragments(good, of_side))
-    bins = fusion.cluster_bins(lines.filter(placed & F.col(track).isNotNull()), of_track, "s", "d", weight, frame, tie)
+    bins = fusion.cluster_bins(lines.filter(placed & F.col(track).isNotNull()), of_track, "s", "d", weight, frame, tie, counted=True)
     lanes = saved(fusion.fragments(fusion.chosen_bins(bins, of_track), of_track))
 
     points = boundaries.select(*of_side, "s", "d")

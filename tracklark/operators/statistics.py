@@ -40,17 +40,23 @@ def with_mad(rows: DataFrame, keys: list[str], value: str, scale: float = 1.0, f
     return off.join(spread, keys)
 
 
-def with_median(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """rows with name: the median of the key's values that are not null, as F.percentile gives it. A window, so a key's rows are sorted in
-    one task, and spill; it pays where several such steps share one dealing by key."""
+def with_median(rows: DataFrame, keys: list[str], value: str, name: str, count: str | None = None) -> DataFrame:
+    """rows with name: the median of the key's values that are not null, as F.percentile gives it; with count, each row stands for that many.
+    A window, so a key's rows are sorted in one task, and spill; it pays where several such steps share one dealing by key."""
     w = W.partitionBy(*keys)
-    at, n = F.row_number().over(w.orderBy(F.asc_nulls_last(value))), F.count(value).over(w)
-    placed = rows.withColumns({"_at": at, "_n": n})
-    v = F.col(value).cast("double")
-    low, high = F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1
-    ends = placed.withColumns({"_low": F.max(F.when((F.col("_at") == low) & (F.col("_n") > 0), v)).over(w), "_high": F.max(F.when((F.col("_at") == high) & (F.col("_n") > 0), v)).over(w)})
+    by = w.orderBy(F.asc_nulls_last(value))
+    if count is None:
+        at, n = F.row_number().over(by), F.count(value).over(w)
+    else:
+        of = F.when(F.col(value).isNotNull(), F.col(count))
+        at, n = F.sum(of).over(by.rowsBetween(W.unboundedPreceding, 0)), F.coalesce(F.sum(of).over(w), F.lit(0))
+    placed = rows.withColumns({"_at": at, "_n_all": n})
+    v, before = F.col(value).cast("double"), F.col("_at") - (F.lit(1) if count is None else F.col(count))
+    low, high = F.floor((F.col("_n_all") + 1) / 2), F.floor(F.col("_n_all") / 2) + 1
+    pick = lambda p: F.max(F.when((before < p) & (p <= F.col("_at")) & (F.col("_n_all") > 0), v)).over(w)
+    ends = placed.withColumns({"_low": pick(low), "_high": pick(high)})
     middle = F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise(0.5 * F.col("_low") + 0.5 * F.col("_high"))
-    return ends.withColumn(name, middle).drop("_at", "_n", "_low", "_high")
+    return ends.withColumn(name, middle).drop("_at", "_n_all", "_low", "_high")
 
 
 def weighted_median(rows: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
