@@ -5,8 +5,10 @@ import re
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracklark.operators import fusion, pass_fusion
+from tracklark.operators.carried import by_key
 
 NAN, INF = float("nan"), float("inf")
 
@@ -57,3 +59,18 @@ def test_a_pass_shuffles_counts(spark):
     out = pass_fusion.fuse_pass(rows, rows, spark.createDataFrame([("a", 20.0)], "k string, total double"), ["k"], "track", "weight", "frame", "tie")
     assert sum(r for i, r in shuffled(spark).items() if i not in before) < n / 4
     assert [(r["left"], r["right"], r["paired"], r["surface"]) for r in out.coverage.collect()] == [(19.0, 19.0, 19.0, 16.0)]
+
+
+def test_light_folds_need_few_tasks(spark):
+    """Until round 3 the folds over bins started a Python task for each shuffle partition, three times for a pass, however few the bins."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    bins = spark.range(600).selectExpr("id % 60 AS k", "2.0D * floor(id / 60) AS s", "0.0D AS d")
+    try:
+        spark.conf.set(name, "64")
+        got = fusion.fragments(bins, ["k"], light=True).collect()
+        few, many = (by_key(bins, ["k"], ["s"], ["s"], lambda s: [[len(s)] * len(s)], T.StructType([T.StructField("n", T.LongType())]), light).withColumn("_p", F.spark_partition_id()).collect() for light in (True, False))
+    finally:
+        spark.conf.set(name, before)
+    assert len(got) == 600 and {r["fragment"] for r in got} == {0}
+    assert all(r["n"] == 10 for r in few + many) and len({r["_p"] for r in few}) <= 4 < len({r["_p"] for r in many})

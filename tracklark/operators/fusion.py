@@ -142,10 +142,10 @@ def cluster_bins(obs: DataFrame, keys: list[str], s: str, d: str, weight: str, f
     return out.select(*at, "centre", F.struct(F.col(s).alias("s"), F.col(d).alias("d"), "reason", "n_rows", "n_frames").alias("whole"), "clusters")
 
 
-def chosen_bins(bins: DataFrame, keys: list[str]) -> DataFrame:
+def chosen_bins(bins: DataFrame, keys: list[str], light: bool = False) -> DataFrame:
     """keys, bin, s, d, chosen of the bins that hold: in a bin of several clusters (cluster_bins) the one nearest to what its
     neighbours let expect, within MOST_CHOICE; else the bin as a whole. The neighbour before is the last one fused here, the one
-    after the next that is fused as a whole, so bins are met in order."""
+    after the next that is fused as a whole, so bins are met in order. light as in by_key."""
 
     def run(whole: list, clusters: list, centres: list) -> list[list]:
         good = [w["reason"] is None for w in whole]
@@ -175,7 +175,7 @@ def chosen_bins(bins: DataFrame, keys: list[str]) -> DataFrame:
         return [s, d, chosen]
 
     more = T._parse_datatype_string("s double, d double, chosen boolean")
-    out = by_key(bins, keys, ["bin"], ["whole", "clusters", "centre"], run, more)
+    out = by_key(bins, keys, ["bin"], ["whole", "clusters", "centre"], run, more, light)
     return out.filter("d is not null and not isnan(d)").select(*keys, "bin", "s", "d", "chosen")
 
 
@@ -195,12 +195,12 @@ def fragment_numbers(s: np.ndarray, d: np.ndarray, most_step: float, most_jump:
     return out
 
 
-def fragments(bins: DataFrame, keys: list[str], s: str = "s", d: str = "d", most_step: float = MOST_STEP, most_jump: float = MOST_JUMP) -> DataFrame:
-    """bins with fragment; spikes and fragments of one point are left out."""
+def fragments(bins: DataFrame, keys: list[str], s: str = "s", d: str = "d", most_step: float = MOST_STEP, most_jump: float = MOST_JUMP, light: bool = False) -> DataFrame:
+    """bins with fragment; spikes and fragments of one point are left out. light as in by_key."""
     def run(*columns: list) -> list[list]:
         return [fragment_numbers(*(np.array([np.nan if x is None else x for x in c], float) for c in columns), most_step, most_jump).tolist()]
 
-    out = by_key(bins, keys, [s], [s, d], run, T._parse_datatype_string("fragment long"))
+    out = by_key(bins, keys, [s], [s, d], run, T._parse_datatype_string("fragment long"), light)
     return out.filter("fragment >= 0").withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*keys, "fragment"))).filter("_n >= 2").drop("_n")
 
 

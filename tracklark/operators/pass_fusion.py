@@ -80,9 +80,9 @@ def fuse_pass(edges: DataFrame, lines: DataFrame, length: DataFrame, keys: list[
     of_side, of_track = [*keys, "side"], [*keys, track]
     bins = fusion.counted_bins(edges.filter(placed & F.col("side").isNotNull()), of_side, "s", "d", weight, frame, relax=False)
     good = saved(bins.filter("reason is null").select(*of_side, "bin", "s", "d"))
-    boundaries = saved(fusion.fragments(good, of_side))
+    boundaries = saved(fusion.fragments(good, of_side, light=True))
     bins = fusion.cluster_bins(lines.filter(placed & F.col(track).isNotNull()), of_track, "s", "d", weight, frame, tie, counted=True)
-    lanes = saved(fusion.fragments(fusion.chosen_bins(bins, of_track), of_track))
+    lanes = saved(fusion.fragments(fusion.chosen_bins(bins, of_track, light=True), of_track, light=True))
 
     points = boundaries.select(*of_side, "s", "d")
     left, right = (points.filter(F.col("side") == name).drop("side") for name in ("left", "right"))
