@@ -103,6 +103,24 @@ def test_points_near_others_are_not_broadcast(spark):
     assert {(r["id"], r["id_b"]) for r in near.collect()} == {(a[0], b[0]) for a in points for b in points if math.dist(a[1:], b[1:]) <= 4}
 
 
+def test_rows_of_a_place_are_met_as_one(spark):
+    """Until round 4 each row was sent to nine cells and compared with each row there."""
+    rng = random.Random(8)
+    odd = [float("nan"), float("inf"), -float("inf"), None]
+    points = [(i, rng.choice([None, "u", "v"]), float(rng.randrange(-9, 9)), float(rng.randrange(-9, 9))) for i in range(150)]
+    points += [(i, "w", 3.0, 4.0) for i in range(200, 200 + joins.TOGETHER + 20)] + [(900 + i, "x", v, 0.0) for i, v in enumerate(odd)] + [(910 + i, "x", 0.0, v) for i, v in enumerate(odd)]
+    df = spark.createDataFrame(points, "id long, s string, x double, y double")
+    near = joins.within_radius(df, df, "x", "y", 3.0, 1)
+    assert near.columns == ["id", "s", "x", "y", "id_b", "s_b", "x_b", "y_b", "distance"]
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.find("Generate posexplode") < plan.find("Join Inner")
+    good = [p for p in points if None not in p[2:] and all(map(math.isfinite, p[2:]))]
+    want = sorted((repr(a), repr(b), round(math.dist(a[2:], b[2:]), 1)) for a in good for b in good if math.dist(a[2:], b[2:]) <= 3)
+    assert sorted((repr(tuple(r)[:4]), repr(tuple(r)[4:8]), r["distance"]) for r in near.collect()) == want
+    bare = df.select("x", "y")
+    assert joins.within_radius(bare, df, "x", "y", 3.0).count() == len(want)
+
+
 def test_nearest_pairs_give_what_all_pairs_give(spark):
     rng = random.Random(6)
     value = lambda: rng.choice([None, float("nan"), 1.5, 2.5, 2.5, round(rng.uniform(-9, 9), 1), round(rng.uniform(-9, 9), 1)])
